@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -209,8 +210,12 @@ def _focus_flags(study: Study, focus: str, checks: list[Check]) -> DataFrame:
     if len(checks) == 1:
         df = df.filter(checks[0].cross()).withColumn("_flag", shape(checks[0]))
     else:
-        hits = F.array(*[F.when(k.local() & k.cross(), shape(k)) for k in checks])
-        df = df.withColumn("_flag", F.explode(F.filter(hits, lambda h: h.isNotNull())))
+        # One bit per check keeps the wide evaluation to plain arithmetic; structs are
+        # built for flagged rows only.
+        bits = [F.when(k.local() & k.cross(), F.lit(1 << n)).otherwise(F.lit(0)) for n, k in enumerate(checks)]
+        df = df.withColumn("_hits", reduce(lambda a, b: a + b, bits)).filter("_hits > 0")
+        shaped = [F.when(F.col("_hits").bitwiseAND(F.lit(1 << n)) != 0, shape(k)) for n, k in enumerate(checks)]
+        df = df.withColumn("_flag", F.explode(F.array(*shaped))).filter(c("_flag").isNotNull())
     return df.select(
         *study.scope, c("USUBJID").alias("subject"), visit.alias("visit"), "_flag.layer", "_flag.archetype",
         "_flag.rule_id", F.lit(focus).alias("domain"), "record_id", "_flag.severity", "_flag.message",

@@ -91,18 +91,26 @@ class Study:
             wanted["DM by ARMCD"] = (dm, (*self.scope, "ARMCD"))
         return replace(self, loads=measure(wanted, rows_per_task))
 
-    def staged(self, path: str, partitions: int | None = None) -> "Study":
-        """Write every domain once, clustered by subject, and read it back.
+    def staged(self, path: str, buckets: int = 0, name: str = "study") -> "Study":
+        """Write every domain once and read it back.
 
-        Later checks then scan narrow column subsets instead of recomputing the views,
-        and a lost executor only re-reads files.
+        Later checks then scan narrow column subsets instead of recomputing the inputs, and
+        a lost executor only re-reads files.  With ``buckets`` the subject tables are
+        bucketed by subject, so subject-keyed aggregates and joins need no shuffle; skip
+        that for a study with a hot subject, whose rows would all land in one bucket.
         """
         out = {}
         for domain, df in self.tables.items():
-            if partitions and set(self.keys) <= set(df.columns):
-                df = df.repartition(partitions, *self.keys)
-            df.write.mode("overwrite").parquet(f"{path}/{domain}")
-            out[domain] = self.spark.read.parquet(f"{path}/{domain}")
+            where = f"{path}/{domain}"
+            if buckets and "USUBJID" in df.columns and not (self.load(domain) and self.load(domain).hot):
+                table = f"{name}_{domain}".lower()
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+                (df.repartition(buckets, "USUBJID").write.mode("overwrite").bucketBy(buckets, "USUBJID")
+                 .sortBy("USUBJID").option("path", where).saveAsTable(table))
+                out[domain] = self.spark.table(table)
+            else:
+                df.write.mode("overwrite").parquet(where)
+                out[domain] = self.spark.read.parquet(where)
         return replace(self, tables=out)
 
 
