@@ -8,12 +8,12 @@ well.  Prints one JSON line.
 
 import json
 import os
-import tempfile
 import time
 
 from crosswitness.catalog.testbed import build_study, table
 from crosswitness.plans.checks import ARCHETYPES, DERIVATIONS, run_checks
 from crosswitness.session import get_session
+from crosswitness.sources.staging import staging_root
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 
@@ -32,11 +32,13 @@ def main() -> None:
     spark = get_session("bench")
     spark.sparkContext.setLogLevel("ERROR")
     subjects = table(spark, SF_DIR, "customer").count()  # also starts the executors
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = staging_root(spark)
     holder = {}
 
     def load() -> None:
-        holder["study"] = build_study(spark, SF_DIR).staged(f"{root}/bench-study").measured()
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        built = build_study(spark, SF_DIR, root=f"{root}/bench")
+        holder["study"] = built.staged(f"{root}/bench/study", buckets, "bench").measured()
 
     times = {"load": timed(load)}
     study = holder["study"]

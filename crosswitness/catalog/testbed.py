@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from crosswitness.operators.ordered import position
 from crosswitness.operators.skew import ROWS_PER_TASK, keyed_join, measure
+from crosswitness.sources.staging import staging_root, written
 from crosswitness.sources.study import Study
 
 PRELUDE = """
@@ -140,9 +141,12 @@ def visits(spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK)
         _who("o_custkey").alias("USUBJID"), F.col("n").cast("double").alias("VISITNUM"))
 
 
-def build_study(spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK) -> Study:
-    """The derived study, lazily; group sizes of the source tables are measured once."""
-    v = visits(spark, sf_dir, rows_per_task)
+def build_study(spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK, root: str | None = None) -> Study:
+    """The derived study; group sizes of the source tables are measured once.
+
+    With ``root`` the two intermediates that most domains share are written there.
+    """
+    v = written(visits(spark, sf_dir, rows_per_task), root and f"{root}/visits")
     customer = table(spark, sf_dir, "customer")
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     target = F.col("l_linenumber") <= 4
@@ -160,6 +164,7 @@ def build_study(spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_
         F.when(~target, F.when(F.col("l_returnflag") == "R", "UNEQUIVOCAL PROGRESSION").otherwise("PRESENT")).alias("TRORRES"),
         F.when(F.col("VISITNUM") <= 2, "SCREENING").otherwise("TREATMENT").alias("EPOCH"),
         target.alias("TRTARGETLN"))
+    tr = written(tr, root and f"{root}/measurements")
     tu = tr.groupBy("USUBJID", F.col("TRLNKID").alias("TULNKID")).agg(F.min("VISITNUM").alias("VISITNUM")).select(
         "USUBJID", "TULNKID", "VISITNUM",
         F.when(F.col("TULNKID").startswith("NT"), "NON-TARGET LESION").otherwise("TARGET LESION").alias("TUCAT"))
@@ -265,8 +270,11 @@ _STUDIES: dict = {}
 
 
 def study(spark: SparkSession, sf_dir: str) -> Study:
-    """The derived study with measured group sizes; measured once per session and path."""
+    """The derived study with measured group sizes, staged once per session and path."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STUDIES:
-        _STUDIES[key] = build_study(spark, sf_dir).measured()
+        root = staging_root(spark)
+        root = root and f"{root}/{sf_dir.strip('/').replace('/', '_')}"
+        built = build_study(spark, sf_dir, root=root)
+        _STUDIES[key] = (built.staged(f"{root}/study") if root else built).measured()
     return _STUDIES[key]

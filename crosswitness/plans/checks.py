@@ -1,9 +1,10 @@
 """Cross-table checks: A01-A20, S1-S8 and the H probes.
 
 A check names the table whose rows it flags (its focus), a condition on the row alone,
-the facts it looks up, and a condition on row plus facts.  Checks on the same focus are
-evaluated together: the table is read once, filtered to rows any check could flag, joined
-once per fact, and every condition is evaluated in a single projection.
+the facts it looks up, and a condition on row plus facts.  Checks with the same focus and
+the same lookup keys are evaluated together: the table is read once, filtered to rows any
+of them could flag, shuffled once for all their facts, and every condition is evaluated in
+a single projection.
 """
 
 from __future__ import annotations
@@ -180,46 +181,47 @@ DERIVATIONS = tuple(f"S{i}" for i in range(1, 9))
 PROBES = ("H02", "H03", "H05")
 
 
-def _pairs(names: Iterable[str]) -> Column:
-    return F.array(*[F.struct(F.lit(n.strip("_").upper()).alias("type"), F.col(n).cast("string").alias("value")) for n in names])
+def _evidence_of(df: DataFrame, checks: list[Check]) -> Column:
+    """Evidence cells of the check at hand, chosen from the cells any check of the group shows."""
+    names = list(dict.fromkeys(n for k in checks for n in k.evidence))
+    if not names:
+        return F.array().cast("array<struct<type:string,value:string>>")
+    label = {n: n.strip("_").upper() for n in names}
+    cells = F.array(*[F.struct(F.lit(label[n]).alias("type"), F.col(n).cast("string").alias("value")) for n in names])
+    if len(checks) == 1:
+        return cells
+    shown = F.element_at(F.array(*[F.array(*[F.lit(label[n]) for n in k.evidence]) for k in checks]), F.col("_check") + 1)
+    return F.filter(cells, lambda cell: F.array_contains(shown, cell["type"]))
 
 
-def _focus_flags(study: Study, focus: str, checks: list[Check]) -> DataFrame:
+def _group_flags(study: Study, focus: str, checks: list[Check]) -> DataFrame:
     raw = study.raw(focus)
     df = study[focus]
     df = with_record_id(df, focus, raw.columns if raw is not None else df.columns)
     df = df.filter(any_of([k.local() for k in checks]))
-    wanted: list[str] = []
-    for k in checks:
-        wanted += [f for f in k.facts if f not in wanted]
-    # Facts sharing a key follow each other, so the focus rows are shuffled once per key.
-    for name in sorted(wanted, key=lambda n: (len(fx.FACTS[n][0]), fx.FACTS[n][0])):
+    for name in dict.fromkeys(f for k in checks for f in k.facts):
         table = fx.FACTS[name][1](study)
         load = study.load(f"{focus} by ARMCD") if fx.FACTS[name][0] == ("ARMCD",) else study.load(focus)
         df = keyed_join(df, table, fx.fact_keys(study, name, table), "left", load)
-    visit = c("VISITNUM").cast("string") if "VISITNUM" in df.columns else F.lit(None).cast("string")
-
-    def shape(k: Check) -> Column:
-        return F.struct(
-            F.lit(k.layer).alias("layer"),
-            F.lit(k.id if k.id[0] in "AH" else f"DERIVATION-{k.id}").alias("archetype"),
-            F.lit(k.id).alias("rule_id"), F.lit(k.severity).alias("severity"), F.lit(k.message).alias("message"),
-            _pairs(k.evidence).alias("evidence"),
-        )
-
     if len(checks) == 1:
-        df = df.filter(checks[0].cross()).withColumn("_flag", shape(checks[0]))
+        df = df.filter(checks[0].cross()).withColumn("_check", F.lit(0))
     else:
-        # One bit per check keeps the wide evaluation to plain arithmetic; structs are
-        # built for flagged rows only.
+        # One bit per check keeps the evaluation of all rows to plain arithmetic; only
+        # flagged rows are expanded.
         bits = [F.when(k.local() & k.cross(), F.lit(1 << n)).otherwise(F.lit(0)) for n, k in enumerate(checks)]
-        df = df.withColumn("_hits", reduce(lambda a, b: a + b, bits)).filter("_hits > 0")
-        shaped = [F.when(F.col("_hits").bitwiseAND(F.lit(1 << n)) != 0, shape(k)) for n, k in enumerate(checks)]
-        df = df.withColumn("_flag", F.explode(F.array(*shaped))).filter(c("_flag").isNotNull())
+        df = df.withColumn("_hits", reduce(lambda x, y: x + y, bits)).filter("_hits > 0")
+        which = [F.when(F.col("_hits").bitwiseAND(F.lit(1 << n)) != 0, F.lit(n)) for n in range(len(checks))]
+        df = df.withColumn("_check", F.explode(F.array(*which))).filter(c("_check").isNotNull())
+    meta = F.array(*[F.struct(
+        F.lit(k.layer).alias("layer"), F.lit(k.id if k.id[0] in "AH" else f"DERIVATION-{k.id}").alias("archetype"),
+        F.lit(k.id).alias("rule_id"), F.lit(k.severity).alias("severity"), F.lit(k.message).alias("message")) for k in checks])
+    visit = c("VISITNUM").cast("string") if "VISITNUM" in df.columns else F.lit(None).cast("string")
+    df = df.withColumn("_flag", F.element_at(meta, F.col("_check") + 1))
     return df.select(
         *study.scope, c("USUBJID").alias("subject"), visit.alias("visit"), "_flag.layer", "_flag.archetype",
         "_flag.rule_id", F.lit(focus).alias("domain"), "record_id", "_flag.severity", "_flag.message",
-        "_flag.evidence", F.array(c("_flag.rule_id")).alias("core_rule_xref"), F.lit("RULES").alias("source"),
+        _evidence_of(df, checks).alias("evidence"), F.array(c("_flag.rule_id")).alias("core_rule_xref"),
+        F.lit("RULES").alias("source"),
     )
 
 
@@ -228,11 +230,12 @@ def run_checks(study: Study, ids: Iterable[str] = (*ARCHETYPES, *DERIVATIONS), l
     from crosswitness.plans.lookup import lookup_flags
 
     ids = list(ids)
-    by_focus: dict[str, list[Check]] = {}
+    groups: dict[tuple, list[Check]] = {}
     for i in ids:
         if i != "A19":
-            by_focus.setdefault(CHECKS[i].focus, []).append(CHECKS[i])
-    parts = [_focus_flags(study, focus, checks) for focus, checks in by_focus.items()]
+            keys = frozenset(fx.FACTS[f][0] for f in CHECKS[i].facts)
+            groups.setdefault((CHECKS[i].focus, keys), []).append(CHECKS[i])
+    parts = [_group_flags(study, focus, checks) for (focus, _), checks in groups.items()]
     if "A19" in ids:
         parts.append(lookup_flags(study, lookup_grain))
     out = parts[0]

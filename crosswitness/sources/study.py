@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,18 +100,20 @@ class Study:
         bucketed by subject, so subject-keyed aggregates and joins need no shuffle; skip
         that for a study with a hot subject, whose rows would all land in one bucket.
         """
-        out = {}
-        for domain, df in self.tables.items():
+        def write(item: tuple[str, DataFrame]) -> tuple[str, DataFrame]:
+            domain, df = item
             where = f"{path}/{domain}"
             if buckets and "USUBJID" in df.columns and not (self.load(domain) and self.load(domain).hot):
                 table = f"{name}_{domain}".lower()
                 self.spark.sql(f"DROP TABLE IF EXISTS {table}")
                 (df.repartition(buckets, "USUBJID").write.mode("overwrite").bucketBy(buckets, "USUBJID")
                  .sortBy("USUBJID").option("path", where).saveAsTable(table))
-                out[domain] = self.spark.table(table)
-            else:
-                df.write.mode("overwrite").parquet(where)
-                out[domain] = self.spark.read.parquet(where)
+                return domain, self.spark.table(table)
+            df.write.mode("overwrite").parquet(where)
+            return domain, self.spark.read.parquet(where)
+
+        with ThreadPoolExecutor(4) as pool:  # several small writes share the cluster
+            out = dict(pool.map(write, self.tables.items()))
         return replace(self, tables=out)
 
 
