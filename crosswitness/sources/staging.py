@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def staging_root(spark: SparkSession) -> str | None:
-    """Folder for written intermediates, or None when there is no shared one.
+    """A new folder for written intermediates, or None when there is no shared one.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``.  A local session without
     that setting gets a fresh temporary folder; a cluster without it stages nothing.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/crosswitness/{spark.sparkContext.applicationId}"
+        return f"{shared.rstrip('/')}/crosswitness/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return None
