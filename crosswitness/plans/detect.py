@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswitness.functions.columns import col_or_null
 from crosswitness.operators.skew import keyed_join
 from crosswitness.plans.checks import ARCHETYPES, run_checks
 from crosswitness.plans.enrich import enrich_responses
@@ -93,11 +92,13 @@ def newly_flagged(flags: DataFrame) -> DataFrame:
 
 
 def candidate_detection(study: Study, archetypes: tuple[str, ...] = ARCHETYPES, k: int | None = 10, enrich: bool = False) -> DataFrame:
-    """Per archetype: candidates tried, candidates on which it newly fires, and the verdict."""
-    clean = run_checks(study, archetypes if set(archetypes) <= set(ARCHETYPES) else ARCHETYPES)
-    plan = candidates(study, clean, archetypes, k)
+    """Per archetype: candidates tried, candidates on which it newly fires, and the verdict.
+
+    Only the archetypes in question are checked, since only they decide.
+    """
+    plan = candidates(study, run_checks(study, archetypes), archetypes, k)
     scenarios = scenario_study(study, plan, archetypes, enrich)
-    flags = scenario_flags(scenarios)
+    flags = scenario_flags(scenarios, archetypes)
     return summarise(scenarios, flags, archetypes)
 
 
@@ -215,16 +216,12 @@ def co_occurrence(study: Study, plan: DataFrame, singles: DataFrame, archetypes:
             .filter("injected >= 2").withColumn("co_occurrence_recall", F.round(F.col("jointly_detected") / F.col("injected"), 3)))
 
 
-def scenario_flags_of(study: Study, archetypes: tuple[str, ...], subjects: DataFrame) -> tuple[Study, DataFrame]:
+def scenario_flags_of(study: Study, archetypes: tuple[str, ...], subjects: DataFrame,
+                      checks: tuple[str, ...] = ARCHETYPES) -> tuple[Study, DataFrame]:
     """Inject every named archetype into every given subject and check all copies."""
     unknown = [a for a in archetypes if a not in ALL_INJECTIONS]
     if unknown:
         raise ValueError(f"no injection for {unknown}")
     plan = subjects.select("USUBJID").distinct().withColumn("archetype", F.explode(F.array(*[F.lit(a) for a in archetypes])))
     scenarios = scenario_study(study, plan.select("archetype", "USUBJID"), archetypes)
-    return scenarios, scenario_flags(scenarios)
-
-
-def manifest_of(scenarios: Study) -> DataFrame:
-    """One row per injected copy."""
-    return scenarios["DM"].select(col_or_null(scenarios["DM"], "scenario_id").alias("scenario_id"), "USUBJID").distinct()
+    return scenarios, scenario_flags(scenarios, checks)

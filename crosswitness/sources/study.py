@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from crosswitness.functions.columns import col_or_null
 from crosswitness.operators.skew import ROWS_PER_TASK, Load, measure
 
+# Tells a quoted empty CSV cell (an empty text) from an unquoted one (no value).
+QUOTED_EMPTY = "\u0001"
+
 DOMAINS = ("DM", "EX", "TU", "TR", "RS", "AE", "DS", "TA", "SUPPDM")
 
 # Canonical columns of the domains.
@@ -164,9 +167,10 @@ def load_study(spark: SparkSession, *paths: str, domains: tuple[str, ...] | None
             continue
         reader = spark.read
         if ext == "csv":
-            df = reader.option("header", True).option("emptyValue", "").csv(location)
+            df = reader.option("header", True).option("emptyValue", QUOTED_EMPTY).csv(location)
             types = columns_of(domain) if domain in SCHEMAS else {}
-            df = df.select(*[F.col(c).try_cast(types.get(c, "string")).alias(c) for c in df.columns])
+            text = {c: F.when(F.col(c) == QUOTED_EMPTY, "").otherwise(F.col(c)) for c in df.columns}
+            df = df.select(*[v.try_cast(types.get(c, "string")).alias(c) for c, v in text.items()])
         else:
             df = reader.format(ext).load(location)
         tables[domain] = df

@@ -14,7 +14,8 @@ def spark():
 
     session = get_session("tests")
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")  # many tiny queries: compiling each costs more than running it
     return session
 
 
