@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crosswitness.catalog.testbed import PRELUDE, study
 from crosswitness.plans import flagsets as fs
 from crosswitness.plans import inject as ij
+from crosswitness.plans.checks import run_checks
 
 Q: dict = {}
 O: dict = {}
@@ -190,6 +191,13 @@ def _(st, spark, sf):
     return fs.changed_rows(st["RS"].select(*cols), changed["RS"].select(*cols))
 
 
+@query("H05-INJECTED", "SELECT USUBJID AS subject, 'H05' AS rule_id, 'violation' AS severity FROM dm WHERE USUBJID IN (SELECT USUBJID FROM ex)")
+def _(st, spark, sf):
+    # blank arms for every exposed subject, so that the probe has something to find
+    changed, _m = ij.inject(st, "H05", st["DM"].select("USUBJID"))
+    return run_checks(changed, ["H05"]).select("subject", "rule_id", "severity")
+
+
 def queries() -> dict:
     return Q
 

@@ -73,6 +73,9 @@ ISSUES = """WITH issue AS (
 """
 
 
+REPORT_ROWS = 10_000  # order keys are unique, so a report never holds more issues than this
+
+
 def _issues(spark, sf):
     k = F.col("o_orderkey")
     return table(spark, sf, "orders").select(
@@ -80,7 +83,8 @@ def _issues(spark, sf):
         F.when(k % 11 != 0, F.concat(F.lit("S"), F.col("o_custkey").cast("string"))).alias("USUBJID"),
         F.concat(F.lit("CORE-"), (k % 50).cast("string")).alias("core_id"),
         F.when(k % 13 == 0, "Rule FAILED to build").otherwise(F.concat(F.lit("Priority "), F.col("o_orderpriority"))).alias("message"),
-        F.col("o_orderstatus").alias("variables"), (k % 5).cast("string").alias("values"), (k % 3 == 0).alias("late"))
+        F.col("o_orderstatus").alias("variables"), (k % 5).cast("string").alias("values"), (k % 3 == 0).alias("late"),
+        F.floor(k / REPORT_ROWS).alias("report"))
 
 
 @query("SRC07", ISSUES + """SELECT coalesce(USUBJID, '') AS subject, core_id AS rule_id, upper(split_part(dataset, '.', 1)) AS domain, 'violation' AS severity, message, 'CORE' AS source
@@ -88,13 +92,14 @@ def _issues(spark, sf):
 def _(spark, sf):
     # the issues pass through JSON report files, as a validator would leave them
     rows = _issues(spark, sf).drop("late")
+    names = [c for c in rows.columns if c != "report"]
     root = staging_root(spark)
     if root is not None:
-        report = rows.groupBy((F.xxhash64("USUBJID", "core_id", "message") % 64).alias("part")).agg(F.collect_list(F.struct(*rows.columns)).alias("Issue_Details"))
-        report.drop("part").write.mode("overwrite").json(f"{root}/issues")
+        report = rows.groupBy("report").agg(F.collect_list(F.struct(*names)).alias("Issue_Details"))
+        report.drop("report").write.mode("overwrite").json(f"{root}/issues")
         rows = spark.read.schema("Issue_Details array<struct<dataset:string,USUBJID:string,core_id:string,message:string,variables:string,`values`:string>>").json(
             f"{root}/issues").select(F.inline("Issue_Details"))
-    return issues.to_flags(rows, "CORE").drop("archetype")
+    return issues.to_flags(rows.select(*names), "CORE").drop("archetype")
 
 
 @query("SRC08", """SELECT n_name AS domain, CAST(n_regionkey AS VARCHAR) AS variables, '' AS "values", concat('R', CAST(n_nationkey AS VARCHAR)) AS rule_id,

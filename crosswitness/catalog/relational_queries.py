@@ -90,11 +90,11 @@ def _(st, spark, sf):
     return enrich.eligible_subjects(st)
 
 
-@query("PRJ08", """SELECT USUBJID, 'Y' AS newlec FROM (SELECT USUBJID FROM tu WHERE contains(upper(concat(TULNKID, '')), 'NEW')
-  UNION SELECT USUBJID FROM tr WHERE contains(upper(TRGRPID), 'NEW') OR contains(upper(TRLNKID), 'NEW'))""")
+@query("PRJ08", """SELECT DISTINCT USUBJID, 'Y' AS newlec FROM tu WHERE VISITNUM > 12""")
 def _(st, spark, sf):
-    # lesion links of late lines are renamed so that some subjects carry the marker
-    return enrich.new_lesion_status(st).withColumnRenamed("_newlec", "newlec")
+    # lesions that appear late carry the marker in their result text
+    marked = st.with_tables(TU=st.raw("TU").withColumn("TUORRES", F.when(F.col("VISITNUM") > 12, "New lesion").otherwise("Known lesion")))
+    return enrich.new_lesion_status(marked).withColumnRenamed("_newlec", "newlec")
 
 
 @query("PRJ09", """SELECT USUBJID, bool_or(TUCAT = 'NON-TARGET LESION' AND VISITNUM > 9) AS new_text FROM tu GROUP BY USUBJID""")
@@ -354,7 +354,7 @@ def _(st, spark, sf):
 @query("W03", "SELECT USUBJID, EXSEQ, row_number() OVER (PARTITION BY USUBJID ORDER BY EXSTDTC, EXSEQ) AS seq FROM ex")
 def _(st, spark, sf):
     return position(st["EX"].select("USUBJID", "EXSEQ", "EXSTDTC"), ["USUBJID"], [F.col("EXSTDTC"), F.col("EXSEQ")], "seq",
-                    F.substring("EXSTDTC", 1, 7), st.load("EX")).select("USUBJID", "EXSEQ", "seq")
+                    F.col("EXSTDTC"), st.load("EX")).select("USUBJID", "EXSEQ", "seq")
 
 
 @query("W04", "SELECT USUBJID, RSSEQ, max(VISITNUM) OVER (PARTITION BY USUBJID) > VISITNUM AS later FROM rs")

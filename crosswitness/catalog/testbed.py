@@ -135,7 +135,7 @@ def visits(spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK)
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
     numbered = position(orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "n",
-                        F.date_trunc("month", "o_orderdate"), _base_loads(spark, sf_dir, rows_per_task)["orders"])
+                        F.col("o_orderdate"), _base_loads(spark, sf_dir, rows_per_task)["orders"])
     return numbered.select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("date").alias("d"),
         _who("o_custkey").alias("USUBJID"), F.col("n").cast("double").alias("VISITNUM"))
