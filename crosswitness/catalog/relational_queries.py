@@ -331,8 +331,8 @@ def _(st, spark, sf):
 @query("AG09", "SELECT ARM, row_number() OVER (ORDER BY ARM) AS n FROM (SELECT DISTINCT ARM FROM dm)")
 def _(st, spark, sf):
     arms = st["DM"].select("ARM").distinct()
-    # rank of a distinct value = how many distinct values are not above it; arms are few by design
-    return arms.withColumn("n", F.row_number().over(Window.orderBy("ARM")))
+    # a trial has few arms, so numbering the distinct ones is one small sort
+    return arms.withColumn("n", F.row_number().over(Window.orderBy("ARM")).cast("bigint"))
 
 
 @query("AG10", "SELECT USUBJID, bool_or(RSORRES = 'PD') AS any_pd FROM rs GROUP BY ALL")

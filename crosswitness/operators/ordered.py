@@ -65,9 +65,9 @@ def running_min(df: DataFrame, keys: list[str], order: str, value: str, out: str
 
 def position(df: DataFrame, keys: list[str], order: list[Column], out: str, bucket: Column,
              load: Load | None = None) -> DataFrame:
-    """``out`` = 1-based position; ``bucket`` must not decrease along ``order``."""
+    """``out`` = 1-based position (bigint); ``bucket`` must not decrease along ``order``."""
     if _plain(load):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     df = df.withColumn("_b", bucket)
     sizes = df.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
