@@ -1,7 +1,8 @@
 """Headline benchmark: every cross-table and derivation check over the derived study.
 
 ``load`` derives the study from the source tables, measures group sizes and writes it;
-``all_checks`` evaluates the 28 checks in one job.  The headline value is their sum, so it
+``all_checks`` evaluates the 28 checks and writes the flags, one job per group of checks;
+``all_checks_one_job`` evaluates them as one query.  The headline value is their sum, so it
 covers the whole way from the source tables to the flags.  The single checks are timed as
 well.  Prints one JSON line.
 """
@@ -11,7 +12,7 @@ import os
 import time
 
 from crosswitness.catalog.testbed import build_study, table
-from crosswitness.plans.checks import ARCHETYPES, DERIVATIONS, run_checks
+from crosswitness.plans.checks import ARCHETYPES, DERIVATIONS, run_checks, write_flags
 from crosswitness.session import get_session
 from crosswitness.sources.staging import staging_root
 
@@ -43,8 +44,8 @@ def main() -> None:
     times = {"load": timed(load)}
     study = holder["study"]
     ids = (*ARCHETYPES, *DERIVATIONS)
-    times["all_checks"] = run(run_checks(study, ids))
-    times["all_checks_again"] = run(run_checks(study, ids))
+    times["all_checks"] = timed(lambda: write_flags(study, f"{root}/bench/flags", ids))
+    times["all_checks_one_job"] = run(run_checks(study, ids))
     for i in ids:
         times[i] = run(run_checks(study, [i]))
     total = round(times["load"] + times["all_checks"], 3)

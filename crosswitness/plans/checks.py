@@ -10,6 +10,7 @@ a single projection.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -225,20 +226,36 @@ def _group_flags(study: Study, focus: str, checks: list[Check]) -> DataFrame:
     )
 
 
+def check_groups(ids: Iterable[str]) -> list[list[str]]:
+    """Checks that share a focus table and lookup keys, and so one pass; A19 stands alone."""
+    groups: dict[tuple, list[str]] = {}
+    for i in ids:
+        key = ("A19",) if i == "A19" else (CHECKS[i].focus, frozenset(fx.FACTS[f][0] for f in CHECKS[i].facts))
+        groups.setdefault(key, []).append(i)
+    return list(groups.values())
+
+
 def run_checks(study: Study, ids: Iterable[str] = (*ARCHETYPES, *DERIVATIONS), lookup_grain: str = "record") -> DataFrame:
     """Flags of the selected checks, one row per (check, flagged record)."""
     from crosswitness.plans.lookup import lookup_flags
 
-    ids = list(ids)
-    groups: dict[tuple, list[Check]] = {}
-    for i in ids:
-        if i != "A19":
-            keys = frozenset(fx.FACTS[f][0] for f in CHECKS[i].facts)
-            groups.setdefault((CHECKS[i].focus, keys), []).append(CHECKS[i])
-    parts = [_group_flags(study, focus, checks) for (focus, _), checks in groups.items()]
-    if "A19" in ids:
-        parts.append(lookup_flags(study, lookup_grain))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [
+        lookup_flags(study, lookup_grain) if group == ["A19"] else _group_flags(study, CHECKS[group[0]].focus, [CHECKS[i] for i in group])
+        for group in check_groups(ids)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def write_flags(study: Study, path: str, ids: Iterable[str] = (*ARCHETYPES, *DERIVATIONS), lookup_grain: str = "record",
+                concurrent: int = 6) -> DataFrame:
+    """Write the flags with one job per group of checks and read them back.
+
+    The groups are independent, so their jobs share the cluster, small ones fill gaps left by
+    large ones, and a failed group can be repeated alone.
+    """
+    def write(group: list[str]) -> None:
+        run_checks(study, group, lookup_grain).write.mode("overwrite").parquet(f"{path}/group={group[0]}")
+
+    with ThreadPoolExecutor(concurrent) as pool:
+        list(pool.map(write, check_groups(ids)))
+    return study.spark.read.parquet(path).drop("group")

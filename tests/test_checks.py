@@ -125,3 +125,9 @@ def test_user_checks_can_be_registered(make_study):
         assert rows(run_checks(st, ["X1"]), "subject") == [("a",)]
     finally:
         CHECKS.pop("X1")
+
+
+def test_written_flags_equal_the_query(golden, tmp_path):
+    from crosswitness.plans.checks import write_flags
+    got = write_flags(golden, str(tmp_path / "flags"), DERIVATIONS)
+    assert rows(got, "rule_id", "record_id") == rows(run_checks(golden, DERIVATIONS), "rule_id", "record_id")
