@@ -1,8 +1,8 @@
 """Queries of this subpackage and their SQL counterparts."""
 
-from crosswitness.llm import decontaminate, exact_dedup
+from crosswitness.llm import decontaminate, exact_dedup, quality, toxicity
 
-MODULES = (exact_dedup, decontaminate)
+MODULES = (exact_dedup, decontaminate, quality, toxicity)
 
 
 def queries() -> dict:
