@@ -27,8 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from crosswitness.llm.common import free_name, only, table, work_folder, write_table
 from crosswitness.llm.components import components
@@ -171,8 +172,6 @@ def _still_open(members: DataFrame, labels: DataFrame, upto: int) -> DataFrame:
     now = members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     now = now.where(F.col("n") > upto)
     mixed = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("bucket").orderBy(F.desc("centre"), F.desc("key"))
     return now.join(mixed, "bucket").select("bucket", "key", "n", "centre", "label", F.row_number().over(order).alias("rank"))
 
@@ -195,7 +194,7 @@ def kept_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = near_duplicates(spark, docs).where("kept AND shingles > 0").select("doc_id", "key")
     found = write_table(found, f"{work_folder(spark)}/kept")
     key, names = free_name(docs, "word_key"), docs.columns
-    schema = docs.schema.add(key, "binary").add(f"{key}_none", "boolean")
+    schema = StructType([*docs.schema.fields, StructField(key, BinaryType()), StructField(f"{key}_none", BooleanType())])
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

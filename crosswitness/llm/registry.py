@@ -1,8 +1,8 @@
 """Queries of this subpackage and their SQL counterparts."""
 
-from crosswitness.llm import decontaminate, exact_dedup, near_dedup, quality, toxicity
+from crosswitness.llm import decontaminate, exact_dedup, line_dedup, near_dedup, quality, toxicity
 
-MODULES = (exact_dedup, decontaminate, quality, near_dedup, toxicity)
+MODULES = (exact_dedup, decontaminate, quality, near_dedup, toxicity, line_dedup)
 
 
 def queries() -> dict:
