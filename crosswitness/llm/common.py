@@ -45,6 +45,11 @@ def words(lowered: Column) -> Column:
     return F.array_remove(F.split(lowered, BETWEEN_WORDS), "")
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once per row, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the table does not use."""
     taken = {c.lower() for c in df.columns}

@@ -23,20 +23,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosswitness.llm.common import ascii_lower, only, table, words, work_folder, write_table
+from crosswitness.llm.common import ascii_lower, let, only, table, words, work_folder, write_table
 
 WINDOW, GRAM = 13, 5
 RUN = WINDOW - GRAM + 1
 
 
-def _gram(at: int, n: int) -> Column:
-    """Hash of n words from the current place plus ``at``; null beyond the text or before it."""
-    return F.xxhash64(*[F.get("wh", F.col("j") + (at + i)) for i in range(n)])
-
-
-def _least(offset: int) -> Column:
-    """Smallest gram hash of the run that starts at the current place plus ``offset``; its low 4 bits tell which gram."""
-    return F.least(*[_gram(offset + k, GRAM).bitwiseAND(~15).bitwiseOR(k) for k in range(RUN)])
+def _grams(hashes: Column, n: int) -> Column:
+    """Hash of the n words from each place on; places near the end see fewer words and must not be used."""
+    return let(hashes, lambda a: F.transform(a, lambda x, i: F.xxhash64(x, *[F.get(a, i + k) for k in range(1, n)])))
 
 
 def _hashed(df: DataFrame, *keep: str) -> DataFrame:
@@ -46,13 +41,17 @@ def _hashed(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def _winnowed(df: DataFrame, *keep: str) -> DataFrame:
-    """A row per fingerprint: its hash ``f`` and place ``p``; a text of under 13 words gives one row with null ``f``."""
-    places = df.select(*keep, "w", "wh", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - WINDOW, F.lit(0)))).alias("j"))
-    mins = places.select(*keep, "w", "n", "j", _least(0).alias("m"), _least(-1).alias("before"))
-    at = mins.select(*keep, "w", "n", "j", "m", (F.col("j") + F.col("m").bitwiseAND(15).cast("int")).alias("p"),
-                     (F.col("j") - 1 + F.col("before").bitwiseAND(15).cast("int")).alias("q"))
-    return at.where((F.col("j") == 0) | (F.col("p") != F.col("q"))).select(
-        *keep, "w", "n", "j", "p", F.when(F.col("n") >= WINDOW, F.col("m").bitwiseAND(~15)).alias("f"))
+    """A row per fingerprint: its hash ``f`` and place ``p``; a text of under 13 words gives one row with null ``f``.
+
+    The low 4 bits of a hash make room for the gram's number in its run, so the least value of a run names the place too.
+    """
+    df = df.select(*keep, "w", "n", F.transform(_grams(F.col("wh"), GRAM), lambda g: g.bitwiseAND(~15)).alias("g"))
+    runs = F.sequence(F.lit(0), F.greatest(F.col("n") - WINDOW, F.lit(0)))
+    least = let(F.col("g"), lambda g: F.transform(runs, lambda j: j + F.least(*[F.get(g, j + k).bitwiseOR(k) for k in range(RUN)]).bitwiseAND(15).cast("int")))
+    df = df.select(*keep, "w", "n", "g", F.when(F.col("n") >= WINDOW, F.array_distinct(least)).otherwise(F.array(F.lit(0))).alias("places"))
+    # The outer form: a plain explode makes Spark filter on the whole expression a second time, at the scan.
+    df = df.select(*keep, "w", "n", "g", F.posexplode_outer("places").alias("j", "p"))
+    return df.select(*keep, "w", "n", "j", "p", F.when(F.col("n") >= WINDOW, F.get("g", F.col("p"))).alias("f"))
 
 
 def _windows(benchmark: DataFrame) -> DataFrame:
@@ -88,12 +87,12 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, te
         F.array_join(F.slice("around", F.col("s") + 1, WINDOW), " ").alias("window")).distinct()
     parts = [tried]
     if lengths:
-        flat = hashed.select("digest", "w", "wh", "n", F.posexplode("wh").alias("j", "_h"))
         for n in lengths:
             short = windows.where(F.col("length") == n).select(F.split("window", " ").alias("w")).select(
-                F.transform("w", lambda x: F.xxhash64(x)).alias("wh"), F.lit(0).alias("j")).select(_gram(0, n).alias("f")).distinct()
+                F.get(_grams(F.transform("w", lambda x: F.xxhash64(x)), n), 0).alias("f")).distinct()
             short = write_table(short, f"{root}/short-{n}")
-            at = flat.where(F.col("j") <= F.col("n") - n).select("digest", "w", "j", _gram(0, n).alias("f")).join(short, "f", "left_semi")
+            at = hashed.select("digest", "w", "n", F.posexplode_outer(_grams(F.col("wh"), n)).alias("j", "f")).where(F.col("j") <= F.col("n") - n)
+            at = at.join(short, "f", "left_semi")
             parts.append(at.select("digest", F.col("j").alias("start"), F.lit(n).alias("length"),
                                    F.array_join(F.slice("w", F.col("j") + 1, n), " ").alias("window")).distinct())
     tried = write_table(reduce(DataFrame.unionByName, parts), f"{root}/tried")
