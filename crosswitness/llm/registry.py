@@ -1,8 +1,8 @@
 """Queries of this subpackage and their SQL counterparts."""
 
-from crosswitness.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, quality, toxicity
+from crosswitness.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, quality, toxicity, url_filter
 
-MODULES = (exact_dedup, decontaminate, quality, near_dedup, toxicity, byte_bpe, line_dedup)
+MODULES = (exact_dedup, decontaminate, quality, near_dedup, url_filter, toxicity, byte_bpe, line_dedup)
 
 
 def queries() -> dict:
