@@ -7,12 +7,12 @@ places (ProbMinHash).  Places agree with the probability Jaccard similarity.  25
 places propose candidates: a pair at 0.8 is missed with probability 0.00005.
 
 Texts with the same word sequence are one *class*; only classes are compared, so copies are
-never expanded into pairs.  A band bucket is searched leader by leader: every member is compared
-exactly (Jaccard of the shingle sets, whole texts) with the most central member, then with
-further leaders in doubling numbers, but only while the bucket still holds members that are not
-connected.  A bucket that stays disconnected is thereby compared completely, so no link that
-could join two groups is lost, and a bucket whose members are all connected costs one
-comparison a member.  Groups are the connected components.
+never expanded into pairs.  In a band bucket every member is compared exactly (Jaccard of the
+shingle sets, whole texts) with the most central member.  Where that leaves members outside
+the bucket's largest group, these are compared with all members, a block against a block at a
+time, and only links that join two groups come out.  So no candidate pair that could join two
+groups is left out, and what is written grows with the members, not with their pairs.  Groups
+are the connected components.
 
 Defined results: a text without words (null, empty) is like nothing and stays alone; a text of
 one to four words has one shingle, itself; the representative is the smallest id (null ids last,
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
@@ -37,6 +37,8 @@ from crosswitness.llm.textops import mix, shingles, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
+#: Members in a block when a bucket is searched in full.
+BLOCK = 256
 _U = np.uint64
 
 
@@ -127,18 +129,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id
     texts = _texts_of(docs, text, central.select("key"))
     texts = write_table(texts, f"{root}/texts")
 
-    links, labels, upto, turn = None, None, 0, 0
-    open_members = members
-    while True:
-        turn += 1
-        lower, upto = upto, max(1, 2 * upto)
-        edges = _leaders(open_members, lower, upto, f"{root}/tried-{turn}")
-        good = _verified(edges, texts)
-        links = write_table(good if links is None else links.union(good), f"{root}/links-{turn}")
-        labels = components(links, f"{root}/components-{turn}")
-        open_members = write_table(_still_open(members, labels, upto), f"{root}/open-{turn}")
-        if open_members.isEmpty():
-            break
+    lead = write_table(members.groupBy("bucket").agg(F.max_by("key", F.struct("centre", "key")).alias("a")), f"{root}/leaders")
+    edges = members.join(lead, "bucket").where("a <> key").select("a", F.col("key").alias("b")).distinct()
+    links = write_table(_verified(write_table(edges, f"{root}/tried"), texts), f"{root}/links")
+    labels = components(links, f"{root}/components")
+    rest = _within_buckets(members, labels, texts, root)
+    if not rest.isEmpty():
+        links = write_table(links.union(_verified(rest, texts)), f"{root}/all-links")
+        labels = components(links, f"{root}/all-components")
     return _labelled(signed, labels, root)
 
 
@@ -150,30 +148,73 @@ def _texts_of(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
     return only(docs, text=text).mapInPandas(keyed, "key binary, text string").join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
-def _leaders(members: DataFrame, lower: int, upto: int, path: str) -> DataFrame:
-    """Pairs (a leader, b member) of each bucket for the leaders of rank lower + 1 to upto, most central first."""
-    if upto == 1:
-        lead = members.groupBy("bucket").agg(F.max_by("key", F.struct("centre", "key")).alias("a"))
-        pairs = members.join(write_table(lead, f"{path}-leaders"), "bucket").where("a <> key").select("a", F.col("key").alias("b"))
-    else:
-        lead = members.where((F.col("rank") > lower) & (F.col("rank") <= upto)).select("bucket", F.col("key").alias("a"), F.col("label").alias("of"), F.col("rank").alias("r"))
-        pairs = members.join(lead, "bucket").where("label <> of AND rank > r").select("a", F.col("key").alias("b"))
-    return write_table(pairs.distinct(), path)
-
-
 def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
     a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     return edges.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInPandas(_similar, "a binary, b binary")
 
 
-def _still_open(members: DataFrame, labels: DataFrame, upto: int) -> DataFrame:
-    """Members, with rank and component, of the buckets that have more members than leaders tried and are not connected."""
-    now = members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    now = now.where(F.col("n") > upto)
-    mixed = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    order = Window.partitionBy("bucket").orderBy(F.desc("centre"), F.desc("key"))
-    return now.join(mixed, "bucket").select("bucket", "key", "n", "centre", "label", F.row_number().over(order).alias("rank"))
+def _within_buckets(members: DataFrame, labels: DataFrame, texts: DataFrame, root: str) -> DataFrame:
+    """Further links inside the buckets that are not connected yet, at most one for each two groups and block pair.
+
+    Members outside a bucket's largest group meet all members, a block of each at a time, so no
+    task sees more than two blocks.  Sets travel as 32-bit shingle hashes; links are verified in full afterwards.
+    """
+    now = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    now = write_table(now, f"{root}/labelled-members")
+    sizes = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("groups"))
+    buckets = buckets.where("groups > 1").select(
+        "bucket", F.col("top.label").alias("top"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rest"))
+    buckets = write_table(buckets, f"{root}/open")
+    sets = write_table(texts.mapInPandas(_short_sets, "key binary, short binary"), f"{root}/sets")
+    rows = now.join(buckets, "bucket").join(sets, "key")
+    cols = ("bucket", "x", "y", "outside", "key", "label", "short")
+    block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = rows.withColumn("y", block("blocks")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("rest") - 1))).withColumn("outside", F.lit(False)).select(*cols)
+    others = rows.where("label <> top").withColumn("x", block("rest")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = others.withColumn("outside", F.lit(True)).select(*cols)
+    found = every.unionByName(others).groupBy("bucket", "x", "y").applyInPandas(_block_links, "a binary, b binary")
+    return write_table(found.distinct(), f"{root}/block-links")
+
+
+def _short_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        sets = [np.unique(shingles(word_hashes(t.encode("utf-8", "surrogatepass"))[0], WORDS).astype(np.uint32)).tobytes() for t in b["text"]]
+        yield pd.DataFrame({"key": b["key"], "short": sets})
+
+
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the groups of one block pair; a sorted list of (shingle, member) gives all intersections of an outsider."""
+    every, outside = rows[~rows["outside"]].sort_values("key"), rows[rows["outside"]].sort_values("key")
+    sets = [np.frombuffer(s, np.uint32) for s in every["short"]]
+    keys, group = every["key"].to_list(), every["label"].to_list()
+    joined: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    found = []
+    if len(sets) and len(outside):
+        n = np.array([len(s) for s in sets])
+        owner, flat = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for key, label, short in zip(outside["key"], outside["label"], outside["short"]):
+            own = np.frombuffer(short, np.uint32)
+            lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            count = hi - lo
+            at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            shared = np.bincount(owner[at], minlength=len(sets))
+            for i in np.flatnonzero(shared >= (SIMILARITY - 1e-6) * (n + len(own) - shared)):
+                x, y = top(label), top(group[i])
+                if x != y:
+                    joined[x] = y
+                    found.append((key, keys[i]))
+    return pd.DataFrame(found, columns=["a", "b"])
 
 
 def _labelled(signed: DataFrame, labels: DataFrame, root: str) -> DataFrame:
