@@ -1,0 +1,345 @@
+"""Operators of the llm subpackage: edge cases with defined results, and brute force where SQL has none."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from crosswitness.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, quality, registry, secret_scan, suffix_dedup, toxicity, url_filter
+
+SF = "/root/testdata/sf0.001"
+DDL = "doc_id long, text string, lang string, source string, n_chars long"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+PROSE = [f"w{i % 83}x{i * 7 % 31} " for i in range(400)]
+LONG = "".join(PROSE)
+EDITED = "".join(PROSE[:200] + ["changed "] + PROSE[201:])
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, ties and repeated rows."""
+    rows = [
+        (1, LONG, "en", "s", 9), (2, LONG.upper(), None, None, None), (3, EDITED, "en", "s", 1), (4, None, "en", "s", 0), (5, "", "en", "s", 0), (5, "", "en", "s", 0),
+        (None, LONG, "en", "s", 3), (None, None, None, None, None), (7, "Ünïcode ñ " * 4000, "de", "s", 1), (8, "one two", "en", "s", 7), (8, "one two", "en", "s", 7), (9, "ONE two", "en", "s", 7),
+    ]
+    return spark.createDataFrame(rows, DDL)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def clashing(df):
+    """Columns under the names that the operators use inside."""
+    names = ("key", "ids", "decoded", "score", "toxicity", "word_key", "own_text", "dropped_lines", "n_lines", "n_dropped", "digest", "label", "y", "d", "row", "w", "low")
+    return df.select("*", *[F.lit(1).alias(c) for c in names])
+
+
+def documents(sf=SF):
+    return duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet' ORDER BY doc_id").fetchall()
+
+
+def same(got, sql, sf=SF):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "labels", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(sql).fetch_df()
+    assert sorted(got.columns) == sorted(want.columns)
+    cells = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).itertuples(index=False)))
+    assert cells(got.toPandas()) == cells(want)
+
+
+def test_registered_queries_cover_every_number():
+    assert {int(n[2:].split("_")[0]) for n in registry.queries()} == set(range(1, 11))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line-dedup", "near-dedup", "decontamination", "byte-bpe"]
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle()))
+def test_query_equals_sql(spark, name):
+    same(registry.queries()[name](spark, SF), registry.oracle()[name])
+
+
+def test_exact_dedup_edges(spark, odd, empty, tmp_path):
+    got = exact_dedup.kept_rows(spark, clashing(odd), str(tmp_path / "a")).collect()
+    assert len(got) == 12 and len({r.text_sha256 for r in got}) == 5
+    assert sum(r.kept for r in got) == 5  # one row of each text, repeated rows included
+    long = hashlib.sha256(LONG.encode()).hexdigest()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got if r.text_sha256 == long} == {(1, 2, 3, False), (2, 2, 3, True), (None, 2, 3, False)}
+    assert exact_dedup.kept_rows(spark, empty, str(tmp_path / "b")).count() == 0
+
+
+def test_digest_index_persists_and_keeps_earlier_batches(spark, tmp_path):
+    path = str(tmp_path / "index")
+    first = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string")
+    exact_dedup.DigestIndex(spark, path, 4).ingest(first, "one").collect()
+    again = exact_dedup.DigestIndex(spark, path, 4).ingest(spark.createDataFrame([(9, "B"), (8, "c"), (7, "c")], "doc_id long, text string"), "two")
+    assert {(r.doc_id, r.keep_id, r.kept) for r in again.collect()} == {(9, 3, False), (8, 8, True), (7, 8, False)}
+    assert exact_dedup.DigestIndex(spark, path, 4).table().count() == 3
+
+
+def test_decontaminate_edges(spark, odd, empty):
+    items = [(1, " ".join(f"Q{i}" for i in range(20))), (2, "one TWO"), (3, None), (4, ""), (None, "ñ"), (2, "one TWO"), (5, " ".join(PROSE[100:140]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.n_words): r for r in decontaminate.judged(spark, clashing(odd), bench).collect()}
+    assert (got[8, 2].n_hit, got[8, 2].n_items, got[8, 2].contaminated) == (2, 1, True)
+    assert got[8, 2].items_sha256 == hashlib.sha256(b"2").hexdigest()
+    assert (got[7, 8000].n_hit, got[7, 8000].n_items) == (4000, 0)  # an item without id marks words only
+    assert got[1, 400].n_hit >= 40 and got[1, 400].contaminated
+    assert (got[4, 0].n_hit, got[4, 0].contaminated) == (0, False)
+    assert decontaminate.judged(spark, empty, bench).count() == 0
+    assert decontaminate.judged(spark, odd, bench.limit(0)).where("n_hit > 0").count() == 0
+    kept = decontaminate.clean_rows(spark, clashing(odd), bench)
+    assert kept.columns == clashing(odd).columns and {r.doc_id for r in kept.collect()} == {4, 5, None}
+
+
+def test_near_duplicates_edges_and_brute_force(spark, odd, empty):
+    got = near_dedup.near_duplicates(spark, clashing(odd)).select("doc_id", "class_id", "kept").collect()
+    assert len(got) == 12
+    assert {r.class_id for r in got if r.doc_id in (1, 2, 3)} == {1} and {r.class_id for r in got if r.doc_id in (8, 9)} == {8}
+    assert sum(r.kept for r in got) == 3 + 4  # three groups of texts with words; four rows without words stay alone
+    assert near_dedup.near_duplicates(spark, empty).count() == 0
+    kept = near_dedup.kept_rows(spark, clashing(odd))
+    assert kept.columns == clashing(odd).columns and kept.count() == 7
+
+    sets = {i: {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} for i, t in documents() if (w := WORD.findall(t.translate(LOWER)))}
+    parent = {i: i for i in sets}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in sets:
+        for b in sets:
+            if a < b and (n := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    found = {r.doc_id: r.class_id for r in near_dedup.op4_minhash_near_dedup(spark, SF).collect()}
+    assert found == {i: find(i) for i in sets}
+
+
+def test_open_buckets_are_searched_in_full(spark):
+    """Outsiders of a bucket are compared with all its members, over several blocks."""
+    import numpy as np
+    import pandas as pd
+
+    base = np.arange(100, dtype=np.uint32)
+    own = lambda k: np.sort(np.concatenate([base[k:], np.arange(1000 * k, 1000 * k + k, dtype=np.uint32)])).astype(np.uint32)
+    rows = [(0, 0, 0, False, b"a", b"a", own(0).tobytes()), (0, 0, 0, False, b"b", b"b", own(9).tobytes()), (0, 0, 0, False, b"c", b"c", own(60).tobytes()),
+            (0, 0, 0, True, b"b", b"b", own(9).tobytes()), (0, 0, 0, True, b"c", b"c", own(60).tobytes())]
+    out = near_dedup._block_links(pd.DataFrame(rows, columns=["bucket", "x", "y", "outside", "key", "label", "short"]))
+    assert out.values.tolist() == [[b"b", b"a"]]
+
+
+def test_prob_minhash_estimates_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a = rng.integers(1, 2**63, 1000).astype(np.uint64)
+    b = np.concatenate([a[:900], rng.integers(1, 2**63, 100).astype(np.uint64)])
+    sig = near_dedup.prob_minhash(np.repeat([0, 1], 1000), np.concatenate([a, b]), np.ones(2000), 2, places=2000)
+    assert abs((sig[0] == sig[1]).mean() - 900 / 1100) < 0.04
+
+
+def test_suffix_dedup_edges_and_brute_force(spark, odd, empty):
+    got = {(r.doc_id, r.n_bytes): r for r in suffix_dedup.deduplicated(spark, clashing(odd)).collect()}
+    assert got[3, len(EDITED)].n_removed > 0.9 * len(EDITED) and got[1, len(LONG)].n_removed == 0
+    assert got[None, len(LONG)].n_removed == len(LONG) and bytes(got[None, len(LONG)].kept) == b""  # a null id is last
+    assert got[2, len(LONG)].n_removed == 0 and got[5, 0].n_removed == 0  # upper case differs
+    assert suffix_dedup.deduplicated(spark, empty).count() == 0
+    first, want = {}, {}
+    for i, t in documents():
+        b = t.encode()
+        hit = bytearray(len(b))
+        for p in range(len(b) - 49):
+            f = first.setdefault(b[p:p + 50], i)
+            if f < i:
+                hit[p:p + 50] = b"\1" * 50
+        spans = sum(1 for p in range(len(b)) if hit[p] and not (p and hit[p - 1]))
+        want[i] = (len(b), sum(hit), spans, hashlib.sha256(bytes(c for c, h in zip(b, hit) if not h)).hexdigest())
+    found = suffix_dedup.op6_suffix_dedup(spark, SF).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == want
+
+
+def test_cover_slices_do_not_change_the_result(monkeypatch):
+    import numpy as np
+
+    data = (b"abcdefghij" * 40 + bytes(range(32, 127)) * 5) * 3
+    whole = {int(x) for at, c in suffix_dedup.covers(data) for x in c.names(np.arange(int(c.hi[-1]) + 1), 50)}
+    monkeypatch.setattr(suffix_dedup, "SLICE", 97)
+    parts = [c for _, c in suffix_dedup.covers(data)]
+    assert sum(int(c.hi[-1]) + 1 for c in parts) == len(data) - 49
+    assert {int(x) for c in parts for x in c.names(np.arange(int(c.hi[-1]) + 1), 50)} == whole
+
+
+def test_byte_bpe_equals_the_reference_tokenizer(spark, odd, empty):
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in byte_bpe.round_trip(spark, clashing(odd)).collect():
+        assert (r._ids, bytes(r._decoded)) == (enc.encode_ordinary(r.text or ""), (r.text or "").encode())
+    assert byte_bpe.digests(spark, empty).count() == 0
+    codec = byte_bpe.Codec(ranks, P.PATTERN)
+    for t in ("a" * 1000, "abcde" * 300, "é" * 500, " hi\n\n  x  \n", " x\u0085 y's 'S 12345 ...!!", "<|endoftext|>", "\U0001f600" * 9):
+        assert codec.encode_all([t])[0].tolist() == codec.encode(t).tolist() == enc.encode_ordinary(t)
+    want = {i: (len(x := enc.encode_ordinary(t)), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in documents()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.op8_byte_bpe(spark, SF).collect()} == want
+
+
+def test_codec_forgets_within_bounds(monkeypatch):
+    import public_tokenizers as P
+
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 5)
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    texts = ["alpha beta gammadelta", "epsilonzeta eta", "alpha beta gammadelta"]
+    assert codec.encode_all(texts[:1])[0].tolist() == [codec.encode_all([t])[0].tolist() for t in texts][2]
+
+
+def test_toxicity_folding_phrases_and_edges(spark, odd, empty):
+    m = toxicity.Model({toxicity.folded(t).strip(): 4.0 for t in toxicity.SEED_TERMS}, frozenset(toxicity.folded(p).strip() for p in toxicity.EXCEPTIONS))
+    for text in ("you IDIOT", "1d10t!", "you w0rthless", "mоrоn", "l0$er here", "páthetic", "an id*iot", "idiot\n" * 3):
+        assert m.sums(text)[0] > 0, text
+    for text in (None, "", "a trash can by the road", "clown fish", "idiotic idiom", "100 1000", "scumble"):
+        assert m.sums(text)[0] == 0, text
+    got = toxicity.score(clashing(odd), m, into="_s")
+    assert got.count() == 12 and got.where("_s > 0.5").count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.accepted(spark, clashing(odd), labels).columns == clashing(odd).columns
+    assert toxicity.accepted(spark, empty, labels).count() == 0
+
+
+def test_classifiers_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for query, label, least in ((toxicity.op7_toxicity, "toxic", 0.9), (quality.op3_quality, "quality", 0.95)):
+        rows = query(spark, sf).join(labels, "doc_id").where("held_out").select("score", "predicted", label).collect()
+        assert len(rows) > 50 and all(0 <= r.score <= 1 for r in rows)
+        assert sum(r.predicted == r[label] for r in rows) / len(rows) >= least
+
+
+def test_quality_edges(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    stats = quality.measured(clashing(odd))
+    assert stats.where(F.size("x") != len(quality.NAMES)).count() == 0
+    got = quality.score(stats, quality.train(spark, stats, labels)).collect()
+    assert len(got) == 12 and all(0 <= r.score <= 1 for r in got)
+    none = quality.measured(empty)
+    assert quality.score(none, quality.train(spark, none, labels.limit(0))).count() == 0
+
+
+def test_forest_learns_and_walks_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 4))
+    y = ((x[:, 0] > 0.3) & (x[:, 2] < 0.5)).astype(float)
+    f = quality.grow(x, y, trees=40)
+    assert ((f.scores(x) > 0.5) == y).mean() > 0.97
+    i, total = 0, f.base
+    for at in f.roots:
+        while f.feature[at] >= 0:
+            at = f.left[at] + (x[i, f.feature[at]] > f.cut[at])
+        total += f.value[at]
+    assert abs(1 / (1 + np.exp(-total)) - f.scores(x[:1])[0]) < 1e-12
+
+
+def test_line_dedup_templates_and_edges(spark, odd, empty):
+    body = lambda i: "\n".join(f"sentence {k} of text number q{i}v{k} " + " ".join(f"t{i * 37 + k * 11 + j}z" for j in range(9)) for k in range(6))
+    texts = [(i, f"Licensed under the Apache License, Version {i}.0\n{body(i)}\nshort line", "en", "s", 1) for i in range(30)]
+    copies = [(100 + i, "These four lines are held\nby many exact copies only\nand have to stay there", "en", "s", 1) for i in range(40)]
+    docs = spark.createDataFrame(texts + copies, DDL)
+    got = {r.doc_id: r for r in line_dedup.deduplicated(spark, clashing(docs), counts=True).collect()}
+    assert all("Licensed" not in got[i].text and got[i]._n_dropped == 1 and got[i].text.endswith("short line") for i in range(30))
+    assert all(got[100 + i].text == copies[0][1] for i in range(40))
+    out = line_dedup.deduplicated(spark, clashing(odd))
+    assert out.columns == clashing(odd).columns and sorted(map(str, out.collect())) == sorted(map(str, clashing(odd).collect()))
+    assert line_dedup.deduplicated(spark, empty).count() == 0
+
+
+def test_line_dedup_against_a_plain_version(spark):
+    """The same counts and templates, built with dictionaries."""
+    kin, text_of = {}, defaultdict(set)
+    for _, t in documents():
+        for line in line_dedup._lines(t):
+            text_of[line].add(t)
+        kin[t] = line_dedup.family(line_dedup.word_hashes(t.encode())[0])
+    leaf = {x: (len(p := x.split(" ")), tuple(p[:3])) for x in text_of}
+    fam = {x: len({kin[t] for t in ts}) for x, ts in text_of.items()}
+    weight = defaultdict(int)
+    for x in text_of:
+        for at, tok in enumerate(x.split(" ")):
+            weight[leaf[x], at, tok] += fam[x]
+    shape = {}
+    for x in text_of:
+        tokens = [tok if tok != "<*>" and weight[leaf[x], at, tok] >= 10 else "<*>" for at, tok in enumerate(x.split(" "))]
+        if sum(t != "<*>" for t in tokens) >= 0.7 * len(tokens):
+            shape[x] = (leaf[x], " ".join(tokens))
+    n, of = defaultdict(int), defaultdict(int)
+    for x, s in shape.items():
+        n[s] += fam[x]
+        of[s] += len(text_of[x])
+    drop = {x for x, s in shape.items() if n[s] >= 10 and n[s] >= 0.3 * of[s]}
+    want = {i: "\n".join(line for line in t.split("\n") if " ".join(line_dedup.masked(line)) not in drop) for i, t in documents()}
+    assert drop and {r.doc_id: r.text for r in line_dedup.op10_line_dedup(spark, SF).collect()} == want
+
+
+def test_url_rules_and_mined_rules(spark):
+    urls = ["http://a.NET/x", "https://b.example.net/en/1?k=1", "http://example.com/de/2", "http://x.org/fr/", "http://x.org/en/", None, "nothing", "http://", "http://net", "http://net/#f",
+            "http://aexample.com/de/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(4, urls[4]), (None, urls[0])], "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = {(r.page_id, r.host): r for r in url_filter.judged(spark, pages).collect()}
+    rule = lambda i, h: (got[i, h].path, got[i, h].rule, got[i, h].verdict)
+    assert rule(0, "a.net") == ("/x", "net/", "block") and rule(1, "b.example.net") == ("/en/1", "example.net/en/", "allow")
+    assert rule(2, "example.com") == ("/de/2", "example.com/de/", "block") and rule(3, "x.org") == ("/fr/", "org/fr/", "allow")
+    assert got[5, ""].rule is None and got[5, ""].verdict == "allow" and got[6, ""].path == "" and got[8, "net"].rule is None and got[9, "net"].rule == "net/"
+    assert got[10, "aexample.com"].rule is None
+    assert url_filter.judged(spark, pages.limit(0)).count() == 0
+
+
+def test_mined_rules_against_brute_force(spark, tmp_path):
+    from itertools import combinations
+
+    rows = [(["host=a", "path=x"], "block")] * 30 + [(["host=b", "path=x"], "allow")] * 30 + [(["host=a", "path=y"], "allow")] * 4 + [(["host=c"], "block")] * 3
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    got = {(tuple(r.tokens), r.verdict): r.confidence for r in url_filter.mine(labelled, str(tmp_path), 0.03, 0.8).collect()}
+    want, n = {}, len(rows)
+    for size in (1, 2, 3):
+        for items in {c for t, _ in rows for c in combinations(sorted(t), size)}:
+            hold = [v for t, v in rows if set(items) <= set(t)]
+            for v in ("allow", "block"):
+                if hold.count(v) >= 0.03 * n and hold.count(v) / len(hold) >= 0.8:
+                    want[items, v] = hold.count(v) / len(hold)
+    want = {(t, v): c for (t, v), c in want.items() if not any(want.get((p, v), -1) >= c for k in range(1, len(t)) for p in combinations(t, k))}
+    assert {k: round(c, 9) for k, c in got.items()} == {k: round(c, 9) for k, c in want.items()}
+
+
+def test_secret_scan(spark, odd, empty):
+    secret = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'some words token = "{secret(i)}" and mail a.{i:04d}@mail.example.com or {10**15 + i}', "en", f"src{i % 3}", 1) for i in range(120)]
+    got = secret_scan.scanned(spark, clashing(spark.createDataFrame(rows, DDL))).collect()
+    assert len(got) == 360 and all(r.secret == (len(r.value) == 40) for r in got)
+    assert secret_scan.scanned(spark, clashing(odd)).count() == 0 and secret_scan.scanned(spark, empty).count() == 0
+
+
+def test_pipeline_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns == [*docs.columns, "ids", "decoded"]
+    rows = out.collect()
+    assert all(r.text == r.decoded and r.n_chars == len(r.text) for r in rows)
+    assert 100 < len(rows) < docs.count() and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, SF).columns == odd.columns, name
+        assert stage(spark, empty, SF).count() == 0, name
