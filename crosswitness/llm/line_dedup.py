@@ -22,6 +22,7 @@ rows get the same text; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,9 +41,13 @@ CONSTANT, SPREAD = 0.7, 0.3
 WILD = "<*>"
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def masked(line: str) -> list[str]:
     """Tokens of a line, those with a digit as the wildcard."""
-    return [WILD if any(c.isdigit() for c in t) else t for t in line.split()]
+    tokens = line.split()
+    return [WILD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
 
 
 def _name(text: str) -> bytes:
