@@ -8,12 +8,10 @@ from crosswitness.catalog.check_queries import TRV, LOOKUP_SQL, check_sql
 from crosswitness.catalog.testbed import PRELUDE, study
 from crosswitness.plans import detect
 from crosswitness.plans.checks import ARCHETYPES, run_checks
-from crosswitness.plans.enrich import pick_subjects
 from crosswitness.plans.inject import compatible_set
 
 Q: dict = {}
 O: dict = {}
-CANDIDATES = 10  # the experiment tries this many subjects per contradiction
 _RUNS: dict = {}
 
 
@@ -22,7 +20,7 @@ def _candidate_run(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
         st = study(spark, sf)
-        plan = detect.candidates(st, run_checks(st, ARCHETYPES), ARCHETYPES, CANDIDATES)
+        plan = detect.candidates(st, run_checks(st, ARCHETYPES), ARCHETYPES)
         scenarios = detect.scenario_study(st, plan, ARCHETYPES)
         _RUNS[key] = (scenarios, detect.scenario_flags(scenarios))
     return _RUNS[key]
@@ -39,19 +37,28 @@ def query(name: str, sql: str = ""):
 
 @query("EV05")
 def _(spark, sf):
-    return detect.delta_detection(_candidate_run(spark, sf)[1])
+    scenarios, flags = _candidate_run(spark, sf)
+    return detect.delta_detection(flags, scenarios)
 
 
 @query("EV06")
 def _(spark, sf):
     clean = run_checks(study(spark, sf), ARCHETYPES)
-    return detect.single_pass(_candidate_run(spark, sf)[1], clean)
+    scenarios, flags = _candidate_run(spark, sf)
+    return detect.single_pass(flags, clean, scenarios)
+
+
+def _verdicts(spark, sf):
+    """One row per archetype: A17 is judged on the cohort, A19 with its derived rows added after the injection."""
+    st = study(spark, sf)
+    scenarios, flags = _candidate_run(spark, sf)
+    alone = tuple(a for a in ARCHETYPES if a not in ("A17", "A19"))
+    return detect.summarise(scenarios, flags, alone).unionByName(detect.by_cohort(st, "A17")).unionByName(detect.by_lookup(st))
 
 
 @query("EV07")
 def _(spark, sf):
-    scenarios, flags = _candidate_run(spark, sf)
-    return detect.summarise(scenarios, flags, ARCHETYPES)
+    return _verdicts(spark, sf)
 
 
 DM1 = """, fa AS (SELECT USUBJID FROM dm t WHERE EXISTS (SELECT 1 FROM dm x WHERE x.ARMCD = t.ARMCD AND x.ARM <> t.ARM)),
@@ -81,14 +88,13 @@ def _(spark, sf):
 @query("EV09")
 def _(spark, sf):
     st = study(spark, sf)
-    scenarios, flags = detect.scenario_flags_of(st, ("H01", "H02", "H03", "H04", "H05"), pick_subjects(st, CANDIDATES))
+    scenarios, flags = detect.scenario_flags_of(st, ("H01", "H02", "H03", "H04", "H05"), st["DM"].select("USUBJID").distinct())
     return detect.held_out(scenarios, flags)
 
 
 @query("EV10")
 def _(spark, sf):
-    scenarios, flags = _candidate_run(spark, sf)
-    return detect.recall_on_applicable(study(spark, sf), detect.summarise(scenarios, flags, ARCHETYPES))
+    return detect.recall_on_applicable(study(spark, sf), _verdicts(spark, sf))
 
 
 @query("EV17")

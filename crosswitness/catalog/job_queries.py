@@ -195,7 +195,7 @@ def _(spark, sf):
 SEG = 2000
 AUDIT = f"""WITH RECURSIVE e AS (
   SELECT concat('U', CAST(user_id AS VARCHAR)) AS subject, event_id AS seq, event_id // {SEG} AS segment,
-    concat('{{"archetype":"', event_type, '","seq":"', CAST(event_id AS VARCHAR), '"}}') AS body FROM events),
+    concat('{{"archetype":"', event_type, '","seq":', CAST(event_id AS VARCHAR), '}}') AS body FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY subject, segment ORDER BY seq) AS n FROM e),
 ch AS (SELECT subject, segment, seq, n, concat_ws('/', 'genesis', subject, CAST(segment AS VARCHAR)) AS prev_hash,
     sha256(concat(concat_ws('/', 'genesis', subject, CAST(segment AS VARCHAR)), body)) AS entry_hash FROM r WHERE n = 1
@@ -214,7 +214,7 @@ def _chained(spark, sf):
     return audit.chain(_entries(spark, sf), BODY, SEG)
 
 
-@query("AU01", "SELECT event_id AS seq, sha256(concat('genesis{\"archetype\":\"', event_type, '\",\"seq\":\"', CAST(event_id AS VARCHAR), '\"}')) AS h FROM events")
+@query("AU01", "SELECT event_id AS seq, sha256(concat('genesis{\"archetype\":\"', event_type, '\",\"seq\":', CAST(event_id AS VARCHAR), '}')) AS h FROM events")
 def _(spark, sf):
     return _entries(spark, sf).select("seq", F.sha2(F.concat(F.lit(audit.GENESIS), audit.payload(BODY)), 256).alias("h"))
 

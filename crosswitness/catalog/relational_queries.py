@@ -473,7 +473,7 @@ def _(st, spark, sf):
     return st["TR"].select("TRSPID", F.md5("TRSPID").alias("m"), F.sha2("TRSPID", 256).alias("s"))
 
 
-@query("F14", """SELECT event_id, concat('{"event":"', event_type, '","user":"', CAST(user_id AS VARCHAR), '"}') AS j FROM events""", "")
+@query("F14", """SELECT event_id, concat('{"event":"', event_type, '","user":', CAST(user_id AS VARCHAR), '}') AS j FROM events""", "")
 def _(st, spark, sf):
     return table(spark, sf, "events").select("event_id", sc.canonical_json({"user": F.col("user_id"), "event": F.col("event_type")}).alias("j"))
 

@@ -86,6 +86,5 @@ def norm_target(c: Column) -> Column:
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:
-    """JSON object of the fields in sorted key order; NULLs stay visible."""
-    ordered = [F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in sorted(fields.items())]
-    return F.to_json(F.struct(*ordered))
+    """JSON object of the fields in sorted key order; NULL is ``null``, and numbers and texts stay apart."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(fields.items())]), {"ignoreNullFields": "false"})

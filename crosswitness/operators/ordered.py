@@ -3,11 +3,14 @@
 While the measured groups fit a task these are ordinary windows.  For larger groups the
 order is cut into consecutive buckets: a window runs inside each bucket, the buckets are
 summarised to one row each, the summaries are carried forward, and the carried value is
-joined back.  No task then holds more than one bucket of one group.
+joined back.  No task then holds more than one bucket of one group.  NULL keys, orders and
+buckets are groups like any other on either path; NULLs come first.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,13 @@ def _plain(load: Load | None) -> bool:
     return load is None or not load.hot
 
 
+def _carried(df: DataFrame, carry: DataFrame, on: list[str]) -> DataFrame:
+    """Every row with its bucket's carried value; NULL keys and buckets match each other."""
+    right = carry.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in carry.columns if c not in on])
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return df.join(right, match).drop(*[f"_on_{c}" for c in on])
+
+
 def previous(df: DataFrame, keys: list[str], order: str, value: str, out: str,
              load: Load | None = None, bucket: Column | None = None) -> DataFrame:
     """``out`` = ``value`` of the preceding row (NULLs are not skipped).
@@ -34,12 +44,11 @@ def previous(df: DataFrame, keys: list[str], order: str, value: str, out: str,
         return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
     df = df.withColumn("_b", visit_bucket(order) if bucket is None else bucket)
     inside = Window.partitionBy(*keys, "_b").orderBy(order)
-    last = df.groupBy(*keys, "_b").agg(F.max_by(F.struct(F.col(value).alias("v")), F.col(order)).alias("_last"))
+    last = df.groupBy(*keys, "_b").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(F.col(order).isNotNull(), F.col(order))).alias("_last"))
     carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b"))).drop("_last")
+    here = df.withColumn("_n", F.row_number().over(inside)).withColumn("_lag", F.lag(value).over(inside))
     return (
-        df.withColumn("_n", F.row_number().over(inside))
-        .withColumn("_lag", F.lag(value).over(inside))
-        .join(carry, [*keys, "_b"])
+        _carried(here, carry, [*keys, "_b"])
         .withColumn(out, F.when(F.col("_n") > 1, F.col("_lag")).otherwise(F.col("_carry.v")))
         .drop("_b", "_n", "_lag", "_carry")
     )
@@ -55,9 +64,9 @@ def running_min(df: DataFrame, keys: list[str], order: str, value: str, out: str
     low = df.groupBy(*keys, "_b").agg(F.min(value).alias("_low"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = low.withColumn("_carry", F.min("_low").over(before)).drop("_low")
+    here = df.withColumn("_in", F.min(value).over(rows(Window.partitionBy(*keys, "_b").orderBy(order))))
     return (
-        df.withColumn("_in", F.min(value).over(rows(Window.partitionBy(*keys, "_b").orderBy(order))))
-        .join(carry, [*keys, "_b"])
+        _carried(here, carry, [*keys, "_b"])
         .withColumn(out, F.least("_in", "_carry"))
         .drop("_b", "_in", "_carry")
     )
@@ -74,8 +83,7 @@ def position(df: DataFrame, keys: list[str], order: list[Column], out: str, buck
     offset = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     return (
-        df.withColumn("_n", F.row_number().over(inside))
-        .join(offset, [*keys, "_b"])
+        _carried(df.withColumn("_n", F.row_number().over(inside)), offset, [*keys, "_b"])
         .withColumn(out, F.col("_n") + F.col("_offset"))
         .drop("_b", "_n", "_offset")
     )

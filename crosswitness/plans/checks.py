@@ -236,9 +236,13 @@ def check_groups(ids: Iterable[str]) -> list[list[str]]:
 
 
 def run_checks(study: Study, ids: Iterable[str] = (*ARCHETYPES, *DERIVATIONS), lookup_grain: str = "record") -> DataFrame:
-    """Flags of the selected checks, one row per (check, flagged record)."""
+    """Flags of the selected checks, one row per (check, flagged record).
+
+    A study that was never measured is measured first, so that hot subjects are always split.
+    """
     from crosswitness.plans.lookup import lookup_flags
 
+    study = study if study.loads else study.measured()
     parts = [
         lookup_flags(study, lookup_grain) if group == ["A19"] else _group_flags(study, CHECKS[group[0]].focus, [CHECKS[i] for i in group])
         for group in check_groups(ids)
@@ -251,11 +255,16 @@ def write_flags(study: Study, path: str, ids: Iterable[str] = (*ARCHETYPES, *DER
     """Write the flags with one job per group of checks and read them back.
 
     The groups are independent, so their jobs share the cluster, small ones fill gaps left by
-    large ones, and a failed group can be repeated alone.
+    large ones, and a failed group can be repeated alone.  What comes back is this call's flags
+    only, also where the folder holds groups of an earlier call with other ids.
     """
-    def write(group: list[str]) -> None:
-        run_checks(study, group, lookup_grain).write.mode("overwrite").parquet(f"{path}/group={group[0]}")
+    study = study if study.loads else study.measured()
+
+    def write(group: list[str]) -> str:
+        to = f"{path}/group={'-'.join(group)}"
+        run_checks(study, group, lookup_grain).write.mode("overwrite").parquet(to)
+        return to
 
     with ThreadPoolExecutor(concurrent) as pool:
-        list(pool.map(write, check_groups(ids)))
-    return study.spark.read.parquet(path).drop("group")
+        written = list(pool.map(write, check_groups(ids)))
+    return study.spark.read.parquet(*written)

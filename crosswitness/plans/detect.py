@@ -28,20 +28,19 @@ def _root(study: Study) -> str | None:
     return staging_root(study.spark)
 
 
-def candidates(study: Study, clean: DataFrame, archetypes: tuple[str, ...], k: int | None) -> DataFrame:
+def candidates(study: Study, clean: DataFrame, archetypes: tuple[str, ...], k: int | None = None) -> DataFrame:
     """(archetype, USUBJID) to try: subjects not already flagged, lowest ids first, ``k`` each.
 
     ``k=None`` takes every such subject.  Each list is a distributed top-k.
     """
     subjects = study["DM"].select("USUBJID").distinct()
     flagged = clean.select("archetype", F.col("subject").alias("USUBJID")).distinct()
-    parts = []
-    for a in archetypes:
-        free = subjects.join(flagged.filter(F.col("archetype") == a).select("USUBJID"), "USUBJID", "left_anti")
-        if k is not None:
-            free = free.orderBy("USUBJID").limit(k)
-        parts.append(free.select(F.lit(a).alias("archetype"), "USUBJID"))
-    return reduce(lambda x, y: x.unionByName(y), parts)
+    # The list of archetypes is fixed and short, so the copies of the subjects are few.
+    free = subjects.withColumn("archetype", F.explode(F.array(*[F.lit(a) for a in archetypes]))).join(flagged, ["archetype", "USUBJID"], "left_anti")
+    if k is None:
+        return free.select("archetype", "USUBJID")
+    parts = [free.filter(F.col("archetype") == a).orderBy("USUBJID").limit(k) for a in archetypes]
+    return reduce(lambda x, y: x.unionByName(y), parts).select("archetype", "USUBJID")
 
 
 def scenario_study(study: Study, plan: DataFrame, archetypes: tuple[str, ...], enrich: bool = False) -> Study:
@@ -91,7 +90,7 @@ def newly_flagged(flags: DataFrame) -> DataFrame:
     return flags.filter(F.col("injected") != CLEAN).join(clean, ["subject", "archetype"], "left_anti")
 
 
-def candidate_detection(study: Study, archetypes: tuple[str, ...] = ARCHETYPES, k: int | None = 10, enrich: bool = False) -> DataFrame:
+def candidate_detection(study: Study, archetypes: tuple[str, ...] = ARCHETYPES, k: int | None = None, enrich: bool = False) -> DataFrame:
     """Per archetype: candidates tried, candidates on which it newly fires, and the verdict.
 
     Only the archetypes in question are checked, since only they decide.
@@ -108,28 +107,41 @@ def tried(scenarios: Study) -> DataFrame:
 
 
 def summarise(scenarios: Study, flags: DataFrame, archetypes: tuple[str, ...]) -> DataFrame:
+    """One row per archetype; one for which no subject could be tried has the status "no candidate"."""
     hits = newly_flagged(flags).filter(F.col("archetype") == F.col("injected")).select("injected", F.col("subject").alias("USUBJID"), F.lit(True).alias("_hit"))
-    return (tried(scenarios).join(hits.distinct(), ["injected", "USUBJID"], "left").groupBy(F.col("injected").alias("archetype"))
+    done = (tried(scenarios).join(hits.distinct(), ["injected", "USUBJID"], "left").groupBy(F.col("injected").alias("archetype"))
             .agg(F.count(F.lit(1)).alias("candidates_tried"), F.count_if(F.coalesce("_hit", F.lit(False))).alias("candidates_detected"),
-                 F.min(F.when(F.col("_hit"), F.col("USUBJID"))).alias("first_detected"))
-            .withColumn("status", F.when(F.col("candidates_detected") > 0, "detected").otherwise("missed")))
+                 F.min(F.when(F.col("_hit"), F.col("USUBJID"))).alias("first_detected")))
+    every = scenarios.spark.createDataFrame([(a,) for a in archetypes], "archetype string")
+    return every.join(done, "archetype", "left").na.fill(0, ["candidates_tried", "candidates_detected"]).withColumn(
+        "status", F.when(F.col("candidates_detected") > 0, "detected").when(F.col("candidates_tried") > 0, "missed").otherwise("no candidate"))
+
 
+def delta_detection(flags: DataFrame, scenarios: Study | None = None) -> DataFrame:
+    """Change of the total number of flags against the unchanged copies, per injected archetype.
 
-def delta_detection(flags: DataFrame) -> DataFrame:
-    """Change of the total number of flags against the unchanged copies, per injected archetype."""
+    With ``scenarios`` every copy that was tried counts, also one that lost all its flags or never had any.
+    """
     totals = flags.groupBy("injected", "subject").agg(F.sum("flags").alias("n"))
     clean = totals.filter(F.col("injected") == CLEAN).select("subject", F.col("n").alias("_clean"))
-    both = totals.filter(F.col("injected") != CLEAN).join(clean, "subject", "left")
-    delta = F.sum(F.col("n") - F.coalesce("_clean", F.lit(0)))
+    copies = totals.filter(F.col("injected") != CLEAN)
+    if scenarios is not None:
+        copies = tried(scenarios).withColumnRenamed("USUBJID", "subject").join(copies, ["injected", "subject"], "left")
+    both = copies.join(clean, "subject", "left")
+    delta = F.sum(F.coalesce("n", F.lit(0)) - F.coalesce("_clean", F.lit(0)))
     return both.groupBy(F.col("injected").alias("archetype")).agg(delta.alias("flag_delta")).withColumn("detected", F.col("flag_delta") != 0)
 
 
-def single_pass(flags: DataFrame, clean: DataFrame) -> DataFrame:
+def single_pass(flags: DataFrame, clean: DataFrame, scenarios: Study | None = None) -> DataFrame:
     """Without a clean reference: is the injected subject flagged by its own archetype?
 
-    ``clean_fp_subjects`` counts subjects the archetype flags on unchanged data.
+    ``clean_fp_subjects`` counts subjects the archetype flags on unchanged data.  With
+    ``scenarios`` an archetype whose copies carry no flag at all is reported as not detected.
     """
-    hit = flags.filter(F.col("injected") != CLEAN).groupBy(F.col("injected").alias("archetype")).agg(
+    copies = flags.filter(F.col("injected") != CLEAN).select("injected", "archetype")
+    if scenarios is not None:
+        copies = tried(scenarios).select("injected").distinct().join(copies, "injected", "left")
+    hit = copies.groupBy(F.col("injected").alias("archetype")).agg(
         F.coalesce(F.bool_or(F.col("archetype") == F.col("injected")), F.lit(False)).alias("detected"))
     noise = clean.filter(F.col("archetype").startswith("A")).groupBy("archetype").agg(F.countDistinct("subject").alias("clean_fp_subjects"))
     return hit.join(noise, "archetype", "left").na.fill(0, ["clean_fp_subjects"])
@@ -140,7 +152,7 @@ def held_out(scenarios: Study, flags: DataFrame) -> DataFrame:
     new = newly_flagged(flags).groupBy(F.col("injected").alias("archetype")).agg(
         F.countDistinct("subject").alias("subjects_with_new_flags"), F.array_sort(F.collect_set("archetype")).alias("new_checks"))
     every = tried(scenarios).groupBy(F.col("injected").alias("archetype")).agg(F.count(F.lit(1)).alias("candidates_tried"))
-    naive = delta_detection(flags).select("archetype", F.col("flag_delta"))
+    naive = delta_detection(flags, scenarios).select("archetype", F.col("flag_delta"))
     return every.join(new, "archetype", "left").join(naive, "archetype", "left").select(
         "archetype", "candidates_tried", F.coalesce("subjects_with_new_flags", F.lit(0)).alias("subjects_with_new_flags"),
         F.array_join(F.coalesce("new_checks", F.array().cast("array<string>")), ",").alias("new_checks"),
@@ -162,14 +174,35 @@ def cohort_detection(study: Study, archetype: str, subject: DataFrame, checks: t
              F.when(F.col("newly_flagged_subjects") > 0, "detected").otherwise("missed").alias("status"))
 
 
+def by_cohort(study: Study, archetype: str) -> DataFrame:
+    """A row of :func:`summarise` for a contradiction between subjects: one injection, judged on the whole cohort."""
+    one = candidates(study, run_checks(study, (archetype,)), (archetype,), 1).select("USUBJID")
+    judged = cohort_detection(study, archetype, one).withColumn("_hit", F.col("status") == "detected")
+    first = one.agg(F.count(F.lit(1)).alias("candidates_tried"), F.min("USUBJID").alias("_who")).withColumn("archetype", F.lit(archetype))
+    return first.join(judged, "archetype").select(
+        "archetype", "candidates_tried", F.when(F.col("_hit"), F.col("candidates_tried")).otherwise(F.lit(0)).cast("bigint").alias("candidates_detected"),
+        F.when(F.col("_hit"), F.col("_who")).alias("first_detected"), F.when(F.col("candidates_tried") == 0, "no candidate").otherwise(F.col("status")).alias("status"))
+
+
+def by_lookup(study: Study, archetype: str = "A19") -> DataFrame:
+    """A row of :func:`summarise` for the lookup: the derived response rows are added after the injection, to both copies."""
+    bare = study.with_tables(RS=study["RS"].filter(~F.coalesce(F.col("RSTESTCD").isin("NTOVRLRESP", "NEWLEC"), F.lit(False))))
+    plan = candidates(bare, run_checks(enrich_responses(bare), (archetype,), "subject"), (archetype,))
+    scenarios = scenario_study(bare, plan, (archetype,), enrich=True)
+    return summarise(scenarios, scenario_flags(scenarios, (archetype,), "subject"), (archetype,))
+
+
 def recall_on_applicable(study: Study, results: DataFrame) -> DataFrame:
-    """Detected, missed and not-applicable archetypes, and recall over the applicable ones."""
+    """Detected, missed and not-applicable archetypes, and recall over the applicable ones.
+
+    An archetype without a candidate was not judged and does not count.
+    """
     na = not_applicable(study).select(F.col("check_id").alias("archetype"), F.lit(True).alias("_na"))
     status = results.select("archetype", "status").join(na, "archetype", "full_outer").withColumn(
         "_s", F.when(F.col("_na"), "na").otherwise(F.col("status")))
     one = lambda s: F.array_join(F.array_sort(F.collect_set(F.when(F.col("_s") == s, F.col("archetype")))), ",")  # at most one entry per archetype
     return status.agg(
-        F.count_if(F.col("_s") != "na").alias("applicable"), F.count_if(F.col("_s") == "detected").alias("detected"),
+        F.count_if(F.col("_s").isin("detected", "missed")).alias("applicable"), F.count_if(F.col("_s") == "detected").alias("detected"),
         one("detected").alias("detected_ids"), one("missed").alias("missed_ids"), one("na").alias("na_ids"),
     ).withColumn("recall", F.when(F.col("applicable") > 0, F.col("detected") / F.col("applicable")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
@@ -101,14 +102,16 @@ class Study:
         Later checks then scan narrow column subsets instead of recomputing the inputs, and
         a lost executor only re-reads files.  With ``buckets`` the subject tables are
         bucketed by subject, so subject-keyed aggregates and joins need no shuffle; skip
-        that for a study with a hot subject, whose rows would all land in one bucket.
+        that for a study with a hot subject, whose rows would all land in one bucket.  The
+        bucketed tables get names of their own per call, so no table of the catalogue is replaced.
         """
+        unique = f"{name}_{uuid.uuid4().hex[:12]}"
+
         def write(item: tuple[str, DataFrame]) -> tuple[str, DataFrame]:
             domain, df = item
             where = f"{path}/{domain}"
             if buckets and "USUBJID" in df.columns and not (self.load(domain) and self.load(domain).hot):
-                table = f"{name}_{domain}".lower()
-                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+                table = f"{unique}_{domain}".lower()
                 (df.repartition(buckets, "USUBJID").write.mode("overwrite").bucketBy(buckets, "USUBJID")
                  .sortBy("USUBJID").option("path", where).saveAsTable(table))
                 return domain, self.spark.table(table)

@@ -90,6 +90,17 @@ def test_chain_verifies_and_reports_tampering(spark):
     assert audit.seal(chained).first() == audit.seal(audit.chain(entries, segment=5)).first()
 
 
+def test_null_and_empty_text_hash_differently(spark):
+    entries = audit.number(audit.to_traces(_flags(spark, 6), "2025-01-01 00:00:00")).withColumn("reviewer_label", F.lit(None).cast("string"))
+    chained = audit.chain(entries)
+    assert audit.broken_links(chained).count() == 0
+    assert audit.broken_links(chained.withColumn("reviewer_label", F.lit(""))).count() == 6
+    one = spark.createDataFrame([(1, "1", None, True)], "n int, t string, z string, b boolean")
+    from crosswitness.functions.scalars import canonical_json
+
+    assert one.select(canonical_json({c: F.col(c) for c in one.columns})).first()[0] == '{"b":true,"n":1,"t":"1","z":null}'
+
+
 def test_numbering_is_the_same_for_hot_subjects(spark):
     traces = audit.to_traces(_flags(spark), "2025-01-01 00:00:00")
     assert rows(audit.number(traces), "flag_id", "seq") == rows(audit.number(traces, Load(40, 14, 2)), "flag_id", "seq")

@@ -127,6 +127,22 @@ def test_brute_force_agrees_with_the_scenario_run(trial, spark):
     assert {r.archetype: r.flag_delta for r in detect.delta_detection(flags).collect()}["A09"] == 2
 
 
+def test_copies_without_flags_are_counted(trial, spark):
+    """A copy that lost all its flags, and an archetype none of whose copies is flagged, still have their rows."""
+    scenarios, flags = detect.scenario_flags_of(trial, ("A08", "H02"), one(spark, "s1"))
+    lost = spark.createDataFrame([("clean", "s1", "A05", 3)], flags.schema)
+    assert {r.archetype: (r.flag_delta, r.detected) for r in detect.delta_detection(lost, scenarios).collect()} == {"A08": (-3, True), "H02": (-3, True)}
+    assert {r.archetype: r.detected for r in detect.single_pass(lost, lost, scenarios).collect()} == {"A08": False, "H02": False}
+    got = detect.summarise(scenarios, flags, ("A08", "A02")).collect()
+    assert {r.archetype: (r.candidates_tried, r.status) for r in got} == {"A08": (1, "detected"), "A02": (0, "no candidate")}
+
+
+def test_cohort_and_lookup_routes(trial):
+    cohort, lookup = detect.by_cohort(trial, "A17").first(), detect.by_lookup(trial).first()
+    assert (cohort.archetype, cohort.candidates_tried, cohort.status) == ("A17", 1, "detected")
+    assert lookup.archetype == "A19" and lookup.status == "detected"
+
+
 def test_held_out_and_single_pass(trial, spark):
     scenarios, flags = detect.scenario_flags_of(trial, ("H02", "H04", "H05"), one(spark, "s1"))
     got = {r.archetype: r for r in detect.held_out(scenarios, flags).collect()}

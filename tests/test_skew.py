@@ -68,6 +68,23 @@ def test_position(series):
     assert rows(plain, "k", "t", "n") == rows(split, "k", "t", "n")
 
 
+@pytest.fixture(scope="module")
+def gaps(spark):
+    """NULL keys, a NULL order (hence a NULL bucket) per key, and NULL values."""
+    data = [(k, float(t) if t else None, None if t % 5 == 0 else t * 3 % 17) for k in ("a", None) for t in range(30)]
+    return spark.createDataFrame(data, "k string, t double, x int")
+
+
+def test_split_paths_keep_rows_with_nulls(gaps):
+    bucket = F.floor(F.col("t") / 7)
+    texts = lambda df, out: sorted(map(str, df.select("k", "t", "x", out).collect()))
+    for op in (ordered.previous, ordered.running_min):
+        assert texts(op(gaps, ["k"], "t", "x", "y"), "y") == texts(op(gaps, ["k"], "t", "x", "y", HOT, bucket), "y")
+    order = [F.col("t")]
+    plain, split = (ordered.position(gaps, ["k"], order, "n", bucket, load) for load in (None, HOT))
+    assert texts(plain, "n") == texts(split, "n") and split.count() == 60
+
+
 def test_checks_are_the_same_with_split_keys(spark):
     ids = ("A07", "A17")
     plain = build_study(spark, SF)
