@@ -60,7 +60,7 @@ ADJ = """WITH cls AS (SELECT n_name AS archetype, CASE WHEN n_regionkey < 2 THEN
     concat('R', CAST((n_nationkey * 7) % 25 AS VARCHAR)) AS matched_rule,
     CASE n_nationkey % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'indirect' ELSE 'none' END AS confidence FROM nation),
 iss AS (SELECT n.n_name AS archetype, concat('R', CAST(o.o_orderkey % 25 AS VARCHAR)) AS rule_id FROM orders o
-    JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE o.o_totalprice > 495000),
+    JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey),
 adj AS (SELECT k.archetype, k.category, (SELECT count(*) FROM iss i WHERE i.archetype = k.archetype) AS new_issues,
     EXISTS (SELECT 1 FROM iss i WHERE i.archetype = k.archetype AND i.rule_id = k.matched_rule) AS fired, k.confidence FROM cls k)
 """
@@ -74,7 +74,7 @@ def _adjudicated(spark, sf):
         F.when(F.col("n_regionkey") < 2, "recist_semantic").otherwise("structural_consistency").alias("category"),
         F.concat(F.lit("R"), (key * 7 % 25).cast("string")).alias("matched_rule"),
         F.when(key % 3 == 0, "direct").when(key % 3 == 1, "indirect").otherwise("none").alias("confidence"))
-    orders = table(spark, sf, "orders").filter("o_totalprice > 495000").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
     issues = (orders.join(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), "c_custkey")
               .join(nation, "n_nationkey")
               .select(F.col("n_name").alias("archetype"), F.concat(F.lit("R"), (F.col("o_orderkey") % 25).cast("string")).alias("rule_id")))

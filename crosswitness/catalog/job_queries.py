@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from crosswitness.catalog.check_queries import ALL, flags_cte
@@ -95,10 +97,9 @@ def _(spark, sf):
     names = [c for c in rows.columns if c != "report"]
     root = staging_root(spark)
     if root is not None:
-        report = rows.groupBy("report").agg(F.collect_list(F.struct(*names)).alias("Issue_Details"))
-        report.drop("report").write.mode("overwrite").json(f"{root}/issues")
-        rows = spark.read.schema("Issue_Details array<struct<dataset:string,USUBJID:string,core_id:string,message:string,variables:string,`values`:string>>").json(
-            f"{root}/issues").select(F.inline("Issue_Details"))
+        report = rows.groupBy("report").agg(F.collect_list(F.struct(*names)).alias("Issue_Details")).drop("report")
+        report.write.mode("overwrite").option("maxRecordsPerFile", 1).json(f"{root}/issues")  # one report a file
+        rows = issues.load_issues(spark, f"{root}/issues")
     return issues.to_flags(rows.select(*names), "CORE").drop("archetype")
 
 
@@ -140,16 +141,21 @@ def _(spark, sf):
 
 
 # -- sinks ------------------------------------------------------------------------------------
-@query("SNK01", PRELUDE + "SELECT 'EX' AS domain, count(*) AS n, count(DISTINCT USUBJID) AS subjects FROM ex UNION ALL SELECT 'DS', count(*), count(DISTINCT USUBJID) FROM ds")
+SUBJECT_TABLES = ("AE", "DM", "DS", "EX", "RELREC", "RS", "SUPPDM", "TR", "TU")
+
+
+@query("SNK01", PRELUDE + " UNION ALL ".join(
+    [f"SELECT '{d}' AS domain, count(*) AS n, count(DISTINCT USUBJID) AS subjects FROM {d.lower()}" for d in SUBJECT_TABLES]
+    + ["SELECT 'TA', count(*), CAST(0 AS BIGINT) FROM ta"]))
 def _(spark, sf):
     st = study(spark, sf)
-    few = type(st)(spark, {d: st.tables[d] for d in ("EX", "DS")})
     root = staging_root(spark)
     if root is not None:
-        sinks.write_study(few, f"{root}/sink", "csv")
-        few = load_study(spark, f"{root}/sink")
-    parts = [few[d].agg(F.count(F.lit(1)).alias("n"), F.countDistinct("USUBJID").alias("subjects")).select(F.lit(d).alias("domain"), "n", "subjects") for d in ("EX", "DS")]
-    return parts[0].unionAll(parts[1])
+        sinks.write_study(st, f"{root}/sink", "csv")
+        st = load_study(spark, f"{root}/sink")
+    who = lambda d: F.countDistinct("USUBJID") if d in SUBJECT_TABLES else F.lit(0).cast("bigint")
+    parts = [st[d].agg(F.count(F.lit(1)).alias("n"), who(d).alias("subjects")).select(F.lit(d).alias("domain"), "n", "subjects") for d in (*SUBJECT_TABLES, "TA")]
+    return reduce(lambda x, y: x.unionAll(y), parts)
 
 
 @query("SNK02", PRELUDE + "SELECT 'RS' AS DOMAIN, USUBJID, VISITNUM, RSSEQ, RSTESTCD, RSORRES FROM rs")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -132,13 +134,15 @@ def _(st, spark, sf):
     return st["RS"].select("USUBJID", "RSSEQ", sc.norm_response(F.col("RSORRES")).alias("norm"), sc.norm_target(F.col("RSORRES")).alias("norm_target"))
 
 
-@query("PRJ14", """, d AS (SELECT DISTINCT USUBJID FROM ds WHERE DSDECOD = 'DEATH')
-  SELECT 'DM' AS domain, count(*) AS n FROM dm WHERE USUBJID IN (FROM d) UNION ALL SELECT 'RS', count(*) FROM rs WHERE USUBJID IN (FROM d)
-  UNION ALL SELECT 'TR', count(*) FROM tr WHERE USUBJID IN (FROM d) UNION ALL SELECT 'TA', count(*) FROM ta""")
+RESTRICTED = ("AE", "DM", "DS", "EX", "RELREC", "RS", "SUPPDM", "TR", "TU")
+
+
+@query("PRJ14", ", d AS (SELECT DISTINCT USUBJID FROM ds WHERE DSDECOD = 'DEATH') " + " UNION ALL ".join(
+    [f"SELECT '{d}' AS domain, count(*) AS n FROM {d.lower()} WHERE USUBJID IN (FROM d)" for d in RESTRICTED] + ["SELECT 'TA', count(*) FROM ta"]))
 def _(st, spark, sf):
     kept = enrich.restrict(st, st["DS"].filter("DSDECOD = 'DEATH'"))
-    parts = [kept[d].agg(cnt()).select(F.lit(d).alias("domain"), "n") for d in ("DM", "RS", "TR", "TA")]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    parts = [kept[d].agg(cnt()).select(F.lit(d).alias("domain"), "n") for d in (*RESTRICTED, "TA")]
+    return reduce(lambda x, y: x.unionAll(y), parts)
 
 
 @query("PRJ15", """SELECT CASE WHEN k = 0 THEN USUBJID ELSE concat(USUBJID, '_R', CAST(k AS VARCHAR)) END AS USUBJID, EXSEQ, EXSTDTC FROM ex, range(3) t(k)""")
