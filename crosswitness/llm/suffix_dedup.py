@@ -39,8 +39,10 @@ from crosswitness.llm.textops import _tabled, mix
 
 LENGTH, GRAM = 50, 26
 RUN = LENGTH - GRAM + 1
-SLICE = 1 << 20
 _U = np.uint64
+#: Bits that hold a place inside a slice; a slice with its overlap has fewer places.
+_PLACE = _U((1 << 20) - 1)
+SLICE = (1 << 20) - LENGTH
 
 
 class Cover:
@@ -51,19 +53,20 @@ class Cover:
         n = len(raw)
         self.up, self.down = _tabled(n + 1)
         self.total = np.concatenate((np.zeros(1, _U), np.cumsum(raw * self.up[:n], dtype=_U)))
-        gram = self.names(np.arange(n - GRAM + 1), GRAM)
-        # Leftmost smallest gram of each 25, by windows of doubling width.
-        at, width = np.arange(len(gram)), 1
+        grams = n - GRAM + 1
+        gram = mix((self.total[GRAM:] - self.total[: grams]) * self.down[:grams])
+        # Leftmost smallest gram of each 25, by windows of doubling width; the low bits hold the place.
+        least, width = (gram & ~_PLACE) | np.arange(grams, dtype=_U), 1
         while width < RUN:
             step = min(width, RUN - width)
-            left, right = at[:-step], at[step:]
-            at = np.where(gram[right] < gram[left], right, left)
+            least = np.minimum(least[:-step], least[step:])
             width += step
-        turn = np.flatnonzero(np.diff(at)) + 1
+        turn = np.flatnonzero(least[1:] != least[:-1]) + 1
         self.lo = np.concatenate(([0], turn))
-        self.hi = np.concatenate((turn, [len(at)])) - 1
-        self.gram = gram[at[self.lo]]
-        before, span = (at[self.lo] - self.lo).astype(_U), (self.hi - self.lo).astype(_U)
+        self.hi = np.concatenate((turn, [len(least)])) - 1
+        at = (least[self.lo] & _PLACE).astype(np.int64)
+        self.gram = gram[at]
+        before, span = (at - self.lo).astype(_U), (self.hi - self.lo).astype(_U)
         whole = (self.total[self.hi + LENGTH] - self.total[self.lo]) * self.down[self.lo]
         self.stretch = mix(mix(whole) + before * _U(64) + span + _U(1))
 
@@ -86,34 +89,46 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _flushed(names: tuple[str, ...], pieces: Iterator[tuple[int, tuple[np.ndarray, ...]]]) -> Iterator[pd.DataFrame]:
+    """Tables of about 200,000 rows from (id, columns) pieces."""
+    held, size = [], 0
+
+    def out() -> pd.DataFrame:
+        table = {name: np.concatenate([columns[i] for _, columns in held]).view(np.int64) for i, name in enumerate(names)}
+        return pd.DataFrame(table | {"d": np.repeat(np.array([d for d, _ in held], np.int64), [len(columns[0]) for _, columns in held])})
+
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece[1][0])
+        if size > 200_000:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
 def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        parts = []
-        for d, text in zip(b["d"], b["text"]):
-            for _, c in covers(_bytes(text)):
-                s, first = np.unique(c.stretch, return_index=True)
-                parts.append(pd.DataFrame({"gram": c.gram[first].view(np.int64), "stretch": s.view(np.int64), "d": np.int64(d)}))
-            if sum(map(len, parts)) > 200_000:
-                yield pd.concat(parts)
-                parts = []
-        if parts:
-            yield pd.concat(parts)
+    def pieces():
+        for b in batches:
+            for d, text in zip(b["d"], b["text"]):
+                for _, c in covers(_bytes(text)):
+                    s, first = np.unique(c.stretch, return_index=True)
+                    yield d, (c.gram[first], s)
+
+    return _flushed(("gram", "stretch"), pieces())
 
 
 def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Names of the strings in the stretches that a document is asked for, each once and sorted."""
-    for b in batches:
-        parts = []
-        for d, text, asked in zip(b["d"], b["text"], b["asked"]):
-            wanted = np.asarray(asked, np.int64).view(_U)
-            for _, c in covers(_bytes(text)):
-                if len(which := np.flatnonzero(np.isin(c.stretch, wanted))):
-                    parts.append(pd.DataFrame({"string": np.unique(c.names(c.starts(which), LENGTH)).view(np.int64), "d": np.int64(d)}))
-            if sum(map(len, parts)) > 200_000:
-                yield pd.concat(parts)
-                parts = []
-        if parts:
-            yield pd.concat(parts)
+    def pieces():
+        for b in batches:
+            for d, text, asked in zip(b["d"], b["text"], b["asked"]):
+                wanted = np.asarray(asked, np.int64).view(_U)
+                for _, c in covers(_bytes(text)):
+                    if len(which := np.flatnonzero(np.isin(c.stretch, wanted))):
+                        yield d, (np.unique(c.names(c.starts(which), LENGTH)),)
+
+    return _flushed(("string",), pieces())
 
 
 def removed_runs(data: bytes, gone: np.ndarray, late: np.ndarray) -> np.ndarray:
