@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crosswitness.catalog.check_queries import FLAT, key_sql
+from crosswitness.catalog.check_queries import ALL, FLAT, LOOKUP_SQL, TRV, check_sql, key_sql
 from crosswitness.catalog.testbed import PRELUDE, study
 from crosswitness.functions import leaves as lv
 from crosswitness.plans.rules import single_table_rules
+from crosswitness.plans.validate import validate
 
 NT6 = "('Screen Failure', 'Not Assigned', 'Not Treated', 'SCREEN FAILURE', 'NOT ASSIGNED', 'NOT TREATED')"
 NT4 = "('Screen Failure', 'Not Assigned', 'SCREEN FAILURE', 'NOT ASSIGNED')"
@@ -142,6 +143,8 @@ def queries() -> dict:
     out = {name: leaf(domain, build) for name, (domain, build, _) in LEAF_CASES.items()}
     out.update({name: tree(t) for name, (t, _) in TREES.items()})
     out["RULES"] = lambda spark, sf: single_table_rules(study(spark, sf)).select(*FLAT)
+    out["VALIDATE"] = lambda spark, sf: validate(study(spark, sf)).flags.select(*FLAT)
+    out["VALIDATE-COUNTS"] = lambda spark, sf: validate(study(spark, sf)).counts
     out["RULES-COMPAT"] = lambda spark, sf: single_table_rules(study(spark, sf), include_disabled=True, literal_compat=True).select(*FLAT)
     return out
 
@@ -151,4 +154,8 @@ def oracle() -> dict:
     out.update({name: PRELUDE + f"SELECT STUDYID, USUBJID, ({sql}) AS holds FROM dm" for name, (_, sql) in TREES.items()})
     out["RULES"] = rules_sql(False, False)
     out["RULES-COMPAT"] = rules_sql(True, True)
+    checks = PRELUDE + TRV + LOOKUP_SQL + " UNION ALL ".join(check_sql(i) for i in ALL)
+    out["VALIDATE"] = f"SELECT DISTINCT * FROM (SELECT * FROM ({out['RULES']}) UNION ALL SELECT * FROM ({checks}))"
+    out["VALIDATE-COUNTS"] = f"""SELECT CASE WHEN regexp_matches(rule_id, '^S[0-9]') THEN 'derivation' WHEN regexp_matches(rule_id, '^A[0-9][0-9]$') THEN 'archetype'
+      ELSE 'structural' END AS family, count(*) AS flags, count(DISTINCT subject) AS subjects FROM ({out['VALIDATE']}) GROUP BY 1"""
     return out

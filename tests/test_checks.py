@@ -131,3 +131,27 @@ def test_written_flags_equal_the_query(golden, tmp_path):
     from crosswitness.plans.checks import write_flags
     got = write_flags(golden, str(tmp_path / "flags"), DERIVATIONS)
     assert rows(got, "rule_id", "record_id") == rows(run_checks(golden, DERIVATIONS), "rule_id", "record_id")
+
+
+def test_validate_joins_rules_checks_log_and_counts(golden, tmp_path, spark):
+    from crosswitness.plans.rules import single_table_rules
+    from crosswitness.plans.validate import IDENTITY, validate
+
+    result = validate(golden)
+    every = {tuple(r) for df in (single_table_rules(golden), run_checks(golden)) for r in df.select(*IDENTITY).collect()}
+    got = [tuple(r) for r in result.flags.select(*IDENTITY).collect()]
+    assert len(got) == len(set(got)) and set(got) == every
+    assert sum(r.flags for r in result.counts.collect()) == len(got)
+    path = str(tmp_path / "log")
+    assert result.log(path, "one", "2025-01-01 00:00:00").count() == 0
+    n = spark.read.parquet(path).count()
+    result.log(path, "one", "2025-01-01 00:00:00")  # a repeated run replaces itself
+    assert spark.read.parquet(path).count() == n
+
+
+def test_write_flags_returns_its_own_groups_only(golden, tmp_path):
+    from crosswitness.plans.checks import write_flags
+
+    path = str(tmp_path / "flags")
+    write_flags(golden, path, ("S1", "S4", "A01"))
+    assert sorted(map(str, write_flags(golden, path, ("S4",)).collect())) == sorted(map(str, run_checks(golden, ("S4",)).collect()))
