@@ -145,7 +145,8 @@ def _texts_of(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"key": [class_key(word_hashes((t or "").encode("utf-8", "surrogatepass"))[0]) for t in b["text"]], "text": b["text"]})
 
-    return only(docs, text=text).mapInPandas(keyed, "key binary, text string").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    # The keys grow with the documents, so they are never broadcast, also where they happen to be few.
+    return only(docs, text=text).mapInPandas(keyed, "key binary, text string").join(keys.hint("merge"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
