@@ -116,7 +116,7 @@ def judged(spark: SparkSession, pages: DataFrame, rules=RULES, id: str = "page_i
     p = write_table(p, f"{root}/pages")
     mined = mine(p.where("rule IS NOT NULL"), root)
     best = write_table(matched(p.where("rule IS NULL AND tokens IS NOT NULL"), mined, root), f"{root}/best")
-    out = p.join(best, "row", "left")
+    out = p.join(best.hint("merge"), "row", "left")  # grows with the pages, so it is never broadcast
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "mined", F.lit("allow")).alias("verdict"), F.col("needs").alias("mined_rule"), "confidence")
 
 
