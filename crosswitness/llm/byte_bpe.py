@@ -31,9 +31,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from crosswitness.llm.common import free_name, table
 
-LONG, REMEMBERED = 400, 200_000
+LONG, REMEMBERED = 400, 100_000
 #: Bytes of new words per recursive query, bytes of text per slice.
-QUERY_BYTES, SLICE_BYTES = 300_000, 4_000_000
+QUERY_BYTES, SLICE_BYTES = 100_000, 1_000_000
 
 ENCODE = """
 WITH RECURSIVE parts AS (
@@ -67,16 +67,22 @@ class Codec:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
-        cuts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        merges = pd.DataFrame(np.array(cuts, np.int32).reshape(-1, 3), columns=["a", "b", "merged"])  # noqa: F841
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         vocabulary = pd.DataFrame({"token": np.array(list(ranks.values()), np.int32), "latin": [t.decode("latin-1") for t in ranks]})  # noqa: F841
         self.db.execute("SET enable_progress_bar = false")
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.mergeable = False
         self.forget()
 
+    def _merge_table(self) -> None:
+        """Made on first use: a worker that only decodes does without."""
+        ranks = self.ranks
+        cuts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        merges = pd.DataFrame(np.array(cuts, np.int32).reshape(-1, 3), columns=["a", "b", "merged"])  # noqa: F841
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
+        self.mergeable = True
+
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
@@ -104,6 +110,8 @@ class Codec:
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in got])])
 
     def _contract(self, waiting: list[tuple[int, bytes]], got: list) -> None:
+        if not self.mergeable:
+            self._merge_table()
         n = np.array([len(d) for _, d in waiting])
         raw = np.frombuffer(b"".join(d for _, d in waiting), np.uint8)
         rows = pd.DataFrame({
@@ -227,8 +235,8 @@ class ByteBpe:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             codec = _codec(name, ranks.value, pattern)
             for b in batches:
-                for i in range(0, len(b), 1000):
-                    part = b.iloc[i : i + 1000]
+                for i in range(0, len(b), 200):
+                    part = b.iloc[i : i + 200]
                     yield part.assign(**{into: codec.encode_all([t or "" for t in part[text]])})
 
         return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField(into, ArrayType(IntegerType()))]))
@@ -240,8 +248,8 @@ class ByteBpe:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             codec = _codec(name, ranks.value, pattern)
             for b in batches:
-                for i in range(0, len(b), 1000):
-                    part = b.iloc[i : i + 1000]
+                for i in range(0, len(b), 200):
+                    part = b.iloc[i : i + 200]
                     lists = [np.zeros(0, np.int32) if x is None else x for x in part[ids]]
                     yield part.assign(**{into: codec.decode_all(lists)})
 
