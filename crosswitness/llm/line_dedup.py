@@ -6,10 +6,11 @@ template where enough documents have it at that place; other tokens are variable
 template must keep most of its tokens.  Templates that recur across documents are dropped with
 all the lines that fit them.
 
-Support is counted in *families* of documents: exact and near copies of one document share their
-smallest shingle hash and count about once, so a document is not emptied because it has
-copies.  A template recurs when at least ``MIN_DOCS`` families have it and they are a fair
-share of the distinct texts that have it.
+Support is counted in *families* of documents, the verified near-duplicate groups of ``near_dedup``:
+copies of one document count once, so a document is not emptied because it has copies, and
+documents that share less than such copies do count each, also where the shared passage is most
+of them.  A family counts once for a token and once for a template, however many lines it has there.
+A template recurs when at least ``MIN_DOCS`` families have it.
 
 Work is on distinct masked lines after a map-side reduction, so a line that a third of all
 documents hold is one row.  Only the final join brings texts and their dropped lines together.
@@ -31,13 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from crosswitness.llm.common import free_name, only, table, work_folder, write_table
-from crosswitness.llm.textops import family, word_hashes
+from crosswitness.llm.near_dedup import near_duplicates
+from crosswitness.llm.textops import family, word_hashes  # noqa: F401  (the tests take them from here)
 
 #: A line's leaf is its token count and so many leading tokens.
 DEPTH = 3
 MIN_TOKENS, MIN_DOCS = 4, 10
-#: Share of a template's tokens that must be constant; share of the texts with it that must be of different families.
-CONSTANT, SPREAD = 0.7, 0.3
+#: Share of a template's tokens that must be constant.
+CONSTANT = 0.7
 WILD = "<*>"
 
 
@@ -65,14 +67,20 @@ def _lines(text: str | None) -> dict[str, int]:
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Leaf and name of each distinct line of each text, with the text's family and name."""
+    """Leaf and name of each distinct line of each text, with the text's name."""
     for b in batches:
         rows = []
-        for text in b["text"]:
+        for text in dict.fromkeys(b["text"]):
             if lines := _lines(text):
-                kin, own = family(word_hashes(text.encode("utf-8", "surrogatepass"))[0]), _name(text)
-                rows += [(leaf, _name(line), kin, own) for line, leaf in lines.items()]
-        yield pd.DataFrame(rows, columns=["leaf", "name", "kin", "own"])
+                own = _name(text)
+                rows += [(leaf, _name(line), own) for line, leaf in lines.items()]
+        yield pd.DataFrame(rows, columns=["leaf", "name", "own"]).astype({"leaf": "int64"})
+
+
+def _owned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Distinct texts of a batch with their names."""
+    for b in batches:
+        yield pd.DataFrame([(_name(t), t) for t in dict.fromkeys(b["text"]) if t], columns=["own", "text"], dtype=object)
 
 
 def _spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,42 +89,57 @@ def _spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lines: dict[str, int] = {}
         for text in b["text"]:
             lines.update(_lines(text))
-        yield pd.DataFrame({"leaf": list(lines.values()), "name": [_name(x) for x in lines], "line": list(lines)}).astype({"leaf": "int64"})
+        yield pd.DataFrame([(leaf, _name(x), x) for x, leaf in lines.items()], columns=["leaf", "name", "line"], dtype=object).astype({"leaf": "int64"})
 
 
-def _named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Names of each text and of its distinct lines."""
-    for b in batches:
-        rows = [(_name(text), _name(line)) for text in b["text"] if text for line in _lines(text)]
-        yield pd.DataFrame(rows, columns=["own", "name"])
+def _families(spark: SparkSession, texts: DataFrame, own: DataFrame, root: str) -> DataFrame:
+    """own, kin: the near-duplicate group of each named text."""
+    # The names grow with the documents, so they are never broadcast.
+    named = texts.mapInPandas(_owned, "own binary, text string").join(own.hint("merge"), "own", "left_semi").dropDuplicates(["own"])
+    number = F.conv(F.substring(F.hex("own"), 1, 15), 16, 10).cast("long")
+    named = write_table(named.select("own", number.alias("id"), "text"), f"{root}/candidates")
+    kin = near_duplicates(spark, named, id="id").select(F.col("doc_id").alias("id"), F.col("class_id").alias("kin"))
+    return write_table(named.select("own", "id").join(kin, "id").select("own", "kin").distinct(), f"{root}/families")
 
 
 def recurring_lines(spark: SparkSession, docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, root: str | None = None) -> DataFrame:
     """Names of the masked lines whose template recurs, with the template and its families."""
     root = root or work_folder(spark)
     texts = only(docs, text=text)
-    parsed = texts.mapInPandas(_parsed, "leaf long, name binary, kin long, own binary").distinct()
-    kin = parsed.groupBy("leaf", "name", "kin").agg(F.count(F.lit(1)).alias("texts"))
-    lines = kin.groupBy("leaf", "name").agg(F.count(F.lit(1)).alias("families"), F.sum("texts").alias("texts"))
-    lines = write_table(lines, f"{root}/lines")
-    leaves = lines.groupBy("leaf").agg(F.sum("families").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    held = write_table(texts.mapInPandas(_parsed, "leaf long, name binary, own binary").distinct(), f"{root}/parsed")
+    lines = held.groupBy("leaf", "name").agg(F.count(F.lit(1)).alias("texts"))
+    leaves = lines.groupBy("leaf").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     leaves = write_table(leaves, f"{root}/leaves")
-    busy = lines.join(leaves, "leaf", "left_semi")
+    held = held.join(leaves, "leaf", "left_semi")
+    kin = _families(spark, texts, held.select("own").distinct(), root)
+    held = write_table(held.join(kin, "own").select("leaf", "name", "kin").distinct(), f"{root}/kin")
+    # Families with one line in a leaf are summed up by line; the others are told apart at each token and template.
+    several = held.groupBy("leaf", "kin").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf", "kin", F.lit(True).alias("several"))
+    held = write_table(held.join(several, ["leaf", "kin"], "left"), f"{root}/kin-lines")
+    several = held.where("several").select("leaf", "name", "kin")
+    single = held.groupBy("leaf", "name").agg(F.count_if(F.col("several").isNull()).alias("n"))
     spelled = texts.mapInPandas(_spelled, "leaf long, name binary, line string").join(leaves, "leaf", "left_semi").dropDuplicates(["name"])
-    busy = write_table(busy.join(spelled.select("name", "line"), "name"), f"{root}/busy")
+    busy = write_table(single.join(spelled.select("name", "line"), "name"), f"{root}/busy")
 
-    tokens = busy.select("leaf", "name", "families", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    fixed = tokens.groupBy("leaf", "at", "token").agg(F.sum("families").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != WILD))
+    tokens = busy.select("leaf", "name", "n", F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("token") != WILD)
+    fixed = _supported(tokens, several, ["leaf", "at", "token"]).where(F.col("n") >= min_docs)
     fixed = write_table(fixed.select("leaf", "at", "token", F.lit(True).alias("fixed")), f"{root}/fixed")
+    tokens = busy.select("leaf", "name", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
     part = F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise(WILD).alias("token"))
-    shaped = tokens.join(fixed, ["leaf", "at", "token"], "left").groupBy("leaf", "name").agg(
+    shaped = tokens.join(fixed, ["leaf", "at", "token"], "left").groupBy("leaf", "name", "n").agg(
         F.count("fixed").alias("constant"), F.count(F.lit(1)).alias("tokens"), F.array_sort(F.collect_list(part)).alias("parts"))
     shaped = shaped.where(F.col("constant") >= CONSTANT * F.col("tokens")).select(
-        "leaf", "name", F.array_join(F.transform("parts", lambda p: p["token"]), " ").alias("template"))
-    shaped = write_table(shaped.join(lines, ["leaf", "name"]), f"{root}/shaped")
-    recurs = shaped.groupBy("leaf", "template").agg(F.sum("families").alias("n"), F.sum("texts").alias("of"))
-    recurs = write_table(recurs.where((F.col("n") >= min_docs) & (F.col("n") >= SPREAD * F.col("of"))), f"{root}/templates")
-    return write_table(shaped.join(recurs, ["leaf", "template"]).select("name", "template", F.col("n").alias("families")), f"{root}/recurring")
+        "leaf", "name", "n", F.array_join(F.transform("parts", lambda p: p["token"]), " ").alias("template"))
+    shaped = write_table(shaped, f"{root}/shaped")
+    recurs = write_table(_supported(shaped, several, ["leaf", "template"]).where(F.col("n") >= min_docs), f"{root}/templates")
+    return write_table(shaped.drop("n").join(recurs, ["leaf", "template"]).select("name", "template", F.col("n").alias("families")), f"{root}/recurring")
+
+
+def _supported(rows: DataFrame, several: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct families per key (which holds the leaf): rows are (leaf, name, n families with this line only) with the key's columns."""
+    once = rows.groupBy(*keys).agg(F.sum("n").alias("n"))
+    more = several.join(rows.drop("n"), ["leaf", "name"]).select(*keys, "kin").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return once.unionByName(more).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
@@ -124,7 +147,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, text: str = "text", min_d
     root = work_folder(spark)
     recurring = recurring_lines(spark, docs, text, min_docs, root).select("name")
     # Names of texts and lines only: one row per distinct text and line.
-    held = only(docs, text=text).mapInPandas(_named, "own binary, name binary").join(recurring, "name")
+    held = spark.read.parquet(f"{root}/parsed").join(recurring, "name")
     held = write_table(held.groupBy("own").agg(F.collect_set("name").alias("dropped")), f"{root}/held")
     own, gone, n_lines, n_dropped = (free_name(docs, c) for c in ("own_text", "dropped_lines", "n_lines", "n_dropped"))
     schema = StructType(docs.schema.fields)

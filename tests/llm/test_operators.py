@@ -292,6 +292,17 @@ def test_line_dedup_against_a_plain_version(spark):
     assert drop and {r.doc_id: r.text for r in line_dedup.op10_line_dedup(spark, SF).collect()} == want
 
 
+def test_line_dedup_counts_families_not_lines(spark):
+    """Documents that are mostly one passage count each; one family with many lines of a template counts once."""
+    passage = [f"common passage line {'abcdefghij'[k]} " + " ".join(f"c{chr(97 + k)}{chr(97 + j)}" for j in range(10)) for k in range(10)]
+    word = lambda i, j: "".join("klmnopqrst"[int(d)] for d in f"{i:03d}{j:02d}")
+    shared = [(i, "\n".join([*passage, " ".join(word(i, j) for j in range(36))]), "en", "s", 1) for i in range(40)]
+    lists = [(100 + i, "\n".join(f"one family has many entries {word(90 + i, j)}" for j in range(20)), "en", "s", 1) for i in range(2)]
+    got = {r.doc_id: r for r in line_dedup.deduplicated(spark, spark.createDataFrame(shared + lists, DDL), counts=True).collect()}
+    assert all(got[i].n_dropped == 10 and got[i].text == shared[i][1].split("\n")[-1] for i in range(40))
+    assert all(got[100 + i].n_dropped == 0 for i in range(2))
+
+
 def test_url_rules_and_mined_rules(spark):
     urls = ["http://a.NET/x", "https://b.example.net/en/1?k=1", "http://example.com/de/2", "http://x.org/fr/", "http://x.org/en/", None, "nothing", "http://", "http://net", "http://net/#f",
             "http://aexample.com/de/"]
