@@ -10,13 +10,17 @@ Support is counted in *families* of documents, the verified near-duplicate group
 copies of one document count once, so a document is not emptied because it has copies, and
 documents that share less than such copies do count each, also where the shared passage is most
 of them.  A family counts once for a token and once for a template, however many lines it has there.
-A template recurs when at least ``MIN_DOCS`` families have it.
+A template recurs when at least ``MIN_DOCS`` families have it, or ``SHORT_DOCS`` where the line is
+under ``MIN_WORDS`` long.  A second template keeps every token that two families have at its place; where
+``LONG_WORDS`` or more of it are constant, it recurs as soon as two unlike documents have it:
+two whose shingle sets have a Jaccard similarity under ``UNLIKE``, so that heavily edited copies do not
+empty each other.  Lengths are in blank-separated tokens, or in ten bytes each where that is more.
 
 Work is on distinct masked lines after a map-side reduction, so a line that a third of all
 documents hold is one row.  Only the final join brings texts and their dropped lines together.
 
-Defined results: a null text has no lines and stays null; blank lines and lines of fewer than
-four tokens are never dropped; a document whose lines all go stays with an empty text; repeated
+Defined results: a null text has no lines and stays null; blank lines and lines without a word
+are never dropped; a document whose lines all go stays with an empty text; repeated
 rows get the same text; an empty table gives an empty result; other columns are passed through.
 """
 
@@ -26,24 +30,28 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from crosswitness.llm.common import free_name, only, table, work_folder, write_table
 from crosswitness.llm.near_dedup import near_duplicates
-from crosswitness.llm.textops import family, word_hashes  # noqa: F401  (the tests take them from here)
+from crosswitness.llm.textops import family, shingles, word_hashes  # noqa: F401  (the tests take them from here)
 
 #: A line's leaf is its token count and so many leading tokens.
 DEPTH = 3
-MIN_TOKENS, MIN_DOCS = 4, 10
+MIN_WORDS, LONG_WORDS = 4, 20
+MIN_DOCS, SHORT_DOCS, LONG_DOCS = 10, 100, 2
+UNLIKE = 0.4
 #: Share of a template's tokens that must be constant.
 CONSTANT = 0.7
 WILD = "<*>"
 
 
 _DIGIT = re.compile(r"\d")
+_WORD = re.compile(r"[^\W_]")
 
 
 def masked(line: str) -> list[str]:
@@ -61,7 +69,7 @@ def _lines(text: str | None) -> dict[str, int]:
     out = {}
     for line in (text or "").split("\n"):
         t = masked(line)
-        if len(t) >= MIN_TOKENS:
+        if _WORD.search(line):
             out[" ".join(t)] = int.from_bytes(_name(" ".join([str(len(t)), *t[:DEPTH]]))[:8], "little", signed=True)
     return out
 
@@ -73,8 +81,8 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in dict.fromkeys(b["text"]):
             if lines := _lines(text):
                 own = _name(text)
-                rows += [(leaf, _name(line), own) for line, leaf in lines.items()]
-        yield pd.DataFrame(rows, columns=["leaf", "name", "own"]).astype({"leaf": "int64"})
+                rows += [(leaf, _name(line), own, max(line.count(" ") + 1, len(line.encode("utf-8", "surrogatepass")) // 10)) for line, leaf in lines.items()]
+        yield pd.DataFrame(rows, columns=["leaf", "name", "own", "words"]).astype({"leaf": "int64", "words": "int64"})
 
 
 def _owned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,13 +114,13 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, text: str = "text", mi
     """Names of the masked lines whose template recurs, with the template and its families."""
     root = root or work_folder(spark)
     texts = only(docs, text=text)
-    held = write_table(texts.mapInPandas(_parsed, "leaf long, name binary, own binary").distinct(), f"{root}/parsed")
-    lines = held.groupBy("leaf", "name").agg(F.count(F.lit(1)).alias("texts"))
-    leaves = lines.groupBy("leaf").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    held = write_table(texts.mapInPandas(_parsed, "leaf long, name binary, own binary, words long").distinct(), f"{root}/parsed")
+    lines = held.groupBy("leaf", "name").agg(F.count(F.lit(1)).alias("texts"), F.max("words").alias("words"))
+    leaves = lines.groupBy("leaf").agg(F.sum("texts").alias("n"), F.max("words").alias("words")).where(F.col("n") >= _needed(F.col("words"), min_docs)).select("leaf")
     leaves = write_table(leaves, f"{root}/leaves")
     held = held.join(leaves, "leaf", "left_semi")
     kin = _families(spark, texts, held.select("own").distinct(), root)
-    held = write_table(held.join(kin, "own").select("leaf", "name", "kin").distinct(), f"{root}/kin")
+    held = write_table(held.join(kin, "own").groupBy("leaf", "name", "kin").agg(F.min("own").alias("own")), f"{root}/kin")
     # Families with one line in a leaf are summed up by line; the others are told apart at each token and template.
     several = held.groupBy("leaf", "kin").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf", "kin", F.lit(True).alias("several"))
     held = write_table(held.join(several, ["leaf", "kin"], "left"), f"{root}/kin-lines")
@@ -122,17 +130,56 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, text: str = "text", mi
     busy = write_table(single.join(spelled.select("name", "line"), "name"), f"{root}/busy")
 
     tokens = busy.select("leaf", "name", "n", F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("token") != WILD)
-    fixed = _supported(tokens, several, ["leaf", "at", "token"]).where(F.col("n") >= min_docs)
-    fixed = write_table(fixed.select("leaf", "at", "token", F.lit(True).alias("fixed")), f"{root}/fixed")
+    fixed = _supported(tokens, several, ["leaf", "at", "token"]).where(F.col("n") >= LONG_DOCS)
+    fixed = write_table(fixed.select("leaf", "at", "token", F.col("n").alias("support")), f"{root}/fixed")
     tokens = busy.select("leaf", "name", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    part = F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise(WILD).alias("token"))
     shaped = tokens.join(fixed, ["leaf", "at", "token"], "left").groupBy("leaf", "name", "n").agg(
-        F.count("fixed").alias("constant"), F.count(F.lit(1)).alias("tokens"), F.array_sort(F.collect_list(part)).alias("parts"))
-    shaped = shaped.where(F.col("constant") >= CONSTANT * F.col("tokens")).select(
-        "leaf", "name", "n", F.array_join(F.transform("parts", lambda p: p["token"]), " ").alias("template"))
+        F.array_sort(F.collect_list(F.struct("at", "token", F.coalesce("support", F.lit(0)).alias("support")))).alias("parts"))
     shaped = write_table(shaped, f"{root}/shaped")
-    recurs = write_table(_supported(shaped, several, ["leaf", "template"]).where(F.col("n") >= min_docs), f"{root}/templates")
-    return write_table(shaped.drop("n").join(recurs, ["leaf", "template"]).select("name", "template", F.col("n").alias("families")), f"{root}/recurring")
+    often = _templates(shaped, min_docs)
+    recurs = _supported(often, several, ["leaf", "template"]).join(often.groupBy("leaf", "template").agg(F.max("words").alias("words")), ["leaf", "template"])
+    recurs = write_table(recurs.where(F.col("n") >= _needed(F.least("words", F.lit(LONG_WORDS - 1)), min_docs)).select("leaf", "template", "n"), f"{root}/templates")
+    often = write_table(often.select("leaf", "name", "template").join(recurs, ["leaf", "template"]).select("name", "template", F.col("n").alias("families")), f"{root}/often")
+    # Long lines that are left: one text of each family meets one leading text.
+    long = _templates(shaped, LONG_DOCS).where(F.col("words") >= LONG_WORDS).join(often.select("name"), "name", "left_anti").select("leaf", "name", "template")
+    long = write_table(long, f"{root}/long")
+    one = held.join(long, ["leaf", "name"]).groupBy("leaf", "template", "kin").agg(F.min("own").alias("own"))
+    one = write_table(one, f"{root}/holders")
+    lead = one.groupBy("leaf", "template").agg(F.min("own").alias("a"), F.count(F.lit(1)).alias("families")).where(F.col("families") >= LONG_DOCS)
+    pairs = write_table(one.join(lead, ["leaf", "template"]).where("own <> a").select("leaf", "template", "families", "a", F.col("own").alias("b")), f"{root}/pairs")
+    unlike = _unlike(pairs.select("a", "b").distinct(), spark.read.parquet(f"{root}/candidates").select("own", "text"))
+    unlike = pairs.join(write_table(unlike, f"{root}/unlike"), ["a", "b"]).groupBy("leaf", "template").agg(F.max("families").alias("families"))
+    long = long.join(unlike, ["leaf", "template"]).select("name", "template", "families")
+    return write_table(often.unionByName(long), f"{root}/recurring")
+
+
+def _needed(words: Column, min_docs: int) -> Column:
+    """Families that a line of so many words needs."""
+    return F.when(words >= LONG_WORDS, min(LONG_DOCS, min_docs)).when(words >= MIN_WORDS, min_docs).otherwise(max(SHORT_DOCS, min_docs))
+
+
+def _templates(shaped: DataFrame, support: int) -> DataFrame:
+    """leaf, name, n, template and words (the length of its constant part) of the lines that are constant enough at this support."""
+    constant = F.filter("parts", lambda p: (p["support"] >= support) & (p["token"] != WILD))
+    words = F.greatest(F.size(constant), F.floor(F.octet_length(F.array_join(F.transform(constant, lambda p: p["token"]), " ")) / 10).cast("int"))
+    spelled = F.array_join(F.transform("parts", lambda p: F.when(p["support"] >= support, p["token"]).otherwise(WILD)), " ")
+    return shaped.where(F.size(constant) >= CONSTANT * F.size("parts")).select("leaf", "name", "n", spelled.alias("template"), words.alias("words"))
+
+
+def _unlike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of named texts whose shingle sets have a similarity under ``UNLIKE``."""
+    def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            good = []
+            for x, y in zip(b["text_a"], b["text_b"]):
+                x, y = (np.unique(shingles(word_hashes(t.encode("utf-8", "surrogatepass"))[0])) for t in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(shared < UNLIKE * (len(x) + len(y) - shared))
+            yield b.loc[good, ["a", "b"]]
+
+    a = texts.select(F.col("own").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("own").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInPandas(far, "a binary, b binary")
 
 
 def _supported(rows: DataFrame, several: DataFrame, keys: list[str]) -> DataFrame:

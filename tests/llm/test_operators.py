@@ -303,6 +303,20 @@ def test_line_dedup_counts_families_not_lines(spark):
     assert all(got[100 + i].n_dropped == 0 for i in range(2))
 
 
+def test_line_dedup_long_and_short_lines(spark):
+    """A long passage goes from two unlike documents on, unless they are edited copies; a short line at a higher count."""
+    word = lambda i, j: "".join("klmnopqrst"[int(d)] for d in f"{i:03d}{j:03d}")
+    body = lambda i, n=200: "\n".join(" ".join(word(i, 10 * k + j) for j in range(10)) for k in range(n // 10))
+    passage, unblanked = " ".join(word(500, j) for j in range(60)), "語" * 70
+    planted = [(i, f"{body(i)}\n{passage if i < 3 else unblanked}", "en", "s", 1) for i in range(5)]
+    edited = [(10 + i, " ".join(word(600, j) for j in range(60)) + "\n" + body(601)[: 1400 - 400 * i], "en", "s", 1) for i in range(2)]
+    short = [(1000 + i, f"{body(1 + 5 + i, 20)}\nRead more\n}}", "en", "s", 1) for i in range(110)]
+    got = {r.doc_id: r for r in line_dedup.deduplicated(spark, spark.createDataFrame(planted + edited + short, DDL), counts=True).collect()}
+    assert all(got[i].n_dropped == 1 and got[i].text == body(i) for i in range(5))
+    assert all(got[10 + i].n_dropped == 0 for i in range(2))
+    assert all(got[1000 + i].n_dropped == 1 and got[1000 + i].text.endswith("\n}") for i in range(110))
+
+
 def test_url_rules_and_mined_rules(spark):
     urls = ["http://a.NET/x", "https://b.example.net/en/1?k=1", "http://example.com/de/2", "http://x.org/fr/", "http://x.org/en/", None, "nothing", "http://", "http://net", "http://net/#f",
             "http://aexample.com/de/"]
