@@ -1,10 +1,10 @@
 """Near-duplicate detection with ProbMinHash signatures, banding and exact verification.
 
-A text becomes a weighted set of five-word shingles (weight 1 + ln count).  Each shingle sends
-exponential arrivals at the rate of its weight, each arrival to a random one of 125 places; a
-place keeps its earliest shingle, and a shingle stops once its next arrival is later than all
-places (ProbMinHash).  Places agree with the probability Jaccard similarity.  25 bands of 5
-places propose candidates: a pair at 0.8 is missed with probability 0.00005.
+A text becomes a set of five-word shingles, all of weight 1, as the verification counts them.  Each
+shingle sends exponential arrivals at the rate of its weight, each arrival to a random one of 125
+places; a place keeps its earliest shingle, and a shingle stops once its next arrival is later than
+all places (ProbMinHash).  Places agree with the Jaccard similarity of the sets, however often a
+shingle is repeated.  25 bands of 5 places propose candidates: a pair at 0.8 is missed with probability 0.00005.
 
 Texts with the same word sequence are one *class*; only classes are compared, so copies are
 never expanded into pairs.  In a band bucket every member is compared exactly (Jaccard of the
@@ -83,16 +83,14 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             to, size = at, 0
             while to < len(texts) and (to == at or size + len(texts[to]) <= 8_000_000):
                 size, to = size + len(texts[to]), to + 1
-            keys, parts, counts = [], [], []
+            keys, parts = [], []
             for t in texts[at:to]:
                 h = word_hashes(t)[0]
                 keys.append(class_key(h))
-                s, c = np.unique(shingles(h, WORDS), return_counts=True)
-                parts.append(s)
-                counts.append(c)
+                parts.append(np.unique(shingles(h, WORDS)))
             n = np.array([len(p) for p in parts])
             doc = np.repeat(np.arange(len(parts)), n)
-            sig = prob_minhash(doc, np.concatenate(parts), 1 + np.log(np.concatenate(counts)), len(parts))
+            sig = prob_minhash(doc, np.concatenate(parts), np.ones(len(doc)), len(parts))
             found = bands(sig)
             yield pd.DataFrame({"doc_id": ids.iloc[at:to].to_numpy(), "key": keys, "shingles": n, "bands": list(found)}).astype({"doc_id": ids.dtype})
             at = to

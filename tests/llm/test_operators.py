@@ -137,6 +137,15 @@ def test_open_buckets_are_searched_in_full(spark):
     assert out.values.tolist() == [[b"b", b"a"]]
 
 
+def test_near_duplicates_with_a_repeated_block(spark):
+    """Twelve pairs at 0.82, of which one copy repeats its 40 further shingles 200 times."""
+    base = lambda i: " ".join(f"p{i}w{j}" for j in range(204))
+    block = lambda i: " ".join(f"r{i}b{j}" for j in range(40))
+    rows = [r for i in range(12) for r in ((2 * i, base(i)), (2 * i + 1, base(i) + f" {block(i)}" * 200))]
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(24)}
+
+
 def test_prob_minhash_estimates_similarity():
     import numpy as np
 
