@@ -1,7 +1,9 @@
 """Secret scan: candidates from the whole text, judged by a random forest trained on labelled findings.
 
-Candidates are white-space-delimited tokens of at least 12 characters with a digit.  The forest
-sees length, character classes and the transitions between them, coverage by a small
+Candidates are all runs of value characters in a white-space-delimited token, each with the name and
+sign before it, glued (``"name":"value"``, ``name=value``) or spaced: runs of at least 12 characters, of 8
+that mix letters and digits or are assigned to a name, of 4 that are assigned to a secret's name,
+and key-file headers.  The forest sees length, character classes and the transitions between them, coverage by a small
 dictionary, the kind of path (the document's source) and the neighbouring words.  Labelled findings
 come from the caller, or from plain cases in the documents: a long unbroken value assigned to
 a secret's name is a secret; addresses, dotted and pure numbers are false positives.  What is
@@ -25,31 +27,54 @@ from pyspark.sql import functions as F
 from crosswitness.llm.common import only, table, work_folder, write_table
 from crosswitness.llm.labels import SAMPLE, fold
 
-MIN_LENGTH, THRESHOLD = 12, 0.5
+#: Least lengths: of any run, of a mixed or assigned one, of one assigned to a secret's name.
+MIN_LENGTH, MIN_MIXED, MIN_NAMED, THRESHOLD = 12, 8, 4, 0.5
 TREES, DEPTH = 20, 6
 SECRET_NAMES = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private_key")
 DICTIONARY = (
     "the", "and", "for", "with", "from", "this", "that", "mail", "com", "org", "net", "www", "http", "https", "example", "test", "sample", "user", "name", "admin",
     "file", "page", "index", "html", "image", "version", "license", "copyright", "public", "general", "placeholder", "changeme", "your", "default", "localhost", "dummy",
 )
-FEATURES = ("length", "digits", "upper", "lower", "hex", "other", "distinct", "transitions", "longest_run", "dictionary", "assigned", "named", "quoted", "prev_length", "next_length", "path_depth", "path_digits")
+FEATURES = ("length", "digits", "upper", "lower", "hex", "other", "distinct", "transitions", "longest_run", "dictionary", "assigned", "named", "quoted", "prev_length", "next_length", "path_depth", "path_digits", "header")
+
+
+_NAME, _SIGN, _QUOTE = r"[A-Za-z_][A-Za-z0-9_-]*+", r":=|=|:", r"[\"'`\\]*+"
+#: A name and a sign, if any, and a run of value characters; "=" belongs to a run only as its padding.
+RUN = rf"(?:({_NAME})?{_QUOTE}({_SIGN}){_QUOTE})?([A-Za-z0-9+/_.@-]{{{MIN_NAMED},}}+(?:={{1,2}}(?![A-Za-z0-9+/_.@=-]))?)"
+#: A token that assigns the next one.
+ASSIGNS = rf"^[^A-Za-z0-9_]*+({_NAME}){_QUOTE}({_SIGN})$"
+HEADER = "^-----BEGIN"
 
 
 def findings(docs: DataFrame, text: str = "text", id: str = "doc_id", path: str = "source") -> DataFrame:
-    """Candidates: doc_id, place (number of the token), value, path, before, name, after."""
+    """Candidates: doc_id, place (number of the token), part (number of the run in it), token, value, path, before (sign or token before), name, after."""
     d = only(docs, doc_id=id, text=text, path=path).select("doc_id", F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), F.split(F.col("text").cast("string"), r"\s+").alias("t"))
     near = lambda t, i, by: F.coalesce(F.get(t, i + by), F.lit(""))
     struct = lambda x, i: F.struct(i.alias("place"), x.alias("token"), near("t", i, -1).alias("before"), near("t", i, -2).alias("name"), near("t", i, 1).alias("after"))
-    found = F.array_compact(F.transform("t", lambda x, i: F.when((F.length(x) >= MIN_LENGTH) & x.rlike("[0-9]"), struct(x, i))))
+    hopeful = lambda x, i: (F.length(x) >= MIN_NAMED) & ((F.length(x) >= MIN_LENGTH) | x.rlike("[0-9=:]") | x.rlike(HEADER) | near("t", i, -1).rlike("[=:]$"))
+    found = F.array_compact(F.transform("t", lambda x, i: F.when(hopeful(x, i), struct(x, i))))
     rows = d.select("doc_id", "path", F.explode_outer(found).alias("f")).where("f IS NOT NULL").select("doc_id", "path", "f.*")
-    value = F.regexp_extract("token", r"[A-Za-z0-9+/_=.@-]{%d,}" % MIN_LENGTH, 0)
-    return rows.select("doc_id", "place", "token", value.alias("value"), "path", "before", "name", "after").where("value <> ''")
+    rows = rows.select("*", F.posexplode(F.regexp_extract_all("token", F.lit(RUN), F.lit(0))).alias("part", "run"))
+    group = lambda n: F.regexp_extract("run", RUN, n)
+    rows = rows.select("*", group(1).alias("own_name"), group(2).alias("sign"), group(3).alias("value"), F.regexp_extract("before", ASSIGNS, 1).alias("near_name"), F.regexp_extract("before", ASSIGNS, 2).alias("near_sign"))
+    first, glued, spaced = F.col("part") == 0, F.col("sign") != "", F.col("near_sign") != ""
+    before = F.when(glued, F.col("sign")).when(~first, "").when(spaced, F.col("near_sign")).otherwise(F.col("before"))
+    # A sign that opens the token has its name in the token before.
+    name = (F.when(glued & (F.col("own_name") != ""), F.col("own_name")).when(~first, "").when(glued, F.col("before"))
+            .when(spaced, F.col("near_name")).otherwise(F.col("name")))
+    rows = rows.select("doc_id", "place", "part", "token", "value", "path", before.alias("before"), name.alias("name"), "after")
+    n, mixed = F.length("value"), F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    assigned, named = F.col("before").isin("=", ":", ":="), bare(F.col("name")).isin(*SECRET_NAMES)
+    return rows.where((n >= MIN_LENGTH) | ((n >= MIN_MIXED) & (mixed | assigned)) | (assigned & named) | F.col("value").rlike(HEADER))
+
+
+def bare(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "[^a-z_-]+", "")
 
 
 def plain_label(value: Column, before: Column, name: Column) -> Column:
     """1, 0 or null by the plain cases."""
-    bare = F.regexp_replace(F.lower(name), "[^a-z_-]+", "")
-    assigned = before.isin("=", ":", ":=") & bare.isin(*SECRET_NAMES)
+    assigned = before.isin("=", ":", ":=") & bare(name).isin(*SECRET_NAMES)
     harmless = value.rlike(r"^[^@]+@[^@]+\.[A-Za-z]+$") | value.rlike(r"^[0-9.]+$")
     return F.when(assigned & value.rlike(r"^[A-Za-z0-9+/_=-]{20,}$"), 1).when(harmless, 0)
 
@@ -65,7 +90,7 @@ def featured(found: DataFrame) -> DataFrame:
     columns = {
         "length": F.log1p(n), "digits": count("[0-9]"), "upper": count("[A-Z]"), "lower": count("[a-z]"), "hex": count("[0-9a-fA-F]"), "other": count("[^A-Za-z0-9]"),
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / n, "transitions": F.size(runs) / n, "longest_run": F.array_max(F.transform(runs, lambda x: F.length(x))) / n,
-        "dictionary": covered / n, "assigned": flag(F.col("before").isin("=", ":", ":=")), "named": flag(F.regexp_replace(F.lower("name"), "[^a-z_-]+", "").isin(*SECRET_NAMES)),
+        "dictionary": covered / n, "assigned": flag(F.col("before").isin("=", ":", ":=")), "named": flag(bare(F.col("name")).isin(*SECRET_NAMES)), "header": flag(v.rlike(HEADER)),
         "quoted": flag(F.col("token").rlike("[\"'`]")), "prev_length": F.length("before").cast("double"), "next_length": F.length("after").cast("double"),
         "path_depth": F.size(F.split("path", "[/.]")).cast("double"), "path_digits": flag(F.col("path").rlike("[0-9]")),
     }
@@ -101,7 +126,7 @@ def scanned(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = Non
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scanned(spark, table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("place").cast("bigint").alias("place"), F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("bigint").alias("length"),
+    return out.select("doc_id", F.col("place").cast("bigint").alias("place"), F.col("part").cast("bigint").alias("part"), F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("bigint").alias("length"),
                       "label", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "secret")
 
 
