@@ -2,13 +2,14 @@
 
 Texts are cut into words by the vocabulary's pattern.  The distinct words of a slice of a
 partition become rows (word, place, token), one per byte.  A recursive query joins neighbouring
-tokens with the merge table, contracts each word's leftmost pair of least rank, and repeats
-until no word has a pair left; an ordered aggregation lists the ids.  Decoding joins ids with
-the vocabulary and concatenates the bytes in order.
+tokens with the merge table, contracts each word's leftmost pair of least rank (rank and place in
+one number, so the least one of a word is a plain minimum), and repeats until no word has a pair
+left; an ordered aggregation lists the ids.  Decoding joins ids with the vocabulary and
+concatenates the bytes in order.  Both directions run in one pass over the texts.
 
 Every partition is encoded where it lies, without a shuffle.  The merge table and vocabulary
-(about 50,000 tokens, a fixed size) travel with the task.  A worker remembers the ids of at
-most ``REMEMBERED`` words.  Words of over ``LONG`` bytes would need as many rounds as bytes, so
+(about 50,000 tokens, a fixed size) travel with the task.  A worker remembers the ids of about
+``REMEMBERED`` words and forgets the older half when there are more.  Words of over ``LONG`` bytes would need as many rounds as bytes, so
 they take the same merges from a heap.
 
 Defined results: null counts as empty, an empty text has no tokens; ids decode to exactly the
@@ -31,7 +32,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from crosswitness.llm.common import free_name, table
 
-LONG, REMEMBERED = 400, 100_000
+LONG, REMEMBERED = 400, 100_000  # LONG is under 1024, so a place fits the lower ten bits
 #: Bytes of new words per recursive query, bytes of text per slice.
 QUERY_BYTES, SLICE_BYTES = 100_000, 1_000_000
 
@@ -40,13 +41,15 @@ WITH RECURSIVE parts AS (
   SELECT word, place, token, false AS ready FROM bytes_of_words
   UNION ALL
   SELECT word, place, token, ready FROM (
-    WITH pairs AS (SELECT word, place, token, lead(token) OVER w AS next_token, lag(place) OVER w AS place_before
-                   FROM parts WHERE NOT ready WINDOW w AS (PARTITION BY word ORDER BY place)),
-    ranked AS (SELECT pairs.*, merges.merged FROM pairs LEFT JOIN merges ON merges.a = pairs.token AND merges.b = pairs.next_token),
-    best AS (SELECT *, min(merged) OVER (PARTITION BY word) AS least,
-             first_value(place) OVER (PARTITION BY word ORDER BY merged NULLS LAST, place) AS spot FROM ranked)
-    SELECT word, place, CASE WHEN place = spot AND least IS NOT NULL THEN least ELSE token END AS token, least IS NULL AS ready
-    FROM best WHERE least IS NULL OR place_before IS NULL OR place_before <> spot))
+    WITH near AS MATERIALIZED (
+      SELECT word, place, token, lead(word) OVER w AS word_after, lead(token) OVER w AS token_after,
+             lag(word) OVER w AS word_before, lag(place) OVER w AS place_before
+      FROM parts WHERE NOT ready WINDOW w AS (ORDER BY word::BIGINT * 1024 + place)),
+    least AS MATERIALIZED (
+      SELECT word, min(merged * 1024 + place) AS pick FROM near JOIN merges ON a = token AND b = token_after AND word_after = word GROUP BY word)
+    SELECT near.word, place, CASE WHEN place = pick % 1024 THEN (pick // 1024)::INTEGER ELSE token END AS token, pick IS NULL AS ready
+    FROM near LEFT JOIN least ON least.word = near.word
+    WHERE pick IS NULL OR word_before IS DISTINCT FROM near.word OR place_before <> pick % 1024))
 SELECT word, list(token ORDER BY place) AS ids FROM parts WHERE ready GROUP BY word ORDER BY word
 """
 DECODE = """
@@ -73,7 +76,8 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.mergeable = False
-        self.forget()
+        self.index: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _merge_table(self) -> None:
         """Made on first use: a worker that only decodes does without."""
@@ -83,9 +87,16 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.mergeable = True
 
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    def _unknown(self, words: dict[str, None]) -> list[str]:
+        """The words to learn; makes room for them first."""
+        new = [w for w in words if w not in self.index]
+        if len(self.index) + len(new) <= REMEMBERED or not self.index:
+            return new
+        first = len(self.index) // 2  # words were learned in the order of their rows
+        base = self.ends[first]
+        self.index = {w: row - first for w, row in islice(self.index.items(), first, None)}
+        self.ids, self.ends = self.ids[base:].copy(), self.ends[first:] - base
+        return [w for w in words if w not in self.index]
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not remembered yet."""
@@ -156,11 +167,7 @@ class Codec:
         out = []
         while some := list(islice(words, 200_000)):
             some = [m if isinstance(m, str) else m[0] for m in some]
-            new = [w for w in dict.fromkeys(some) if w not in self.index]
-            if new:
-                if len(self.index) + len(new) > REMEMBERED:
-                    self.forget()
-                    new = list(dict.fromkeys(some))
+            if new := self._unknown(dict.fromkeys(some)):
                 self.learn(new)
             out.append(self._gather(some))
         return np.concatenate(out) if out else np.zeros(0, np.int32)
@@ -180,12 +187,7 @@ class Codec:
                 size, to = size + len(texts[to]), to + 1
             if size <= SLICE_BYTES:
                 cut = [self.pattern.findall(t) for t in texts[at:to]]
-                seen = dict.fromkeys(w for c in cut for w in c)
-                new = [w for w in seen if w not in self.index]
-                if len(self.index) + len(new) > REMEMBERED:
-                    self.forget()
-                    new = list(seen)
-                if new:
+                if new := self._unknown(dict.fromkeys(w for c in cut for w in c)):
                     self.learn(new)
                 out += [self._gather(c) for c in cut]
             else:
@@ -255,6 +257,20 @@ class ByteBpe:
 
         return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(into, BinaryType())]))
 
+    def both(self, docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+        """The table with the token ids and the bytes decoded from them, by one worker a task."""
+        ranks, pattern, name = self.ranks, self.pattern, self.name
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            codec = _codec(name, ranks.value, pattern)
+            for b in batches:
+                for i in range(0, len(b), 200):
+                    part = b.iloc[i : i + 200]
+                    lists = codec.encode_all([t or "" for t in part[text]])
+                    yield part.assign(**{ids: lists, decoded: codec.decode_all(lists)})
+
+        return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType())), StructField(decoded, BinaryType())]))
+
 
 def standard(spark: SparkSession) -> ByteBpe:
     import public_tokenizers
@@ -265,7 +281,7 @@ def standard(spark: SparkSession) -> ByteBpe:
 def digests(spark: SparkSession, docs: DataFrame, bpe: ByteBpe | None = None) -> DataFrame:
     """The query's columns."""
     bpe = bpe or standard(spark)
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc_id", "ids"))
+    rows = bpe.both(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -274,7 +290,7 @@ def round_trip(spark: SparkSession, docs: DataFrame, bpe: ByteBpe | None = None)
     """The documents with token ids, and the text as decoded from them."""
     bpe = bpe or standard(spark)
     ids, decoded = free_name(docs, "ids"), free_name(docs, "decoded")
-    return bpe.decode(bpe.encode(docs, into=ids), ids, decoded)
+    return bpe.both(docs, ids=ids, decoded=decoded)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 #: A byte that UTF-8 never uses; as a token it ends a text or a piece of one.
 END = b"\xff"
 
-SLICES = "slice long, part string, n_words long, words array<string>, counts array<long>, doc_ids array<long>, counted binary, tokens binary"
+SLICES = "slice long, part string, n_words long, n_counted long, words array<string>, counts array<long>, doc_ids array<string>, counted binary, tokens binary"
 
 _U = np.uint64
 _STIR = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -154,14 +154,14 @@ class _Slice:
         mine = np.repeat(np.array(self.counted, bool), [len(s) for s in self.streams])
         counts = np.bincount(tokens[mine], minlength=len(self.number))
         words = [w.decode("utf-8", "replace") for w in self.number if w != END]
-        return (slice_, part, int(np.count_nonzero(tokens)), words, counts[1:].tolist(), self.ids,
+        return (slice_, part, int(np.count_nonzero(tokens)), sum(self.counted), words, counts[1:].tolist(), self.ids,
                 pack(np.array(self.counted, np.uint8)), pack(tokens))
 
 
 def cut(docs: DataFrame, tokens_of: Callable[[bytes], list[bytes]], path: str) -> DataFrame:
     """The written slices of a table (doc_id, text, part, counted).
 
-    ``tokens_of`` lists the words of a UTF-8 text and ends with :data:`END`.  Ids in ``tokens``
+    ``tokens_of`` lists the words of a UTF-8 text and ends with :data:`END`.  Numbers in ``tokens``
     count from 1 in the order of ``words``; 0 is :data:`END`.  Only texts with ``counted`` count.
     """
     names = [f.split()[0] for f in SLICES.split(", ")]
@@ -180,14 +180,14 @@ def cut(docs: DataFrame, tokens_of: Callable[[bytes], list[bytes]], path: str) -
         for b in batches:
             for doc_id, text, part, counted in zip(b["doc_id"], b["text"], b["part"], b["counted"]):
                 tokens = tokens_of((text or "").encode("utf-8", "replace"))
-                size += parts.setdefault(part, _Slice()).add(None if doc_id is None else int(doc_id), bool(counted), tokens)
+                size += parts.setdefault(part, _Slice()).add(doc_id, bool(counted), tokens)
                 if size >= SLICE_WORDS:
                     yield rows()
                     size, parts = 0, {}
         if parts:
             yield rows()
 
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "part", "counted")  # pandas would round large ids next to nulls
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "part", "counted")  # beside nulls, pandas rounds large numbers
     return write_table(texts.mapInPandas(run, StructType.fromDDL(SLICES)), path)
 
 
