@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosswitness.llm import byte_bpe, decontaminate, line_dedup, near_dedup, toxicity
-from crosswitness.llm.common import table, work_folder, write_table
+from crosswitness.llm.common import free_name, table, work_folder, write_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents with their token ids and the text decoded from these."""
+    decoded = free_name(docs, "decoded")
     out = byte_bpe.round_trip(spark, docs)
-    return out.withColumn("decoded", F.col("decoded").cast("string"))
+    return out.withColumn(decoded, F.col(decoded).cast("string"))
 
 
 STAGES = [

@@ -75,3 +75,46 @@ def keyed_join(left: DataFrame, facts: DataFrame, on: list[str], how: str = "lef
     hot_rows = left.join(F.broadcast(hot), on, "left_semi").join(hot_facts, on, how)
     other_rows = left.join(F.broadcast(hot), on, "left_anti").join(facts, on, how)
     return other_rows.unionByName(hot_rows)
+
+
+def pair_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
+              loads: tuple[Load, Load] | None = None) -> DataFrame:
+    """Many-to-many equi-join (inner or left) in which no task meets more than about ``limit`` pairs of one key.
+
+    ``loads`` are the measured sizes of both sides under ``on``.  A key is hot when it has more
+    than sqrt(limit) rows on either side, again never less than rows / MAX_HOT_KEYS.  The rows
+    of a hot key form a grid of a x b cells: left rows are dealt over a strips and repeated in
+    all b columns, right rows the other way round, and every pair meets in exactly one cell.
+    The side with more rows is dealt finer, so with few rows on the other side b is 1 and only
+    the small side is repeated.  All other keys, NULL among them, take the ordinary join.
+
+    Rows are dealt by their position in their partition, so copies of a row spread as well;
+    both sides should come from files, whose positions a repeated task finds again.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"no many-to-many join of kind {how}")
+    if loads is None or loads[0].largest * loads[1].largest <= min(x.rows_per_task for x in loads):
+        return left.join(right, on, how)
+    pairs = min(x.rows_per_task for x in loads)
+    side = max(1, int(pairs ** 0.5))
+    least = [max(side, -(-x.rows // MAX_HOT_KEYS)) for x in loads]
+    heavy = [df.groupBy(*on).count().filter(F.col("count") > n).select(*on) for df, n in zip((left, right), least)]
+    # At most rows / least <= MAX_HOT_KEYS keys of each side; everything broadcast below has one row a key.
+    hot = F.broadcast(heavy[0].unionByName(heavy[1]).distinct())
+    counts = [df.join(hot, on, "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias(name)) for df, name in ((left, "_l"), (right, "_r"))]
+    columns = F.greatest(F.lit(1), F.ceil(F.coalesce("_r", F.lit(0)) / side))
+    strips = F.greatest(F.lit(1), F.ceil(F.col("_l") * F.ceil(F.coalesce("_r", F.lit(0)) / columns) / pairs))
+    grid = F.broadcast(counts[0].join(counts[1], on, "left").select(*on, strips.alias("_a"), columns.alias("_b"), F.col("_r").isNull().alias("_alone")))
+
+    def dealt(df: DataFrame, dealt_over: str, repeated_in: str) -> DataFrame:
+        mine, other = ("_i", "_j") if dealt_over == "_a" else ("_j", "_i")
+        return (df.join(grid, on).withColumn(mine, F.monotonically_increasing_id() % F.col(dealt_over))
+                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(repeated_in) - 1))))
+
+    l_hot, r_hot = dealt(left, "_a", "_b"), dealt(right, "_b", "_a").drop("_a", "_b", "_alone")
+    met = l_hot.drop("_a", "_b", "_alone").join(r_hot, [*on, "_i", "_j"]).drop("_i", "_j")
+    out = left.join(hot, on, "left_anti").join(right, on, how).unionByName(met)
+    if how == "left":
+        alone = left.join(grid.filter("_alone").select(*on), on, "left_semi")
+        out = out.unionByName(alone, allowMissingColumns=True)
+    return out
