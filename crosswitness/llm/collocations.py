@@ -19,8 +19,6 @@ ids and other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -63,16 +61,12 @@ _COUNTED = "slice long, n int, packed long, f long, id long, data binary"
 
 def _pairs(bits: int, shard_bits: int):
     """Slice and its word numbers -> the numbered stream (n = 0) and filters of its pairs (n = 2)."""
-    def run(slices: pd.DataFrame, numbers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for slice_, data in zip(slices["slice"], slices["tokens"]):  # one row
-            tokens = shards.unpack(data, np.uint32)
-            number = np.zeros(int(tokens.max(initial=0)) + 1, np.uint64)
-            number[numbers["local"].to_numpy(np.int64)] = numbers["id"].to_numpy(np.int64).astype(np.uint64)
-            w = _words_and_ends(number[tokens])
-            packed = (w[:-1] << np.uint64(bits) | w[1:])[(w[:-1] > 0) & (w[1:] > 0)]
-            out.append((slice_, 0, 0, shards.pack_counts(w)))
-            out += _filters(slice_, 2, packed, 2 * bits, shard_bits)
+    def run(slices: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        head = slices.iloc[0]
+        number, _ = shards.told_to(head["shard_of"], told)
+        w = _words_and_ends(number.astype(np.uint64)[shards.unpack(head["tokens"], np.uint32)])
+        packed = (w[:-1] << np.uint64(bits) | w[1:])[(w[:-1] > 0) & (w[1:] > 0)]
+        out = [(head["slice"], 0, 0, shards.pack_counts(w)), *_filters(head["slice"], 2, packed, 2 * bits, shard_bits)]
         return pd.DataFrame(out, columns=["slice", "n", "shard", "data"])
     return run
 
@@ -132,15 +126,17 @@ def frequent_phrases(texts: DataFrame, path: str, least: int = LEAST) -> tuple[D
     docs = texts.select(F.lit(None).cast("long").alias("doc_id"), "text", F.coalesce("part", F.lit("und")).alias("part"), F.lit(True).alias("counted"))
     slices = shards.cut(docs, words_in_pieces, f"{path}/slices")
     sizes = slices.groupBy("part").agg(F.sum("n_words").alias("n"))
-    words = shards.numbered_words(slices, f"{path}/words", least)
+    totals = shards.word_totals(slices, f"{path}/words", least, listed=True)
+    words = totals.where("word IS NOT NULL").select("part", "word", "f", "id")
     bits = max(1, shards.largest(words, "id").bit_length())
     n_words = int(slices.agg(F.sum("n_words")).first()[0] or 0)
     split = shards.shard_bits(n_words, SHARD_ENTRIES)
     if bits > 32:
         raise ValueError("more than 2**32 frequent words")
     split = min(split, 2 * bits)
-    numbers = shards.word_rows(slices).join(words.select("part", "word", "id"), ["part", "word"]).select(F.col("slice").alias("of"), "local", "id")
-    step = slices.select("slice", "tokens").groupBy("slice").cogroup(numbers.groupBy("of")).applyInPandas(_pairs(bits, split), _STEP)
+    heads = slices.where("shard < 0").select("slice", "tokens", "shard_of").groupBy("slice")
+    told = totals.where("slice IS NOT NULL").select("slice", "shard", "ids", "counts").groupBy("slice")
+    step = heads.cogroup(told).applyInPandas(_pairs(bits, split), _STEP)
     step = write_table(step, f"{path}/pairs")
     merged = _COUNTED + ", ids binary"
     pairs = step.where("n = 2").groupBy("n", "shard").applyInPandas(_merge(least, split, True), merged)

@@ -24,7 +24,6 @@ the one unknown outcome (score 0); an empty table gives an empty result; other c
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,7 +40,7 @@ ORDER, RARE, HOT = 2, 5, 1000
 SHARD_ENTRIES = 2_000_000
 
 _U = np.uint64
-_STEP = "kind string, slice long, level int, shard int, a binary, b binary, c binary, d binary, e binary, doc_ids array<string>, numbers array<double>"
+_STEP = "kind string, slice long, level int, shard int, a binary, b binary, c binary, d binary, e binary, numbers array<double>"
 _NAMES = [f.split()[0] for f in _STEP.split(", ")]
 SCORES = "doc_id long, counted boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -99,13 +98,17 @@ class _Model:
 class _Slice:
     """One slice's tokens, replayed level by level from what shards have told so far."""
 
-    def __init__(self, rows: pd.DataFrame, model: _Model):
-        state = rows[rows["kind"] == "state"].iloc[0]
-        self.doc_ids, self.slice, self.model = state["doc_ids"], int(state["slice"]), model
-        self.tokens = unpack(state["a"], np.uint32)
-        self.counted = unpack(state["d"], np.uint8).astype(bool)
-        self.ids, self.counts = unpack_counts(state["b"]).astype(_U), unpack_counts(state["c"])
-        self.told = {(int(r["level"]), int(r["shard"])): r for _, r in rows[rows["kind"] == "tell"].iterrows()}
+    def __init__(self, heads: pd.DataFrame, told: pd.DataFrame, model: _Model, sep: int):
+        head = heads.iloc[0]
+        self.doc_ids, self.slice, self.model = head["doc_ids"], int(head["slice"]), model
+        self.tokens = unpack(head["tokens"], np.uint32)
+        self.counted = unpack(head["counted"], np.uint8).astype(bool)
+        words = told[told["level"] == 1].rename(columns={"a": "ids", "b": "counts"})
+        ids, self.counts = shards.told_to(head["shard_of"], words)
+        ids += 1
+        ids[0], self.counts[0] = 1, sep  # the end token
+        self.ids = ids.astype(_U)
+        self.told = {(int(r["level"]), int(r["shard"])): r for _, r in told[told["level"] > 1].iterrows()}
         ends = np.flatnonzero(self.tokens == 0)
         self.starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64)
         self.lengths = np.diff(np.concatenate((self.starts, [len(self.tokens)])))
@@ -136,7 +139,7 @@ class _Slice:
                 n = np.bincount(back[mine], minlength=len(keys))
                 lower_c, lower_den = c[1:][at][first], np.where(c[1:] > 0, den, 0)[at][first]
                 return [("ask", self.slice, level, s, pack_counts(np.diff(keys[g], prepend=_U(0))), pack_counts(n[g]), pack_counts(lower_c[g]),
-                         pack_counts(lower_den[g]), pack(hot[g].astype(np.uint8)), None, None) for s, g in groups]
+                         pack_counts(lower_den[g]), pack(hot[g].astype(np.uint8)), None) for s, g in groups]
             count, number = np.zeros(len(keys), np.int64), np.zeros(len(keys), _U)
             left, below = np.zeros((RARE, len(keys)), np.int64), np.zeros(len(keys))
             for s, g in groups:
@@ -174,23 +177,9 @@ class _Slice:
             "n_known": add(self.known.astype(np.int64)), "train_tokens": m.n, "base_score": add(words), "score": add(p)}).astype({"doc_id": object})
 
 
-def _first(model: _Model, sep: int):
-    """Slice and the numbers of its words -> its state and its questions about pairs."""
-    def run(slices: pd.DataFrame, numbers: pd.DataFrame) -> pd.DataFrame:
-        row = slices.iloc[0]
-        ids = np.zeros(len(numbers) + 1, np.int64)
-        counts = ids.copy()
-        local = numbers["local"].to_numpy(np.int64)
-        ids[local], counts[local] = numbers["id"].to_numpy(np.int64) + 1, numbers["f"].to_numpy(np.int64)
-        ids[0], counts[0] = 1, sep  # the end token
-        state = ("state", row["slice"], 1, -1, row["tokens"], pack_counts(ids), pack_counts(counts), row["counted"], None, list(row["doc_ids"]), None)
-        rows = pd.DataFrame([state], columns=_NAMES)
-        return pd.DataFrame([state, *_Slice(rows, model).replay(ask=2)], columns=_NAMES)
-    return run
-
-
-def _next(model: _Model, level: int):
-    return lambda rows: pd.DataFrame(_Slice(rows, model).replay(ask=level), columns=_NAMES)
+def _asks(model: _Model, sep: int, level: int):
+    """Slice and all that shards have told it -> its questions about n-grams of length ``level``."""
+    return lambda heads, told: pd.DataFrame(_Slice(heads, told, model, sep).replay(ask=level), columns=_NAMES)
 
 
 def _sum(model: _Model, level: int, numbered: bool):
@@ -219,11 +208,11 @@ def _sum(model: _Model, level: int, numbered: bool):
             own = np.unique(history[at][~hot[at]])
             which = np.searchsorted(heads, own)
             out.append(("tell", slice_, level, shard, pack_counts(total[at]), pack_counts(number[at]) if numbered else None,
-                        pack_counts(rare[:, which].ravel()), pack(below[which]), None, None, None))
+                        pack_counts(rare[:, which].ravel()), pack(below[which]), None, None))
         of_counts = [float(seen.sum()), *[float(np.count_nonzero(total == r)) for r in range(1, RARE + 2)]]
-        out.append(("ngrams", None, level, shard, pack_counts(np.diff(keys[seen], prepend=_U(0))), pack_counts(total[seen]), None, None, None, None, of_counts))
+        out.append(("ngrams", None, level, shard, pack_counts(np.diff(keys[seen], prepend=_U(0))), pack_counts(total[seen]), None, None, None, of_counts))
         for i in np.flatnonzero(head_hot):
-            out.append(("hot", None, level, shard, None, None, None, None, None, None, [float(heads[i]), *rare[:, i].astype(float), float(below[i])]))
+            out.append(("hot", None, level, shard, None, None, None, None, None, [float(heads[i]), *rare[:, i].astype(float), float(below[i])]))
         return pd.DataFrame(out, columns=_NAMES)
     return run
 
@@ -238,36 +227,31 @@ def scores(texts: DataFrame, path: str, order: int = ORDER) -> DataFrame:
     """Scores of a table (doc_id, text, counted) by the model of its ``counted`` texts; the n-gram tables stay under ``path``."""
     docs = texts.select("doc_id", "text", F.lit("").alias("part"), "counted")
     slices = shards.cut(docs, tokens_of, f"{path}/slices")
-    words = shards.numbered_words(slices, f"{path}/words")
-    rare = [F.count_if(F.col("f") == r).alias(f"n{r}") for r in range(1, RARE + 2)]
-    sums = words.agg(F.sum("f").alias("n"), F.count_if(F.col("f") > 0).alias("v"), F.max("id").alias("top"), *rare).first()
-    size = slices.agg(F.sum("n_counted").alias("sep"), F.sum(F.col("n_words") + F.size("doc_ids")).alias("tokens")).first()
+    words = shards.word_totals(slices, f"{path}/words")
+    places = [F.get("numbers", F.lit(i)) for i in range(3 + RARE + 1)]
+    sums = words.where("numbers IS NOT NULL").agg(F.max(places[0]).alias("top"), *[F.sum(p).alias(f"s{i}") for i, p in enumerate(places[1:])]).first()
+    size = slices.agg(F.sum("n_counted").alias("sep"), F.sum(F.col("n_words") + F.coalesce(F.size("doc_ids"), F.lit(0))).alias("tokens")).first()
     sep = int(size["sep"] or 0)  # the count of the end token
-    of_counts = [0.0, *[float(sums[f"n{r}"] or 0) + (sep == r) for r in range(1, RARE + 2)]]
-    n, v = int(sums["n"] or 0) + sep, int(sums["v"] or 0) + (sep > 0)
+    of_counts = [0.0, *[float(sums[f"s{1 + r}"] or 0) + (sep == r) for r in range(1, RARE + 2)]]
+    n, v = int(sums["s0"] or 0) + sep, int(sums["s1"] or 0) + (sep > 0)
     model = _Model(n, v, (int(sums["top"] or 0) + 1).bit_length(), shards.shard_bits(int(size["tokens"] or 0), SHARD_ENTRIES), discounts(of_counts), of_counts)
-    numbers = shards.word_rows(slices).join(words.select("part", "word", "f", "id"), ["part", "word"]).select(F.col("slice").alias("of"), "local", "id", "f")
-    slim = slices.select("slice", "doc_ids", "counted", "tokens")
-    step = _stored(slim.groupBy("slice").cogroup(numbers.groupBy("of")).applyInPandas(_first(model, sep), _STEP), f"{path}/states")
-    known, asks = [step.where("kind = 'state'")], step.where("kind = 'ask'")
+    heads = slices.where("shard < 0").select("slice", "doc_ids", "counted", "tokens", "shard_of")
+    known = words.where("slice IS NOT NULL").select("slice", F.lit(1).alias("level"), "shard", F.col("ids").alias("a"), F.col("counts").alias("b"),
+                                                    F.lit(None).cast("binary").alias("c"), F.lit(None).cast("binary").alias("d"))
     for level in range(2, order + 1):
         if model.bits[level] > 32:
             raise ValueError("more than 2**32 n-grams of one length")
+        asks = heads.groupBy("slice").cogroup(known.groupBy("slice")).applyInPandas(_asks(model, sep, level), _STEP)
         told = _stored(asks.groupBy("shard").applyInPandas(_sum(model, level, level < order), _STEP), f"{path}/level-{level}")
-        known.append(told.where("kind = 'tell'"))
-        counts = told.where("kind = 'ngrams'").agg(*[F.sum(F.get("numbers", F.lit(r))).alias(f"n{r}") for r in range(1, RARE + 2)],
-                                                       F.max(F.get("numbers", F.lit(0))).alias("most")).first()
+        numbers = [F.get("numbers", F.lit(i)) for i in range(RARE + 2)]
+        counts = told.where("kind = 'ngrams'").agg(F.max(numbers[0]).alias("most"), *[F.sum(x).alias(f"n{r}") for r, x in enumerate(numbers) if r]).first()
         model.d[level] = discounts([0.0, *[float(counts[f"n{r}"] or 0) for r in range(1, RARE + 2)]])
         # At most HOT histories, as each holds over 1 / HOT of the tokens.
-        width = range(1, RARE + 2)
-        hot = told.where("kind = 'hot'").groupBy(F.get("numbers", F.lit(0)).alias("h")).agg(*[F.sum(F.get("numbers", F.lit(i))).alias(f"s{i}") for i in width])
+        hot = told.where("kind = 'hot'").groupBy(numbers[0].alias("h")).agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(numbers) if i])
         model.hot[level] = np.array(sorted(map(tuple, hot.collect())), np.float64).reshape(-1, RARE + 2)
-        if level < order:
-            model.bits[level + 1] = (int(counts["most"] or 0) << model.split).bit_length()
-            every = reduce(lambda x, y: x.unionByName(y), known)
-            asks = _stored(every.groupBy("slice").applyInPandas(_next(model, level + 1), _STEP), f"{path}/asks-{level + 1}")
-    every = reduce(lambda x, y: x.unionByName(y), known)
-    return every.groupBy("slice").applyInPandas(lambda rows: _Slice(rows, model).scores(order), SCORES)
+        model.bits[level + 1] = (int(counts["most"] or 0) << model.split).bit_length()
+        known = known.unionByName(told.where("kind = 'tell'").select("slice", "level", "shard", "a", "b", "c", "d"))
+    return heads.groupBy("slice").cogroup(known.groupBy("slice")).applyInPandas(lambda h, t: _Slice(h, t, model, sep).scores(order), SCORES)
 
 
 def op12_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Word streams in slices, and lossless counts of word n-grams in shards.
 
 A *slice* is about a million words of neighbouring texts, with its own small dictionary.  A
-*shard* owns a part of the n-grams by hash.  Slices send each shard their distinct n-grams with
-counts, once each, so the most frequent word or n-gram of the corpus is one entry a slice; shards
+*shard* owns a part of the words or n-grams by hash.  Slices send each shard their distinct words
+or n-grams with counts, once each and packed, so the most frequent word or n-gram of the corpus is one entry a slice; shards
 answer slices the same way.  Nothing is sent to the driver but totals.
 
 :class:`QuotientFilter` is the counting quotient filter of one (slice, shard): packed ids are
@@ -13,6 +13,7 @@ remainder) are stored in full, so the counts are exact and the ids come back.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +31,10 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 #: A byte that UTF-8 never uses; as a token it ends a text or a piece of one.
 END = b"\xff"
 
-SLICES = "slice long, part string, n_words long, n_counted long, words array<string>, counts array<long>, doc_ids array<string>, counted binary, tokens binary"
+#: A row with shard -1 holds a slice's texts; the others hold its words, one row a shard.
+SLICES = ("slice long, part string, shard int, n_words long, n_counted long, doc_ids array<string>, counted binary, tokens binary, "
+          "shard_of binary, words binary, counts binary")
+TOTALS = "slice long, part string, shard int, ids binary, counts binary, word string, f long, id long, numbers array<long>"
 
 _U = np.uint64
 _STIR = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -149,22 +153,40 @@ class _Slice:
         self.counted.append(counted)
         return len(tokens)
 
-    def row(self, slice_: int, part: str) -> tuple:
+    def rows(self, slice_: int, part: str, shards: int) -> Iterator[tuple]:
         tokens = np.concatenate(self.streams)
-        mine = np.repeat(np.array(self.counted, bool), [len(s) for s in self.streams])
-        counts = np.bincount(tokens[mine], minlength=len(self.number))
-        words = [w.decode("utf-8", "replace") for w in self.number if w != END]
-        return (slice_, part, int(np.count_nonzero(tokens)), sum(self.counted), words, counts[1:].tolist(), self.ids,
-                pack(np.array(self.counted, np.uint8)), pack(tokens))
+        n = len(self.number)
+        # Frequent words get small numbers, which pack better.
+        rank = np.zeros(n, np.uint32)
+        order = np.argsort(-np.bincount(tokens, minlength=n)[1:], kind="stable") + 1
+        rank[order] = np.arange(1, n, dtype=np.uint32)
+        mine = np.repeat(np.array(self.counted, bool), [len(x) for x in self.streams])
+        counts = np.bincount(tokens[mine], minlength=n)[order]
+        words = list(self.number)
+        words = [words[i] for i in order]
+        of = np.fromiter((zlib.crc32(w) % shards for w in words), np.uint32, n - 1)
+        yield (slice_, part, -1, int(np.count_nonzero(tokens)), sum(self.counted), self.ids, pack(np.array(self.counted, np.uint8)),
+               pack(rank[tokens]), pack_counts(of), None, None)
+        for at in by_value(of):
+            yield (slice_, part, int(of[at[0]]), 0, 0, None, None, None, None,
+                   zstandard.ZstdCompressor(3).compress(b"\n".join([words[i] for i in at])), pack_counts(counts[at]))
+
+
+def by_value(values: np.ndarray) -> list[np.ndarray]:
+    """The places of each distinct value, in rising order."""
+    order = np.argsort(values, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(values[order])) + 1) if len(order) else []
 
 
 def cut(docs: DataFrame, tokens_of: Callable[[bytes], list[bytes]], path: str) -> DataFrame:
     """The written slices of a table (doc_id, text, part, counted).
 
-    ``tokens_of`` lists the words of a UTF-8 text and ends with :data:`END`.  Numbers in ``tokens``
-    count from 1 in the order of ``words``; 0 is :data:`END`.  Only texts with ``counted`` count.
+    ``tokens_of`` lists the words of a UTF-8 text, which hold no line feed, and ends with
+    :data:`END`.  Numbers in ``tokens`` count a slice's words from 1; 0 is :data:`END`.  Only
+    texts with ``counted`` count.
     """
     names = [f.split()[0] for f in SLICES.split(", ")]
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slice_, size, parts = TaskContext.get().partitionId() << 32, 0, {}
@@ -173,7 +195,7 @@ def cut(docs: DataFrame, tokens_of: Callable[[bytes], list[bytes]], path: str) -
             nonlocal slice_
             out = []
             for part, s in parts.items():
-                out.append(s.row(slice_, part))
+                out += s.rows(slice_, part, shards)
                 slice_ += 1
             return pd.DataFrame(out, columns=names)
 
@@ -191,19 +213,54 @@ def cut(docs: DataFrame, tokens_of: Callable[[bytes], list[bytes]], path: str) -
     return write_table(texts.mapInPandas(run, StructType.fromDDL(SLICES)), path)
 
 
-def word_rows(slices: DataFrame) -> DataFrame:
-    """(slice, part, local, word, count): a row per distinct word of a slice."""
-    each = slices.select("slice", "part", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w"))
-    return each.select("slice", "part", (F.col("i") + 1).alias("local"), F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
+def word_totals(slices: DataFrame, path: str, least: int = 0, listed: bool = False) -> DataFrame:
+    """The written totals of all words, by shard.
 
-
-def numbered_words(slices: DataFrame, path: str, least: int = 0) -> DataFrame:
-    """The written table (part, word, f, id) of the words counted at least ``least`` times; ids are unique from 1 on and nearly dense."""
-    words = word_rows(slices).groupBy("part", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-    parts = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = F.monotonically_increasing_id()  # the partition in the upper bits, the row in the lower 33
-    dense = place.bitwiseAND(F.lit(2**33 - 1))
-    return write_table(words.select("part", "word", "f", (dense * parts + F.shiftright(place, 33) + 1).alias("id")), path)
+    Rows with a slice hold the numbers and total counts of that slice's words of the shard, in
+    its own order; words counted less than ``least`` times have number 0, others unique ones from
+    1 on.  Rows with ``numbers`` hold (largest number, sum of counts, words counted, words counted
+    once, twice, ... six times).  With ``listed`` every numbered word has a row (part, word, f, id).
+    """
+    shards = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f.split()[0] for f in TOTALS.split(", ")]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        shard = int(key[0])
+        sent = [zstandard.ZstdDecompressor().decompress(w).split(b"\n") for w in rows["words"]]
+        total: dict[str, dict[bytes, int]] = {}
+        for part, words, counts in zip(rows["part"], sent, rows["counts"]):
+            mine = total.setdefault(part, {})
+            for w, c in zip(words, unpack_counts(counts).tolist()):
+                mine[w] = mine.get(w, 0) + c
+        number, top, out = {}, 0, []
+        for part, mine in total.items():
+            often = [w for w, f in mine.items() if f >= least]
+            number[part] = dict(zip(often, range(top * shards + shard + 1, (top + len(often)) * shards + shard + 1, shards)))
+            top += len(often)
+            if listed:
+                out += [(None, part, shard, None, None, w.decode("utf-8"), mine[w], i, None) for w, i in number[part].items()]
+        for slice_, part, words in zip(rows["slice"], rows["part"], sent):
+            of, f = number[part], total[part]
+            ids = np.array([of.get(w, 0) for w in words], np.int64)
+            out.append((slice_, part, shard, pack_counts(ids), pack_counts(np.array([f[w] for w in words], np.int64)), None, None, None, None))
+        every = np.array([f for mine in total.values() for f in mine.values()], np.int64)
+        stats = [max((i for of in number.values() for i in of.values()), default=0), int(every.sum()), int(np.count_nonzero(every)),
+                 *[int(np.count_nonzero(every == r)) for r in range(1, 7)]]
+        out.append((None, None, shard, None, None, None, None, None, stats))
+        return pd.DataFrame(out, columns=names)
+
+    return write_table(slices.where("shard >= 0").groupBy("shard").applyInPandas(run, TOTALS), path)
+
+
+def told_to(shard_of: bytes, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and total counts of a slice's words, from the answers of all shards; place 0 is left for :data:`END`."""
+    of = unpack_counts(shard_of)
+    ids, counts = np.zeros(len(of) + 1, np.int64), np.zeros(len(of) + 1, np.int64)
+    said = {int(s): (i, c) for s, i, c in zip(answers["shard"], answers["ids"], answers["counts"])}
+    for at in by_value(of):
+        i, c = said[int(of[at[0]])]
+        ids[at + 1], counts[at + 1] = unpack_counts(i), unpack_counts(c)
+    return ids, counts
 
 
 def largest(df: DataFrame, column: str) -> int:
