@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from crosswitness.functions.columns import with_record_id
 from crosswitness.functions.leaves import any_of
 from crosswitness.functions.scalars import full_date
-from crosswitness.operators.skew import keyed_join
+from crosswitness.operators.skew import keyed_join, pair_join
 from crosswitness.plans import facts as fx
 from crosswitness.sources.study import Study
 
@@ -197,11 +197,14 @@ def _evidence_of(df: DataFrame, checks: list[Check]) -> Column:
 
 def _group_flags(study: Study, focus: str, checks: list[Check]) -> DataFrame:
     raw = study.raw(focus)
-    df = study[focus]
+    df = study.seen_from(focus)[focus]
     df = with_record_id(df, focus, raw.columns if raw is not None else df.columns)
     df = df.filter(any_of([k.local() for k in checks]))
+    if focus in study.shared:  # only rows that a check could flag meet the scenarios of their subject
+        loads = study.load(focus), study.load("scenarios")
+        df = pair_join(df, study.scenarios.select("scenario_id", "USUBJID"), ["USUBJID"], loads=loads if all(loads) else None)
     for name in dict.fromkeys(f for k in checks for f in k.facts):
-        table = fx.FACTS[name][1](study)
+        table = fx.FACTS[name][1](study.seen_from(*fx.FACT_TABLES[name]))
         load = study.load(f"{focus} by ARMCD") if fx.FACTS[name][0] == ("ARMCD",) else study.load(focus)
         df = keyed_join(df, table, fx.fact_keys(study, name, table), "left", load)
     if len(checks) == 1:
@@ -235,6 +238,13 @@ def check_groups(ids: Iterable[str]) -> list[list[str]]:
     return list(groups.values())
 
 
+def reads(check_id: str) -> set[str]:
+    """Tables that a check depends on."""
+    if check_id == "A19":
+        return {"RS"}
+    return {CHECKS[check_id].focus, *(t for f in CHECKS[check_id].facts for t in fx.FACT_TABLES[f])}
+
+
 def run_checks(study: Study, ids: Iterable[str] = (*ARCHETYPES, *DERIVATIONS), lookup_grain: str = "record") -> DataFrame:
     """Flags of the selected checks, one row per (check, flagged record).
 

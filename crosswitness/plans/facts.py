@@ -274,6 +274,16 @@ FACTS = {
 }
 
 
+# name -> tables it reads
+FACT_TABLES = {
+    **dict.fromkeys(("rs_subject", "ovr_visit"), ("RS",)),
+    **dict.fromkeys(("tr_subject", "tr_visit", "shrunk_visit", "measurable_visit"), ("TR",)),
+    "new_target_visit": ("TU", "TR"), "tu_lesion": ("TU",),
+    **dict.fromkeys(("ex_subject", "ex_rfxstdtc", "ex_rfxendtc", "ex_rfstdtc"), ("EX",)),
+    "ae_subject": ("AE",), "ds_subject": ("DS",), "supp_subject": ("SUPPDM",), "dm_subject": ("DM",), "dm_arm": ("DM",), "ta_arm": ("TA",),
+}
+
+
 def fact_keys(study: Study, name: str, facts: DataFrame) -> list[str]:
     return [*[k for k in study.scope if k in facts.columns], *FACTS[name][0]]
 

@@ -53,13 +53,25 @@ class Study:
     """Domain tables plus the columns that identify a subject.
 
     ``keys`` grows by ``scenario_id`` when several injected copies of a cohort are checked
-    in one job.  ``loads`` holds measured group sizes (see :mod:`operators.skew`).
+    in one job.  Tables that no scenario changes need no copies: they are named in ``shared``
+    and stay keyed by subject, and ``scenarios`` lists the (scenario_id, USUBJID) in play.
+    ``loads`` holds measured group sizes (see :mod:`operators.skew`).
     """
 
     spark: SparkSession
     tables: dict[str, DataFrame]
     keys: tuple[str, ...] = ("USUBJID",)
     loads: dict[str, Load] = field(default_factory=dict)
+    shared: frozenset[str] = frozenset()
+    scenarios: DataFrame | None = None
+
+    def seen_from(self, *domains: str) -> "Study":
+        """The study for a fact over these tables: without scenarios where all of them are shared."""
+        if not self.shared.intersection(domains):
+            return self
+        if not self.shared.issuperset(domains):
+            raise ValueError(f"of {domains} some are shared between scenarios and some are not")
+        return replace(self, keys=tuple(k for k in self.keys if k != "scenario_id"), shared=frozenset(), scenarios=None)
 
     @property
     def scope(self) -> tuple[str, ...]:
@@ -94,7 +106,9 @@ class Study:
         dm = self.tables.get("DM")
         if dm is not None and "ARMCD" in dm.columns:
             wanted["DM by ARMCD"] = (dm, (*self.scope, "ARMCD"))
-        return replace(self, loads=measure(wanted, rows_per_task))
+        if self.scenarios is not None:
+            wanted["scenarios"] = (self.scenarios, ("USUBJID",))
+        return replace(self, loads={**self.loads, **measure(wanted, rows_per_task)})
 
     def staged(self, path: str, buckets: int = 0, name: str = "study") -> "Study":
         """Write every domain once and read it back.
