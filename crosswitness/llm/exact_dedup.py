@@ -6,6 +6,10 @@ reduced to one row per digest before its shuffle, anti-joined with the index by
 appended.  Texts that an earlier batch brought stay represented by that batch; within a batch
 the row with the largest id stays.
 
+The number of buckets is stored beside the index, since an index read with another number would
+miss digests; opening adopts it.  An index row names its batch: a batch brought again under another
+name keeps nothing, and one repeated under its own name (after a failed run) keeps what it kept.
+
 Defined results: a null text counts as empty; a null id is smaller than every id; of rows that
 repeat id and text one stays; an empty batch adds nothing; other columns are never read.
 """
@@ -28,13 +32,20 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._stored_buckets(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = "digest_index_" + hashlib.md5(self.path.encode()).hexdigest()
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, keep_row BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, keep_row BIGINT, keep_batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/index'"
         )
 
+    def _stored_buckets(self, wanted: int) -> int:
+        """The number of buckets that the index was made with; a new index is made with the wanted one."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/layout/_SUCCESS")
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            self.spark.range(1).selectExpr(f"{wanted} AS buckets").write.mode("overwrite").parquet(f"{self.path}/layout")
+        return int(self.spark.read.parquet(f"{self.path}/layout").first()["buckets"])
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -58,12 +69,11 @@ class DigestIndex:
             f"{self.path}/{batch_name}/groups")
         known = self.table().select("digest", F.col("keep_id").alias("known_id"))
         fresh = groups.join(known.hint("merge"), "digest", "left_anti")
-        # Keep row numbers apart from those of other batches: only this batch's rows may match them.
-        (fresh.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"))
+        (fresh.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(batch_name).alias("keep_batch"))
          .repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name))
         merged = groups.join(self.table().hint("merge"), "digest").select(
             "digest", "keep_id", "group_size",
-            F.when(F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("keep_row") == F.col("row")), F.col("row")).alias("keep_row"))
+            F.when(F.col("keep_batch") == batch_name, F.col("keep_row")).alias("keep_row"))  # rows of other batches may have the same number
         found = write_table(merged, f"{self.path}/{batch_name}/found")
         limit = int(rows.count() * HOT_SHARE)
         hot = F.broadcast(found.where(F.col("group_size") > limit))  # at most 1 / HOT_SHARE rows

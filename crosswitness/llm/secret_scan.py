@@ -114,12 +114,17 @@ def judged(rows: DataFrame, usable: Column, bound: int = SAMPLE) -> DataFrame:
 
 
 def scanned(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Every finding with its score; ``labels`` (doc_id, place, label) are findings judged by hand, else the plain cases are used."""
+    """Every finding with its score; ``labels`` (doc_id, place, part, label) are findings judged by hand, else the plain cases are used.
+
+    A label is about one run of a token; of contradicting labels of a run the larger counts.
+    """
     found = findings(docs)
     if labels is None:
         rows = found.withColumn("label", plain_label(F.col("value"), F.col("before"), F.col("name")))
     else:
-        rows = found.join(only(labels, doc_id="doc_id", place="place", label="label").groupBy("doc_id", "place").agg(F.max("label").cast("int").alias("label")), ["doc_id", "place"], "left")
+        run = ["doc_id", "place", "part"]
+        given = only(labels, label="label", **{c: c for c in run}).groupBy(*run).agg(F.max("label").cast("int").alias("label"))
+        rows = found.join(given, run, "left")
     rows = write_table(featured(rows), f"{work_folder(spark)}/findings")
     return judged(rows, fold(F.col("doc_id"), 5) != 0)
 
