@@ -3,8 +3,9 @@
 ``load`` derives the study from the source tables, measures group sizes and writes it;
 ``all_checks`` evaluates the 28 checks and writes the flags, one job per group of checks;
 ``all_checks_one_job`` evaluates them as one query.  The headline value is their sum, so it
-covers the whole way from the source tables to the flags.  The single checks are timed as
-well.  Prints one JSON line.
+covers the whole way from the source tables to the flags.  The single checks, the
+inject-and-detect sweep over all archetypes and the robustness sweep are timed as well.
+Prints one JSON line.
 """
 
 import json
@@ -13,6 +14,7 @@ import time
 
 from crosswitness.catalog.testbed import build_study, table
 from crosswitness.plans.checks import ARCHETYPES, DERIVATIONS, run_checks, write_flags
+from crosswitness.plans.differential import all_verdicts, robustness
 from crosswitness.session import get_session
 from crosswitness.sources.staging import staging_root
 
@@ -48,6 +50,8 @@ def main() -> None:
     times["all_checks_one_job"] = run(run_checks(study, ids))
     for i in ids:
         times[i] = run(run_checks(study, [i]))
+    times["inject_and_detect"] = run(all_verdicts(study))
+    times["robustness"] = timed(lambda: robustness(study).collect())  # a row a perturbation
     total = round(times["load"] + times["all_checks"], 3)
     print(json.dumps({
         "metric": "28 cross-table and derivation checks, source tables to flags", "value": total, "unit": "sec",

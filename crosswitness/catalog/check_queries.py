@@ -39,9 +39,9 @@ def flag_sql(rule: str, domain: str, where: str, severity: str = "violation", la
 OVR = "t.RSTESTCD = 'OVRLRESP'"
 TGT = "t.RSCAT = 'TARGET RESPONSE' AND t.RSTESTCD = 'OVRESP'"
 AT = "x.USUBJID = t.USUBJID AND x.VISITNUM = t.VISITNUM"
-SUM = f"(SELECT sum(x.TRSTRESN) FROM tr x WHERE x.TRTESTCD = 'LDIAM' AND x.TRTARGETLN AND {AT})"
+SUM = f"(SELECT sum(CAST(x.TRSTRESN AS DECIMAL(18, 6))) FROM tr x WHERE x.TRTESTCD = 'LDIAM' AND x.TRTARGETLN AND {AT})"
 BL = "(SELECT min(b.VISITNUM) FROM tr b WHERE b.TRTARGETLN AND b.EPOCH = 'SCREENING' AND b.USUBJID = t.USUBJID)"
-TRV = """, trv AS (SELECT USUBJID, VISITNUM, sum(TRSTRESN) AS sld FROM tr
+TRV = """, trv AS (SELECT USUBJID, VISITNUM, sum(CAST(TRSTRESN AS DECIMAL(18, 6))) AS sld FROM tr
   WHERE TRTESTCD = 'LDIAM' AND TRTARGETLN GROUP BY USUBJID, VISITNUM),
 bl AS (SELECT USUBJID, min(VISITNUM) AS bv FROM tr WHERE TRTARGETLN AND EPOCH = 'SCREENING' GROUP BY USUBJID),
 meas AS (SELECT s.USUBJID, s.VISITNUM, s.sld, bl.bv,
@@ -68,7 +68,7 @@ WHERE = {
     "A01": ("RS", f"""{OVR} AND t.RSORRES = 'PD' AND EXISTS (
         SELECT 1 FROM tr x JOIN tr b ON b.USUBJID = x.USUBJID AND b.TRLNKID = x.TRLNKID
         WHERE {AT} AND x.TRTESTCD = 'LDIAM' AND b.TRTESTCD = 'LDIAM' AND b.VISITNUM < x.VISITNUM
-          AND x.TRSTRESN < 0.70 * b.TRSTRESN AND NOT EXISTS (
+          AND CAST(x.TRSTRESN AS DECIMAL(18, 6)) < 0.70 * CAST(b.TRSTRESN AS DECIMAL(18, 6)) AND NOT EXISTS (
             SELECT 1 FROM tr m WHERE m.USUBJID = x.USUBJID AND m.TRLNKID = x.TRLNKID AND m.TRTESTCD = 'LDIAM'
               AND m.VISITNUM > b.VISITNUM AND m.VISITNUM < x.VISITNUM))"""),
     "A02": ("TU", f"""EXISTS (SELECT 1 FROM rs x WHERE {AT} AND x.RSTESTCD = 'OVRLRESP' AND x.RSORRES <> 'PD')
@@ -98,7 +98,7 @@ WHERE = {
     "A18": ("TR", f"{PROGRESSION} AND EXISTS (SELECT 1 FROM rs x WHERE {AT} AND x.RSTESTCD = 'OVRLRESP' AND x.RSORRES <> 'PD')"),
     "A20": ("RS", f"""{OVR} AND t.RSORRES = 'iCPD' AND NOT EXISTS (SELECT 1 FROM rs x WHERE x.USUBJID = t.USUBJID
         AND x.RSTESTCD = 'OVRLRESP' AND x.RSORRES = 'iCPD' AND x.VISITNUM > t.VISITNUM)"""),
-    "S1": ("RS", f"t.RSCAT = 'TARGET RESPONSE' AND t.RSTESTCD = 'SUMDIAM' AND {SUM} <> t.RSSTRESN"),
+    "S1": ("RS", f"t.RSCAT = 'TARGET RESPONSE' AND t.RSTESTCD = 'SUMDIAM' AND {SUM} <> CAST(t.RSSTRESN AS DECIMAL(18, 6))"),
     "S2": ("RS", f"""{TGT} AND t.RSORRES <> 'CR'
         AND EXISTS (SELECT 1 FROM tr x WHERE {AT} AND x.TRTESTCD = 'LDIAM' AND x.TRTARGETLN AND x.TRSTRESN IS NOT NULL)
         AND NOT EXISTS (SELECT 1 FROM tr x WHERE {AT} AND x.TRTESTCD = 'LDIAM' AND x.TRTARGETLN AND x.TRSTRESN > 0)

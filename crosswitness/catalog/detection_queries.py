@@ -2,63 +2,57 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from crosswitness.catalog.check_queries import TRV, LOOKUP_SQL, check_sql
 from crosswitness.catalog.testbed import PRELUDE, study
+from crosswitness.catalog import injected_sql as sq
 from crosswitness.plans import detect
+from crosswitness.plans import differential as df
 from crosswitness.plans.checks import ARCHETYPES, run_checks
-from crosswitness.plans.inject import compatible_set
+from crosswitness.plans.inject import compatible_set, inject
 
 Q: dict = {}
 O: dict = {}
-_RUNS: dict = {}
-
-
-def _candidate_run(spark, sf):
-    """Scenarios and their flags for all archetypes; written once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _RUNS:
-        st = study(spark, sf)
-        plan = detect.candidates(st, run_checks(st, ARCHETYPES), ARCHETYPES)
-        scenarios = detect.scenario_study(st, plan, ARCHETYPES)
-        _RUNS[key] = (scenarios, detect.scenario_flags(scenarios))
-    return _RUNS[key]
-
-
-def query(name: str, sql: str = ""):
+def query(name: str, sql: str = "", prelude: str = PRELUDE):
     def add(fn):
         Q[name] = fn
         if sql:
-            O[name] = PRELUDE + sql
+            O[name] = prelude + sql
         return fn
     return add
 
 
-@query("EV05")
+EV05_SQL = sq.flag_sets(df.LOCAL) + sq.stored(sq.ARM) + f""", aff(injected, archetype) AS (VALUES {', '.join(f"('{a}', '{c}')" for a in df.LOCAL for c in df.affected(a))})
+  SELECT injected AS archetype, CAST(sum(n) AS BIGINT) AS flag_delta, sum(n) <> 0 AS detected FROM (SELECT injected, n FROM now UNION ALL SELECT injected, 0 FROM tried
+    UNION ALL SELECT aff.injected, -was.n FROM was JOIN aff USING (archetype) JOIN tried t ON t.injected = aff.injected AND t.subject = was.subject
+    UNION ALL SELECT 'A17', d FROM each17) GROUP BY injected"""
+
+
+@query("EV05", EV05_SQL, "")
 def _(spark, sf):
-    scenarios, flags = _candidate_run(spark, sf)
-    return detect.delta_detection(flags, scenarios)
+    return df.flag_deltas(study(spark, sf))
 
 
-@query("EV06")
+@query("EV06", sq.flag_sets(df.LOCAL, own_only=True) + sq.stored(sq.ARM) + f""", noise AS (SELECT archetype, count(DISTINCT subject) AS c FROM (SELECT subject, archetype FROM was
+    UNION ALL SELECT USUBJID, 'A17' FROM arm17) GROUP BY archetype)
+  SELECT a AS archetype, a IN (SELECT injected FROM now) OR (a = 'A17' AND (SELECT bool_or(hit) FROM each17)) AS detected, coalesce(c, 0) AS clean_fp_subjects
+  FROM (SELECT DISTINCT injected AS a FROM tried UNION SELECT 'A17' FROM each17) LEFT JOIN noise ON noise.archetype = a""", "")
 def _(spark, sf):
-    clean = run_checks(study(spark, sf), ARCHETYPES)
-    scenarios, flags = _candidate_run(spark, sf)
-    return detect.single_pass(flags, clean, scenarios)
+    return df.single_pass(study(spark, sf))
 
 
-def _verdicts(spark, sf):
-    """One row per archetype: A17 is judged on the cohort, A19 with its derived rows added after the injection."""
-    st = study(spark, sf)
-    scenarios, flags = _candidate_run(spark, sf)
-    alone = tuple(a for a in ARCHETYPES if a not in ("A17", "A19"))
-    return detect.summarise(scenarios, flags, alone).unionByName(detect.by_cohort(st, "A17")).unionByName(detect.by_lookup(st))
+@query("EV07", sq.all_verdicts_sql("SELECT * FROM vs"), "")
+def _(spark, sf):
+    return df.all_verdicts(study(spark, sf))
 
 
-@query("EV07")
+@query("EV07-V", sq.flag_sets(("VA07", "VA20"), own_only=True) + f"SELECT *, {sq.STATUS} FROM ({sq.verdict_rows(('VA07', 'VA20'))})", "")
 def _(spark, sf):
-    return _verdicts(spark, sf)
+    # the injections that do not depend on the visit schedule, judged by the checks of their archetypes
+    return df.verdicts(study(spark, sf), ("VA07", "VA20"))
 
 
 DM1 = """, fa AS (SELECT USUBJID FROM dm t WHERE EXISTS (SELECT 1 FROM dm x WHERE x.ARMCD = t.ARMCD AND x.ARM <> t.ARM)),
@@ -85,28 +79,65 @@ def _(spark, sf):
     return detect.cohort_detection(st, "A16", st["DM"].select("USUBJID").distinct())
 
 
-@query("EV09")
+HELD_OUT = ("H01", "H02", "H03", "H04", "H05")
+
+
+@query("EV09", sq.flag_sets(HELD_OUT) + f""", aff(injected, archetype) AS (VALUES {', '.join(f"('{a}', '{c}')" for a in HELD_OUT for c in df.affected(a))}),
+  fresh_flags AS (SELECT injected, subject, archetype FROM now WHERE (subject, archetype) NOT IN (SELECT (subject, archetype) FROM was)),
+  d AS (SELECT injected, CAST(sum(n) AS BIGINT) AS flag_delta FROM (SELECT injected, n FROM now UNION ALL SELECT injected, 0 FROM tried
+    UNION ALL SELECT aff.injected, -was.n FROM was JOIN aff USING (archetype) JOIN tried t ON t.injected = aff.injected AND t.subject = was.subject) GROUP BY injected)
+  SELECT injected AS archetype, (SELECT count(*) FROM tried t WHERE t.injected = d.injected) AS candidates_tried,
+    (SELECT count(DISTINCT subject) FROM fresh_flags f WHERE f.injected = d.injected) AS subjects_with_new_flags,
+    coalesce((SELECT string_agg(DISTINCT archetype, ',' ORDER BY archetype) FROM fresh_flags f WHERE f.injected = d.injected), '') AS new_checks,
+    flag_delta, EXISTS (SELECT 1 FROM fresh_flags f WHERE f.injected = d.injected) AS detected FROM d""", "")
 def _(spark, sf):
     st = study(spark, sf)
-    scenarios, flags = detect.scenario_flags_of(st, ("H01", "H02", "H03", "H04", "H05"), st["DM"].select("USUBJID").distinct())
-    return detect.held_out(scenarios, flags)
+    return df.held_out(st, HELD_OUT, st["DM"].select("USUBJID"))
 
 
-@query("EV10")
+@query("EV10", sq.all_verdicts_sql("""SELECT count_if(status IN ('detected', 'missed')) AS applicable, count_if(status = 'detected') AS detected,
+  coalesce(string_agg(archetype, ',' ORDER BY archetype) FILTER (WHERE status = 'detected'), '') AS detected_ids,
+  coalesce(string_agg(archetype, ',' ORDER BY archetype) FILTER (WHERE status = 'missed'), '') AS missed_ids, '' AS na_ids,
+  count_if(status = 'detected') / count_if(status IN ('detected', 'missed')) AS recall FROM vs"""), "")
 def _(spark, sf):
-    return detect.recall_on_applicable(study(spark, sf), _verdicts(spark, sf))
+    return df.recall(study(spark, sf))
 
 
 @query("EV17")
 def _(spark, sf):
-    return detect.robustness(study(spark, sf))
+    return df.robustness(study(spark, sf))
+
+
+@query("EV17-SUM")
+def _(spark, sf):
+    return df.stability(df.robustness(study(spark, sf)))
 
 
 @query("EV17-CO")
 def _(spark, sf):
-    scenarios, flags = _candidate_run(spark, sf)
-    fires = detect.newly_flagged(flags).filter("archetype = injected").select(F.col("subject").alias("USUBJID"), "archetype").distinct()
-    return detect.co_occurrence(study(spark, sf), compatible_set(fires, ["USUBJID"]), fires, tuple(a for a in ARCHETYPES if a not in ("A16", "A17", "A19")))
+    st = study(spark, sf)
+    alone = tuple(a for a in ARCHETYPES if a not in ("A16", "A17", "A19"))
+    plan = detect.candidates(st, run_checks(st, alone), alone)
+    new = df.experiment(st, plan, alone, alone, own_only=True).newly_flagged().filter("archetype = injected")
+    fires = new.select(F.col("subject").alias("USUBJID"), "archetype").distinct()
+    return detect.co_occurrence(st, compatible_set(fires, ["USUBJID"]), fires, alone)
+
+
+# Injections that change two tables, or two columns, compared as a whole.
+def _every_table(archetype, tables):
+    def run(spark, sf):
+        st = study(spark, sf)
+        changed, _ = inject(st, archetype, st["DM"].select("USUBJID"))
+        cell = lambda c, kind: (F.col(c) if c else F.lit(None)).cast(kind)
+        return reduce(lambda x, y: x.unionByName(y), [changed[d].select(F.lit(d).alias("domain"), "USUBJID", *[
+            cell(c, "double" if i < 2 else "string").alias(n) for i, (c, n) in enumerate(zip(sq.SHOWN[d], ("n1", "n2", "t1", "t2")))]) for d in tables])
+    return run
+
+
+for _a, _tables in (("A04", ("RS", "TR")), ("A06", ("RS", "TR")), ("A09", ("DS", "RELREC")), ("A14", ("EX", "RELREC")), ("A18", ("RS", "TR")),
+                    ("H01", ("RS", "TU")), ("H03", ("RS", "TR")), ("H04", ("RS", "TR")), ("H05", ("DM",))):
+    Q[f"INJ-{_a}-ALL"] = _every_table(_a, _tables)
+    O[f"INJ-{_a}-ALL"] = sq.every_table(_a, _tables)
 
 
 # The whole loop for one archetype, over every subject, has a short closed form in SQL.

@@ -8,6 +8,7 @@ from crosswitness.catalog.check_queries import ALL, FLAT, flags_cte
 from crosswitness.catalog.testbed import PRELUDE, study, table
 from crosswitness.plans import flagsets as fs
 from crosswitness.plans.checks import run_checks
+from crosswitness.sources.staging import required_root, written
 
 SOURCES = ["B1", "B2", "B3"]
 EVENT_FLAGS = """WITH ef AS (
@@ -55,6 +56,15 @@ def _ratings(spark, sf):
     return votes.groupBy("doc_id").agg(*[F.count_if(F.col("vote") == i).alias(n) for i, n in enumerate(("valid", "invalid", "uncertain"))])
 
 
+def _sketched(spark, sf):
+    """Sketches per rule and source are stored and merged over the sources; the estimate is held against the exact count."""
+    flags = event_flags(spark, sf)
+    stored = written(fs.subject_sketches(flags, "rule_id", "source"), f"{required_root(spark)}/sketches")
+    about = fs.estimated(fs.merged_sketches(stored, "rule_id")).withColumnRenamed("subjects", "_about")
+    exact = flags.groupBy("rule_id").agg(F.countDistinct("subject").alias("subjects"))
+    return about.join(exact, "rule_id").select("rule_id", "flags", "subjects", (F.abs(F.col("_about") - F.col("subjects")) <= F.greatest(F.lit(1), F.col("subjects") * 0.03)).alias("close"))
+
+
 # -- adjudication inputs: part names stand for archetypes, suppliers for rules -----------
 ADJ = """WITH cls AS (SELECT n_name AS archetype, CASE WHEN n_regionkey < 2 THEN 'recist_semantic' ELSE 'structural_consistency' END AS category,
     concat('R', CAST((n_nationkey * 7) % 25 AS VARCHAR)) AS matched_rule,
@@ -107,6 +117,7 @@ def queries() -> dict:
     q["EV20"] = lambda s, d: fs.detection_matrix(
         event_flags(s, d).select(F.col("rule_id").alias("archetype"), "source", (F.col("severity") == "warning").alias("detected")), SOURCES)
     q["AG06"] = lambda s, d: fs.summary(_checks(s, d), "rule_id", "domain", "severity")
+    q["AG07-SKETCH"] = _sketched
     q["AG07"] = lambda s, d: fs.summary(_checks(s, d).filter(F.col("archetype").startswith("A")), "archetype")
     q["AG11"] = lambda s, d: fs.union_flags(_checks(s, d)).groupBy(fs.family(F.col("rule_id")).alias("family")).agg(F.count(F.lit(1)).alias("flags"))
     q["AG12"] = lambda s, d: fs.consensus(event_flags(s, d).select("subject", F.col("rule_id").alias("verdict")), "subject", "verdict")
@@ -166,6 +177,7 @@ def oracle() -> dict:
     o["EV20"] = EVENT_FLAGS + "SELECT rule_id AS archetype, " + ", ".join(
         f"max(CASE WHEN source = '{s}' AND severity = 'warning' THEN 1 ELSE 0 END) AS {s}" for s in SOURCES) + " FROM ef GROUP BY rule_id"
     o["AG06"] = PRELUDE + flags_cte() + "SELECT rule_id, domain, severity, count(*) AS flags, count(DISTINCT subject) AS subjects FROM flags GROUP BY ALL"
+    o["AG07-SKETCH"] = EVENT_FLAGS + "SELECT rule_id, count(*) AS flags, count(DISTINCT subject) AS subjects, TRUE AS close FROM ef GROUP BY rule_id"
     o["AG07"] = PRELUDE + flags_cte() + "SELECT archetype, count(*) AS flags, count(DISTINCT subject) AS subjects FROM flags WHERE archetype LIKE 'A%' GROUP BY ALL"
     o["AG11"] = PRELUDE + flags_cte() + "SELECT CASE WHEN rule_id LIKE 'S%' THEN 'derivation' ELSE 'archetype' END AS family, count(*) AS flags FROM flags GROUP BY ALL"
     o["AG12"] = EVENT_FLAGS + """, n AS (SELECT subject, rule_id, count(*) AS c FROM ef WHERE rule_id <> 'error' GROUP BY ALL)

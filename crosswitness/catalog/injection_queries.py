@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from crosswitness.catalog.sqltext import stored
 from crosswitness.catalog.testbed import PRELUDE, study
 from crosswitness.plans import flagsets as fs
 from crosswitness.plans import inject as ij
@@ -109,7 +110,7 @@ def _injected(name, domain, columns):
 
 for _name, (_domain, _columns, _sql) in CASES.items():
     Q[f"INJ-{_name}"] = _injected(_name, _domain, _columns)
-    O[f"INJ-{_name}"] = PRELUDE + _sql
+    O[f"INJ-{_name}"] = stored(PRELUDE + _sql)
 
 
 def query(name: str, sql: str = ""):

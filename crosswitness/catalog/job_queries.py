@@ -11,7 +11,8 @@ from crosswitness.catalog.testbed import PRELUDE, study, table
 from crosswitness.plans import audit, mapping
 from crosswitness.plans.checks import run_checks
 from crosswitness.sources import inventory, issues, sinks
-from crosswitness.sources.staging import staging_root
+from crosswitness.operators.skew import measure
+from crosswitness.sources.staging import required_root
 from crosswitness.sources.study import list_tables, load_study
 from crosswitness.functions.columns import with_record_id
 
@@ -95,11 +96,10 @@ def _(spark, sf):
     # the issues pass through JSON report files, as a validator would leave them
     rows = _issues(spark, sf).drop("late")
     names = [c for c in rows.columns if c != "report"]
-    root = staging_root(spark)
-    if root is not None:
-        report = rows.groupBy("report").agg(F.collect_list(F.struct(*names)).alias("Issue_Details")).drop("report")
-        report.write.mode("overwrite").option("maxRecordsPerFile", 1).json(f"{root}/issues")  # one report a file
-        rows = issues.load_issues(spark, f"{root}/issues")
+    root = required_root(spark)
+    report = rows.groupBy("report").agg(F.collect_list(F.struct(*names)).alias("Issue_Details")).drop("report")
+    report.write.mode("overwrite").option("maxRecordsPerFile", 1).json(f"{root}/issues")  # one report a file
+    rows = issues.load_issues(spark, f"{root}/issues")
     return issues.to_flags(rows.select(*names), "CORE").drop("archetype")
 
 
@@ -135,6 +135,15 @@ def _(spark, sf):
     return inventory.column_inventory(few, "ST").select("study", "dataset", "n_rows", "column")
 
 
+TEN = ("AE", "DM", "DS", "EX", "RELREC", "RS", "SUPPDM", "TA", "TR", "TU")
+
+
+@query("SRC10-ALL", PRELUDE + " UNION ALL ".join(
+    f"SELECT 'ST' AS study, '{d}' AS dataset, (SELECT count(*) FROM {d.lower()}) AS n_rows, column_name AS \"column\" FROM (DESCRIBE SELECT * FROM {d.lower()})" for d in TEN))
+def _(spark, sf):
+    return inventory.column_inventory(study(spark, sf), "ST").select("study", "dataset", "n_rows", "column")
+
+
 @query("SRC11")
 def _(spark, sf):
     return inventory.manifest(spark, sf, "*.parquet").select("file", "length", "sha256").orderBy("file")
@@ -149,10 +158,9 @@ SUBJECT_TABLES = ("AE", "DM", "DS", "EX", "RELREC", "RS", "SUPPDM", "TR", "TU")
     + ["SELECT 'TA', count(*), CAST(0 AS BIGINT) FROM ta"]))
 def _(spark, sf):
     st = study(spark, sf)
-    root = staging_root(spark)
-    if root is not None:
-        sinks.write_study(st, f"{root}/sink", "csv")
-        st = load_study(spark, f"{root}/sink")
+    root = required_root(spark)
+    sinks.write_study(st, f"{root}/sink", "csv")
+    st = load_study(spark, f"{root}/sink")
     who = lambda d: F.countDistinct("USUBJID") if d in SUBJECT_TABLES else F.lit(0).cast("bigint")
     parts = [st[d].agg(F.count(F.lit(1)).alias("n"), who(d).alias("subjects")).select(F.lit(d).alias("domain"), "n", "subjects") for d in (*SUBJECT_TABLES, "TA")]
     return reduce(lambda x, y: x.unionAll(y), parts)
@@ -161,9 +169,7 @@ def _(spark, sf):
 @query("SNK02", PRELUDE + "SELECT 'RS' AS DOMAIN, USUBJID, VISITNUM, RSSEQ, RSTESTCD, RSORRES FROM rs")
 def _(spark, sf):
     rs = study(spark, sf).raw("RS").select("USUBJID", "VISITNUM", "RSSEQ", "RSTESTCD", "RSORRES")
-    root = staging_root(spark)
-    if root is None:
-        return rs.select(F.lit("RS").alias("DOMAIN"), "*").orderBy("USUBJID", "VISITNUM", "RSSEQ")
+    root = required_root(spark)
     sinks.write_sorted(rs, "RS", f"{root}/sorted")
     return spark.read.parquet(f"{root}/sorted")
 
@@ -171,9 +177,7 @@ def _(spark, sf):
 @query("SNK03", PRELUDE + flags_cte(["A06", "A08"]) + "SELECT subject, rule_id, record_id FROM flags")
 def _(spark, sf):
     flags = run_checks(study(spark, sf), ["A06", "A08"]).select("subject", "rule_id", "record_id")
-    root = staging_root(spark)
-    if root is None:
-        return flags
+    root = required_root(spark)
     sinks.write_json(flags, f"{root}/flags")
     return spark.read.schema("subject string, rule_id string, record_id string").json(f"{root}/flags")
 
@@ -187,13 +191,10 @@ def _(spark, sf):
     st = study(spark, sf)
     first = audit.to_traces(run_checks(st, ["A06"]), "2025-01-01 00:00:00")
     both = audit.to_traces(run_checks(st, ["A06", "A18"]), "2025-01-02 00:00:00")
-    root = staging_root(spark)
-    if root is None:
-        log = first.withColumn("run_id", F.lit("run-1")).unionByName(both.join(first.select("flag_id"), "flag_id", "left_anti").withColumn("run_id", F.lit("run-2")))
-    else:
-        sinks.append_traces(first, f"{root}/traces", "run-1")
-        sinks.append_traces(both, f"{root}/traces", "run-2")
-        log = spark.read.parquet(f"{root}/traces")
+    root = required_root(spark)
+    sinks.append_traces(first, f"{root}/traces", "run-1")
+    sinks.append_traces(both, f"{root}/traces", "run-2")
+    log = spark.read.parquet(f"{root}/traces")
     return log.select("flag_id", "subject", "shape", "run_id")
 
 
@@ -252,11 +253,52 @@ def _(spark, sf):
     return audit.broken_links(forged, BODY).select("subject", "seq")
 
 
-@query("AU-SEAL")
+SEAL = ", ".join(
+    ["t0 AS (SELECT subject, segment AS n, arg_max(entry_hash, seq) AS d FROM ch GROUP BY ALL)"]
+    + [f"t{i} AS (SELECT subject, n // 256 AS n, sha256(string_agg(d, '|' ORDER BY n)) AS d FROM t{i - 1} GROUP BY subject, n // 256)" for i in (1, 2, 3)]
+    + ["w0 AS (SELECT sha256(subject) AS k, d FROM t3)"]
+    + [f"w{i} AS (SELECT substr(k, 1, {digits}) AS k, sha256(string_agg(d, '|' ORDER BY k)) AS d FROM w{i - 1} GROUP BY substr(k, 1, {digits}))" for i, digits in enumerate((5, 4, 2), 1)])
+
+
+@query("AU-SEAL", AUDIT + f", {SEAL} SELECT sha256(string_agg(d, '|' ORDER BY k)) AS run_digest FROM w3")
 def _(spark, sf):
     return audit.seal(_chained(spark, sf))
 
 
+TWO_RUNS = """WITH RECURSIVE e AS (SELECT concat('U', CAST(user_id AS VARCHAR)) AS subject, event_id, event_type, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS run FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY run, event_id) - 1 AS seq FROM e),
+r AS (SELECT subject, run, seq, seq // 64 AS segment, concat('{"archetype":"', event_type, '","event_id":', CAST(event_id AS VARCHAR), ',"seq":', CAST(seq AS VARCHAR), '}') AS body FROM k),
+ch AS (SELECT subject, run, segment, seq, sha256(concat(concat_ws('/', 'genesis', subject, CAST(segment AS VARCHAR)), body)) AS entry_hash FROM r WHERE seq % 64 = 0
+  UNION ALL SELECT r.subject, r.run, r.segment, r.seq, sha256(concat(ch.entry_hash, r.body)) FROM ch JOIN r ON r.subject = ch.subject AND r.segment = ch.segment AND r.seq = ch.seq + 1)
+"""
+
+
+def _two_runs(spark, sf):
+    """Every third event is logged by a first run, the others by a second that goes on from its tips."""
+    log = audit.ChainLog(spark, f"{required_root(spark)}/log", ("archetype", "event_id", "seq"), 64)
+    e = table(spark, sf, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("subject"), "event_id", F.col("event_type").alias("archetype"))
+    early = F.col("event_id") % 3 == 0
+    load = measure({"e": (e, ("subject",))})["e"]
+    for name, rows in (("first", e.filter(early)), ("second", e.filter(~early))):
+        log.append(rows, name, ["event_id"], load, F.floor(F.col("event_id") / 1000))
+    return log
+
+
+@query("AU-RUNS", TWO_RUNS + "SELECT subject, seq, run, entry_hash FROM ch")
+def _(spark, sf):
+    return _two_runs(spark, sf).entries().select("subject", "seq", F.col("run").cast("int").alias("run"), "entry_hash")
+
+
+@query("AU-CHECK", "SELECT count(*) AS entries, count(DISTINCT user_id) AS subjects, 2 AS runs, 0 AS problems, TRUE AS consistent FROM events")
+def _(spark, sf):
+    log = _two_runs(spark, sf)
+    first, last = (r["digest"] for r in log.runs().orderBy("run").collect())
+    proved = log.consistent(first, last) and not log.consistent(last, first)
+    bad = log.problems().agg(F.count(F.lit(1)).cast("int").alias("problems"))
+    return log.entries().agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("subject").alias("subjects")).join(F.broadcast(bad), F.lit(True)).select(
+        "entries", "subjects", F.lit(2).alias("runs"), "problems", F.lit(proved).alias("consistent"))
+
+
 @query("AU-FLAGS", PRELUDE + flags_cte() + """SELECT subject, rule_id AS shape, sha256(concat_ws('|', subject, rule_id, record_id)) AS flag_id,
   row_number() OVER (PARTITION BY subject ORDER BY rule_id, sha256(concat_ws('|', subject, rule_id, record_id))) - 1 AS seq FROM flags""")
 def _(spark, sf):
@@ -308,7 +350,7 @@ def _form1(spark, sf):
     dm = c.select(F.when(ck % 9 == 0, F.concat(F.lit("X"), ck.cast("string"))).otherwise(ck.cast("string")).alias("PT"), (ck % 80).cast("double").alias("AGE"),
                   F.lit("F").alias("SEX"), F.lit("WHITE").alias("RACE"), F.when(ck % 10 != 0, F.concat(F.lit("Arm "), "c_mktsegment")).alias("TRTP"))
     ds = c.select(ck.cast("string").alias("PT"), F.when(ck % 4 == 0, "").otherwise(F.col("c_mktsegment")).alias("DSDECOD"), F.lit("EVENT").alias("DSCAT"), F.lit("END").alias("EPOCH"))
-    return mapping.map_lesion_form({"lesles": lesles, "rsp": rsp, "dm": dm, "ds": ds}, mapping.TrialConfig("ST1"))
+    return mapping.map_lesion_form({"lesles": lesles, "rsp": rsp, "dm": dm, "ds": ds}, mapping.TrialConfig("ST1"), measured=True)
 
 
 FIRST_TU = """SELECT 'ST1' AS STUDYID, concat('ST1-', PT) AS USUBJID, v AS VISITNUM, CAST(row_number() OVER (PARTITION BY PT ORDER BY v, LESID) AS DOUBLE) AS TUSEQ, LESID AS TULNKID,
@@ -399,7 +441,7 @@ def _form2(spark, sf):
     start = (k % 900).cast("double")
     dose = o.filter("o_orderstatus = 'F'").select(who, F.when(k % 4 != 0, start).alias("DOSEDAY_001"), F.when(k % 8 != 0, start + 14).alias("DOSEDAY_003"))
     return mapping.map_visit_form({"lesions": lesions, "responses": responses, "demo": demo, "eosr": eosr, "toxy": toxy, "dose": dose},
-                                  mapping.TrialConfig("ST2", screening_visit=1.0))
+                                  mapping.TrialConfig("ST2", screening_visit=1.0), measured=True)
 
 
 def _iso(col: str) -> str:

@@ -6,7 +6,6 @@ import datetime as dt
 
 from functools import reduce
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crosswitness.catalog.check_queries import CELLS, flags_cte
@@ -15,12 +14,14 @@ from crosswitness.catalog.testbed import PRELUDE, study, table
 from crosswitness.functions import columns as cols
 from crosswitness.functions import leaves as lv
 from crosswitness.functions import scalars as sc
-from crosswitness.operators.ordered import position, previous, running_min
-from crosswitness.operators.skew import keyed_join
+from crosswitness.operators.ordered import numbered, position, previous, running_min
+from crosswitness.operators.skew import keyed_join, measure, pair_join
+from crosswitness.operators.temporal import newest_before, within_days
 from crosswitness.plans import enrich, integrity
 from crosswitness.plans import facts as fx
 from crosswitness.plans.checks import run_checks
 from crosswitness.plans.lookup import new_lesion_text
+from crosswitness.sources.staging import required_root
 from crosswitness.sources.study import target_flag
 
 Q: dict = {}
@@ -150,6 +151,15 @@ def _(st, spark, sf):
     return enrich.replicate(st, 3)["EX"].select("USUBJID", "EXSEQ", "EXSTDTC")
 
 
+@query("PRJ15-ALL", " UNION ALL ".join([f"""SELECT '{d}' AS domain, CASE WHEN k = 0 THEN USUBJID ELSE concat(USUBJID, '_R', CAST(k AS VARCHAR)) END AS USUBJID, count(*) AS n
+  FROM {d.lower()}, range(3) t(k) GROUP BY ALL""" for d in RESTRICTED] + ["SELECT 'TA', NULL, count(*) FROM ta"]))
+def _(st, spark, sf):
+    copies = enrich.replicate(st, 3)
+    parts = [copies[d].groupBy(F.lit(d).alias("domain"), "USUBJID").agg(cnt()) for d in RESTRICTED]
+    parts.append(copies["TA"].agg(cnt()).select(F.lit("TA").alias("domain"), F.lit(None).cast("string").alias("USUBJID"), "n"))
+    return reduce(lambda x, y: x.unionAll(y), parts)
+
+
 # -- integrity ----------------------------------------------------------------------------
 @query("P01", """, k AS (SELECT 'EX' AS d, USUBJID FROM ex UNION SELECT 'AE', USUBJID FROM ae UNION SELECT 'DS', USUBJID FROM ds)
   SELECT RDOMAIN, USUBJID, RELID FROM relrec r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.d = r.RDOMAIN AND k.USUBJID = r.USUBJID)""")
@@ -218,12 +228,16 @@ def _(st, spark, sf):
 # -- joins ----------------------------------------------------------------------------------
 @query("J01", "SELECT e.USUBJID, e.EXSEQ, d.SEX FROM ex e JOIN dm d ON d.USUBJID = e.USUBJID")
 def _(st, spark, sf):
-    return st["EX"].join(st["DM"], "USUBJID").select("USUBJID", "EXSEQ", "SEX")
+    # a subject can have several demographics records, so neither side is unique
+    return pair_join(st["EX"].select("USUBJID", "EXSEQ"), st["DM"].select("USUBJID", "SEX"), ["USUBJID"], loads=(st.load("EX"), st.load("DM")))
 
 
 @query("J02", """SELECT t.TRSPID, r.RSORRES FROM tr t JOIN rs r ON r.USUBJID = t.USUBJID AND r.VISITNUM = t.VISITNUM WHERE r.RSTESTCD = 'OVRLRESP'""")
 def _(st, spark, sf):
-    return st["TR"].join(st["RS"].filter(fx.is_overall()).select("USUBJID", "VISITNUM", "RSORRES"), ["USUBJID", "VISITNUM"]).select("TRSPID", "RSORRES")
+    at = ("USUBJID", "VISITNUM")
+    sides = st["TR"].select(*at, "TRSPID"), st["RS"].filter(fx.is_overall()).select(*at, "RSORRES")
+    loads = measure({str(n): (df, at) for n, df in enumerate(sides)})
+    return pair_join(*sides, list(at), loads=(loads["0"], loads["1"])).select("TRSPID", "RSORRES")
 
 
 LES = ", lv AS (SELECT USUBJID, TRLNKID, VISITNUM, max(TRSTRESN) AS m FROM tr WHERE TRTESTCD = 'LDIAM' GROUP BY ALL)\n"
@@ -257,6 +271,21 @@ def _(st, spark, sf):
         "before IS NOT NULL").select("USUBJID", "TRLNKID", "VISITNUM", "before")
 
 
+@query("J04-RANGE", """SELECT a.USUBJID, a.AESEQ, e.EXSEQ FROM ae a JOIN ex e ON e.USUBJID = a.USUBJID
+  AND abs(date_diff('day', CAST(a.AESTDTC AS DATE), CAST(e.EXSTDTC AS DATE))) <= 30""")
+def _(st, spark, sf):
+    return within_days(st["AE"].select("USUBJID", "AESEQ", "AESTDTC"), st["EX"].select("USUBJID", "EXSEQ", "EXSTDTC"), ["USUBJID"],
+                       sc.full_date(F.col("AESTDTC")), sc.full_date(F.col("EXSTDTC")), 30).select("USUBJID", "AESEQ", "EXSEQ")
+
+
+@query("J05-ASOF", """SELECT a.USUBJID, a.AESEQ, coalesce((SELECT arg_max(e.EXSEQ, struct_pack(d := e.EXSTDTC, s := e.EXSEQ)) FROM ex e
+    WHERE e.USUBJID = a.USUBJID AND e.EXSTDTC <= a.AESTDTC), -1) AS EXSEQ FROM ae a""")
+def _(st, spark, sf):
+    dose = newest_before(st["AE"].select("USUBJID", "AESEQ", "AESTDTC"), st["EX"].select("USUBJID", "EXSEQ", "EXSTDTC"), ["USUBJID"],
+                         sc.full_date(F.col("AESTDTC")), sc.full_date(F.col("EXSTDTC")), ["EXSEQ"], "EXSEQ", "dose")
+    return dose.select("USUBJID", "AESEQ", F.coalesce("dose.EXSEQ", F.lit(-1)).alias("EXSEQ"))
+
+
 @query("J06", "SELECT USUBJID, EXSEQ FROM ex t WHERE EXISTS (SELECT 1 FROM ae x WHERE x.USUBJID = t.USUBJID AND x.AEREL = 'PROBABLE')")
 def _(st, spark, sf):
     who = st["AE"].filter("AEREL = 'PROBABLE'").select("USUBJID").distinct()
@@ -335,8 +364,7 @@ def _(st, spark, sf):
 @query("AG09", "SELECT ARM, row_number() OVER (ORDER BY ARM) AS n FROM (SELECT DISTINCT ARM FROM dm)")
 def _(st, spark, sf):
     arms = st["DM"].select("ARM").distinct()
-    # a trial has few arms, so numbering the distinct ones is one small sort
-    return arms.withColumn("n", F.row_number().over(Window.orderBy("ARM")).cast("bigint"))
+    return numbered(arms, [], [F.col("ARM").asc()], "n", f"{required_root(spark)}/arms")
 
 
 @query("AG10", "SELECT USUBJID, bool_or(RSORRES = 'PD') AS any_pd FROM rs GROUP BY ALL")

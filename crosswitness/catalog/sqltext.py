@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def bigint_counts(sql: str) -> str:
     """Give every conditional count a 64-bit type, as Spark's has."""
@@ -19,3 +21,8 @@ def bigint_counts(sql: str) -> str:
         inner = bigint_counts(rest[at + len("count_if("):end - 1])
         out += rest[:at] + f"CAST(count(*) FILTER (WHERE {inner}) AS BIGINT)"
         rest = rest[end:]
+
+
+def stored(sql: str) -> str:
+    """Every shared part is computed once."""
+    return re.sub(r"\b(\w+) AS \(\s*SELECT", r"\1 AS MATERIALIZED (SELECT", sql)

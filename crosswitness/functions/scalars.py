@@ -88,3 +88,16 @@ def norm_target(c: Column) -> Column:
 def canonical_json(fields: dict[str, Column]) -> Column:
     """JSON object of the fields in sorted key order; NULL is ``null``, and numbers and texts stay apart."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(fields.items())]), {"ignoreNullFields": "false"})
+
+
+MICRO = 1_000_000
+
+
+def micro(value: Column) -> Column:
+    """A measurement as a whole number of millionths, so that sums and thresholds are exact; NaN is no value."""
+    return F.round(value * MICRO).try_cast("bigint")
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum of measurements that does not depend on the order of the rows: the double nearest to the decimal sum."""
+    return F.sum(micro(value)) / F.lit(float(MICRO))

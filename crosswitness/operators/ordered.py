@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosswitness.operators.skew import Load
+from crosswitness.sources.staging import written
 
 VISITS_PER_BUCKET = 1_000
 
@@ -72,6 +73,20 @@ def running_min(df: DataFrame, keys: list[str], order: str, value: str, out: str
     )
 
 
+def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
+               load: Load | None = None, bucket: Column | None = None) -> DataFrame:
+    """``out`` = the newest ``value`` that is not NULL, up to and including this row; ``bucket`` must not decrease along ``order``."""
+    rows = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if _plain(load):
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(rows(Window.partitionBy(*keys).orderBy(*order))))
+    df = df.withColumn("_b", bucket)
+    newest = df.groupBy(*keys, "_b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_newest"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = newest.withColumn("_carry", F.last("_newest", ignorenulls=True).over(before)).drop("_newest")
+    here = df.withColumn("_in", F.last(value, ignorenulls=True).over(rows(Window.partitionBy(*keys, "_b").orderBy(*order))))
+    return _carried(here, carry, [*keys, "_b"]).withColumn(out, F.coalesce("_in", "_carry")).drop("_b", "_in", "_carry")
+
+
 def position(df: DataFrame, keys: list[str], order: list[Column], out: str, bucket: Column,
              load: Load | None = None) -> DataFrame:
     """``out`` = 1-based position (bigint); ``bucket`` must not decrease along ``order``."""
@@ -87,3 +102,24 @@ def position(df: DataFrame, keys: list[str], order: list[Column], out: str, buck
         .withColumn(out, F.col("_n") + F.col("_offset"))
         .drop("_b", "_n", "_offset")
     )
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str, path: str, partitions: int | None = None) -> DataFrame:
+    """``out`` = 1-based position (bigint) per key, or over the whole table without keys, by range partitioning.
+
+    Rows are dealt over ranges of (keys, order) and sorted inside each, so neither a key nor one
+    value of the order has to fit a task; ties, full copies among them, are cut by their place in
+    the input.  The ranges are written under ``path``, since a second evaluation could cut them
+    elsewhere.  A key then starts at its first row of a range, and counts of earlier ranges are
+    added: one small row per (range, key), of which a key has at most as many as there are ranges.
+    """
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_tie", F.monotonically_increasing_id())
+    by = [*[F.col(k).asc() for k in keys], *order, F.col("_tie").asc()]
+    ranged = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_tie").withColumn("_at", F.monotonically_increasing_id())
+    ranged = written(ranged, path).withColumn("_range", F.shiftright("_at", 33))  # the partition is in the upper bits
+    sizes = ranged.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    return (_carried(ranged, starts, [*keys, "_range"]).withColumn(out, F.col("_at") - F.col("_first") + 1 + F.col("_before"))
+            .drop("_at", "_range", "_first", "_before"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from crosswitness.functions.columns import with_record_id
 from crosswitness.functions.leaves import any_of
-from crosswitness.functions.scalars import full_date
+from crosswitness.functions.scalars import MICRO, full_date, micro
 from crosswitness.operators.skew import keyed_join, pair_join
 from crosswitness.plans import facts as fx
 from crosswitness.sources.study import Study
@@ -69,7 +69,18 @@ def _post_baseline() -> Column:
 
 
 def _small_growth() -> Column:
-    return (c("_sld") < 1.20 * c("_nadir")) | (c("_sld") - c("_nadir") < 5)
+    return ~_large_growth()
+
+
+def _large_growth() -> Column:
+    """By a fifth and by 5 mm over the nadir."""
+    now, low = micro(c("_sld")), micro(c("_nadir"))
+    return (now * 100 >= low * 120) & (now - low >= 5 * MICRO)
+
+
+def _shrunk() -> Column:
+    """To 70% of the baseline or less."""
+    return micro(c("_sld")) * 100 <= micro(c("_base")) * 70
 
 
 CHECKS: dict[str, Check] = {}
@@ -102,22 +113,22 @@ for _check in (
     # -- derivations ----------------------------------------------------------------
     Check("S1", "RS", "Reported sum of diameters differs from the sum of target measurements",
           lambda: (c("RSCAT") == "TARGET RESPONSE") & (c("RSTESTCD") == "SUMDIAM"),
-          lambda: c("_sld") != c("RSSTRESN"), ("tr_visit",), evidence=("RSSTRESN", "_sld")),
+          lambda: micro(c("_sld")) != micro(c("RSSTRESN")), ("tr_visit",), evidence=("RSSTRESN", "_sld")),
     Check("S2", "RS", "All target diameters are zero and no node is enlarged but the response is not CR",
           lambda: fx.is_target_response() & (c("RSORRES") != "CR"),
           lambda: (c("_measured") > 0) & (c("_positive") == 0) & (c("_nodes") == 0), ("tr_visit",),
           evidence=("RSORRES",)),
     Check("S3", "RS", "Sum of diameters fell by 30% or more but the response is neither PR nor CR",
           lambda: fx.is_target_response() & ~c("RSORRES").isin("PR", "CR"),
-          lambda: _post_baseline() & (c("_sld") <= 0.70 * c("_base")), ("tr_visit",),
+          lambda: _post_baseline() & _shrunk(), ("tr_visit",),
           evidence=("RSORRES", "_sld", "_base")),
     Check("S4", "RS", "Sum of diameters grew by 20% and 5 mm over its nadir but the response is not PD",
           lambda: fx.is_target_response() & (c("RSORRES") != "PD"),
-          lambda: _post_baseline() & (c("_sld") >= 1.20 * c("_nadir")) & (c("_sld") - c("_nadir") >= 5),
+          lambda: _post_baseline() & _large_growth(),
           ("tr_visit",), evidence=("RSORRES", "_sld", "_nadir")),
     Check("S5", "RS", "Neither shrinkage nor growth nor a new lesion but the response is not SD",
           lambda: fx.is_target_response() & (c("RSORRES") != "SD"),
-          lambda: _post_baseline() & (c("_sld") > 0.70 * c("_base")) & _small_growth() & _absent("_new_target"),
+          lambda: _post_baseline() & ~_shrunk() & _small_growth() & _absent("_new_target"),
           ("tr_visit", "new_target_visit"), evidence=("RSORRES", "_sld", "_base", "_nadir")),
     Check("S6", "RS", "A new target lesion appeared after baseline but the response is not PD",
           lambda: fx.is_target_response() & (c("RSORRES") != "PD"), lambda: c("_new_target").isNotNull(),

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswitness.operators.skew import keyed_join
+from crosswitness.operators.skew import keyed_join, measure, pair_join
 from crosswitness.plans.checks import ARCHETYPES, run_checks
 from crosswitness.plans.enrich import enrich_responses
 from crosswitness.plans.inject import ALL_INJECTIONS, TOUCHES, drop_fraction, fractional_visits, inject, orphan_keys
@@ -49,10 +49,13 @@ def scenario_study(study: Study, plan: DataFrame, archetypes: tuple[str, ...], e
     plan = written(plan, root and f"{root}/plan")
     clean = plan.select(F.lit(CLEAN).alias("archetype"), "USUBJID").distinct()
     tagged = plan.unionByName(clean).withColumn("scenario_id", F.concat_ws("/", "archetype", "USUBJID"))
-    # The plan can repeat a subject, so the copy is a plain join; its load is that of the domain.
+    # The plan can repeat a subject, so neither side is unique.
+    study = study if study.loads else study.measured()
+    planned = measure({"plan": (tagged, ("USUBJID",))})["plan"]
     base = {}
     for domain in (d for d in study.tables if "USUBJID" in study.tables[d].columns):
-        copied = study[domain].join(tagged.withColumnRenamed("archetype", "_archetype"), "USUBJID")
+        load = study.load(domain)
+        copied = pair_join(study[domain], tagged.withColumnRenamed("archetype", "_archetype"), ["USUBJID"], loads=(load, planned) if load else None)
         base[domain] = written(copied, root and f"{root}/copies/{domain}")
     shared = {d: df for d, df in study.tables.items() if "USUBJID" not in df.columns}
     keys = ("scenario_id", "USUBJID")

@@ -54,7 +54,7 @@ def _copies_for_facts(study: Study, touched: set[str], checks: tuple[str, ...])
 
 def _variant(study: Study, plan: DataFrame, names: list[str], checks: tuple[str, ...], path: str | None) -> Study:
     """The study in which the changed tables hold one version per scenario of ``names``."""
-    touched = [d for d in TOUCHES[names[0]] if study.raw(d) is not None]
+    touched = [d for d in TOUCHES[names[0]] if study.raw(d) is not None and any(d in reads(c) for c in checks)]
     pieces: dict[str, list[DataFrame]] = {d: [] for d in touched}
     for a in names:
         who = plan.filter(F.col("archetype") == a).select("USUBJID")
@@ -109,12 +109,10 @@ def experiment(study: Study, plan: DataFrame, archetypes: tuple[str, ...], check
         before = written(counts(run_checks(study, checks)), root and f"{root}/before")
     groups: dict[tuple, list[str]] = {}
     for a in archetypes:
-        ids = ((a[-3:],) if a[-3:] in checks else ()) if own_only else affected(a, checks)
-        groups.setdefault((TOUCHES[a], ids if not own_only else tuple(c for c in affected(a, checks))), []).append(a)
+        groups.setdefault(TOUCHES[a], []).append(a)
     parts = []
-    for n, ((_, ids), names) in enumerate(groups.items()):
-        if own_only:
-            ids = tuple(dict.fromkeys(a[-3:] for a in names if a[-3:] in ids))
+    for n, names in enumerate(groups.values()):
+        ids = tuple(dict.fromkeys(a[-3:] for a in names if a[-3:] in checks)) if own_only else affected(names[0], checks)
         if not ids:
             continue
         variant = _variant(study, plan, names, ids, root and f"{root}/variant-{n}")
@@ -275,3 +273,20 @@ def robustness(study: Study, checks: tuple[str, ...] = ARCHETYPES, seed: int = 4
     clean = curve.filter("perturbation = 'missing' AND level = 0").select(F.col("archetype_flags").alias("_clean"))
     return curve.join(F.broadcast(clean), F.lit(True)).select(
         "perturbation", "level", "archetype_flags", "a04_flags", (F.col("archetype_flags") - F.col("_clean")).alias("delta_vs_clean"))
+
+
+def stability(curve: DataFrame) -> DataFrame:
+    """One row about a robustness run: the largest increase under missing rows, and what undefined visits do to A04 and to the rest.
+
+    The run is stable when missing rows and undefined visits raise no archetype flags beyond A04's own.
+    """
+    missing = F.col("perturbation") == "missing"
+    clean, moved = missing & (F.col("level") == 0), F.col("perturbation") == "fractional_visits"
+    other = F.col("archetype_flags") - F.col("a04_flags")
+    at = lambda where, value: F.max(F.when(where, value))
+    out = curve.agg(
+        F.max(F.when(missing, F.col("delta_vs_clean"))).alias("missing_max_increase"),
+        at(F.col("perturbation") == "orphan_links", F.col("delta_vs_clean")).alias("orphan_delta"),
+        (at(moved, F.col("a04_flags")) > at(clean, F.col("a04_flags"))).alias("undefined_visits_caught"),
+        (at(moved, other) - at(clean, other)).alias("undefined_visits_other_delta"))
+    return out.withColumn("stable", (F.col("missing_max_increase") <= 0) & (F.col("undefined_visits_other_delta") <= 0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosswitness.functions.scalars import full_date, norm_response, norm_target
+from crosswitness.functions.scalars import exact_sum, full_date, micro, norm_response, norm_target
 from crosswitness.operators.ordered import previous, running_min
 from crosswitness.operators.skew import keyed_join
 from crosswitness.sources.study import Study
@@ -133,7 +133,7 @@ def _tr_by_visit(study: Study) -> DataFrame:
         study["TR"].filter(F.col("TRTARGETLN") & F.col("VISITNUM").isNotNull())
         .groupBy(*study.keys, "VISITNUM")
         .agg(
-            F.sum(diameter).alias("_sld"),
+            exact_sum(diameter).alias("_sld"),
             F.count(diameter).alias("_measured"),
             F.count(F.when(diameter > 0, True)).alias("_positive"),
             F.count(F.when(diameter >= 0, True)).alias("_readable"),
@@ -169,7 +169,7 @@ def shrunk_visit(study: Study) -> DataFrame:
         .agg(F.min("TRSTRESN").alias("_min"), F.max("TRSTRESN").alias("_max"))
     )
     seen = previous(per_visit, lesion, "VISITNUM", "_max", "_before", study.load("TR"))
-    small = seen.filter(F.col("_min") < F.lit(0.70) * F.col("_before"))
+    small = seen.filter(micro(F.col("_min")) * 100 < micro(F.col("_before")) * 70)
     return _existing(small, [*study.keys, "VISITNUM"], "_shrunk")
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crosswitness.operators.ordered import numbered
+from crosswitness.sources.staging import required_root
+
 PAIR = ("subject", "rule_id")
+#: Draws in one block of a resampling.
+DRAWS = 10_000
 
 
 def union_flags(*parts: DataFrame) -> DataFrame:
@@ -97,6 +103,21 @@ def summary(flags: DataFrame, *by: str) -> DataFrame:
     return flags.groupBy(*by).agg(F.count(F.lit(1)).alias("flags"), F.countDistinct("subject").alias("subjects"))
 
 
+def subject_sketches(flags: DataFrame, *by: str) -> DataFrame:
+    """One mergeable sketch of the flagged subjects per group; a few kilobytes however many there are."""
+    return flags.groupBy(*by).agg(F.count(F.lit(1)).alias("flags"), F.hll_sketch_agg("subject", 14).alias("sketch"))
+
+
+def merged_sketches(parts: DataFrame, *by: str) -> DataFrame:
+    """Sketches of several runs or cohorts, stored earlier, as if their flags had been counted together."""
+    return parts.groupBy(*by).agg(F.sum("flags").alias("flags"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def estimated(sketches: DataFrame) -> DataFrame:
+    """``subjects`` from the sketches, within about 2% (three standard errors)."""
+    return sketches.withColumn("subjects", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
 def family(rule: Column) -> Column:
     """Bucket of a rule id: derivation, archetype, structural or anonymous."""
     return (F.when(rule.isNull() | (rule == ""), "anonymous").when(rule.rlike("^(DERIVATION|S[0-9])"), "derivation")
@@ -105,22 +126,42 @@ def family(rule: Column) -> Column:
 
 # -- statistics over detection tables --------------------------------------------------
 
-def mcnemar(df: DataFrame, ours: Column, theirs: Column, by: list[str]) -> DataFrame:
-    """Discordant counts and the exact two-sided p-value per group.
+def _stirling_rest(x: Column) -> Column:
+    """ln(x!) less Stirling's leading terms, for x >= 1."""
+    exact = F.log(F.factorial(F.least(x, F.lit(20.0)).cast("int"))) - 0.5 * F.log(2 * math.pi * x) - x * F.log(x) + x
+    return F.when(x <= 20, exact).otherwise(1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x))
 
-    The binomial tail is summed in log space by a fold over 0..min(b, c).
+
+def binomial_tail(k: Column, n: Column) -> Column:
+    """P(X <= k) of n fair tosses, for 2 * k <= n, in at most about 6 * sqrt(n) steps.
+
+    The term of k comes in saddle-point form, which has no large numbers to cancel.  The terms below
+    follow from it by their ratios; they fall at least as fast as exp(-2 j^2 / n), so those left
+    out do not reach double precision.
     """
-    counts = df.groupBy(*by).agg(F.count_if(ours & ~theirs).alias("b"), F.count_if(~ours & theirs).alias("c"))
-    n = (F.col("b") + F.col("c")).cast("double")
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("t"), F.lit(0.0).alias("s"))
+    k, n = k.cast("double"), n.cast("double")
+    rest = n - k
+    lean = (rest - k) / n
+    deviance = k * F.log1p(-lean) + rest * F.log1p(lean)
+    inner = -deviance + 0.5 * F.log(n / (2 * math.pi * k * rest)) + _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(rest)
+    top = F.when(k == 0, -n * math.log(2.0)).otherwise(inner)
+    steps = F.least(k, F.ceil(F.sqrt(20 * n)) + 50).cast("bigint")
+
+    def step(acc: Column, j: Column) -> Column:
+        t = acc["t"] * (k - j + 1) / (rest + j)
+        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
 
-    def step(acc, i):
-        t = F.when(i == 0, acc["t"]).otherwise(acc["t"] + F.log((n - i + 1) / i))
-        return F.struct(t.alias("t"), (acc["s"] + F.exp(t)).alias("s"))
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    below = F.when(steps < 1, 1.0).otherwise(F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(steps, F.lit(1))), start, step, lambda acc: acc["s"]))
+    return F.exp(top) * below
 
-    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.least("b", "c")), start, step, lambda a: a["s"])
-    p = F.when(F.col("b") + F.col("c") == 0, 1.0).otherwise(F.least(F.lit(1.0), tail * 2))
-    return counts.withColumn("p_value", F.round(F.round(p, 12), 6))  # the inner step absorbs fold noise at .5
+
+def mcnemar(df: DataFrame, ours: Column, theirs: Column, by: list[str]) -> DataFrame:
+    """Discordant counts and the exact two-sided p-value per group."""
+    counts = df.groupBy(*by).agg(F.count_if(ours & ~theirs).alias("b"), F.count_if(~ours & theirs).alias("c"))
+    n = F.col("b") + F.col("c")
+    p = F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * binomial_tail(F.least("b", "c"), n)))
+    return counts.withColumn("p_value", F.round(F.round(p, 12), 6))  # the inner step absorbs noise at .5
 
 
 def rate_interval(k: Column, n: Column, z: float = 1.96) -> Column:
@@ -149,19 +190,23 @@ def bootstrap_rate(items: DataFrame, hit: Column, reps: int = 1000, seed: int =
 
     Resampling yes/no items with replacement only depends on how many there are and how
     many are hits, so the items are counted first.  Every draw is a hash of (seed,
-    repetition, position): any task can recompute any draw, and re-runs agree.
+    repetition, position): any task can recompute any draw, and re-runs agree.  Repetitions are
+    cut into blocks of draws, one row each, and blocks are counted where they are drawn.
     """
-    totals = items.agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("k"))
-    draws = totals.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn(
-        "i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    n, k = items.agg(F.count(F.lit(1)), F.count_if(hit)).first()  # two numbers
+    spark = items.sparkSession
+    blocks = max(1, -(-n // DRAWS))
+    pieces = spark.range(reps * blocks).select(F.expr(f"id div {blocks}").alias("rep"), (F.col("id") % blocks * DRAWS).alias("_at"))
+    pieces = pieces.filter(F.col("_at") < n) if n else pieces.filter(F.lit(False))
+    draws = pieces.select("rep", F.explode(F.sequence(F.col("_at") + 1, F.least(F.col("_at") + DRAWS, F.lit(n)))).alias("i"))
     u = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "rep", "i")), 1, 8), 16, 10).cast("double") / float(2 ** 32)
-    rates = draws.groupBy("rep").agg((F.count_if(u * F.col("n") < F.col("k")) / F.first("n")).alias("rate"))
-    f1 = F.when(F.col("rate") > 0, 2 * F.col("rate") / (1 + F.col("rate"))).otherwise(0.0)
-    ranked = rates.agg(F.array_sort(F.collect_list("rate")).alias("r"), F.array_sort(F.collect_list(f1)).alias("f"))
-    lo, hi = int(reps * 0.025), int(reps * 0.975) - 1  # ``reps`` values are collected, whatever the item count
-    return ranked.select(F.lit(reps).alias("reps"), *[
-        F.round(F.col(c)[i], 4).alias(name) for c, i, name in
-        (("r", lo, "rate_low"), ("r", hi, "rate_high"), ("f", lo, "f1_low"), ("f", hi, "f1_high"))])
+    rates = draws.groupBy("rep").agg((F.count_if(u * n < k) / F.lit(n)).alias("rate"))
+    ranked = numbered(rates, [], [F.col("rate").asc()], "_r", f"{required_root(spark)}/rates")
+    at = {name: F.max(F.when(F.col("_r") == place, F.col("rate"))) for name, place in (("low", int(reps * 0.025) + 1), ("high", int(reps * 0.975)))}
+    f1 = lambda rate: F.when(rate > 0, 2 * rate / (1 + rate)).when(rate.isNotNull(), 0.0)  # rises with the rate, so the ranks are the same
+    out = ranked.agg(*[v.alias(name) for name, v in at.items()])
+    return out.select(F.lit(reps).alias("reps"), F.round("low", 4).alias("rate_low"), F.round("high", 4).alias("rate_high"),
+                      F.round(f1(F.col("low")), 4).alias("f1_low"), F.round(f1(F.col("high")), 4).alias("f1_high"))
 
 
 def fleiss_kappa(ratings: DataFrame, categories: list[str]) -> DataFrame:

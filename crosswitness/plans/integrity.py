@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosswitness.functions.columns import record_key
+from crosswitness.functions.scalars import exact_sum, micro
 from crosswitness.operators.skew import keyed_join
 from crosswitness.sources.study import DOMAINS, Study
 
@@ -69,10 +70,10 @@ def sum_match_rate(study: Study, tolerance: float = 1.0) -> DataFrame:
     """Share of visits whose reported sum of diameters agrees with the measurements."""
     keys = [*study.keys, "VISITNUM"]
     measured = study["TR"].filter((F.col("TRTESTCD") == "LDIAM") & F.col("TRSTRESN").isNotNull()).groupBy(*keys).agg(
-        F.sum("TRSTRESN").alias("_sum"))
+        exact_sum(F.col("TRSTRESN")).alias("_sum"))
     reported = study["RS"].filter((F.col("RSTESTCD") == "SUMDIAM") & F.col("RSSTRESN").isNotNull()).select(*keys, "RSSTRESN")
     both = keyed_join(reported, measured, keys, "inner", study.load("RS"))
-    agree = F.abs(F.col("_sum") - F.col("RSSTRESN")) <= tolerance
+    agree = F.abs(micro(F.col("_sum")) - micro(F.col("RSSTRESN"))) <= micro(F.lit(tolerance))
     return both.agg(F.count(F.lit(1)).alias("visits"), F.count_if(agree).alias("matching")).withColumn(
         "rate", F.when(F.col("visits") > 0, F.col("matching") / F.col("visits")))
 

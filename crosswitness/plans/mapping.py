@@ -9,15 +9,16 @@ total order per subject.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosswitness.functions import scalars as sc
 from crosswitness.functions.columns import col_or_null
-from crosswitness.operators.ordered import position
-from crosswitness.operators.skew import Load
+from crosswitness.operators.ordered import numbered, position
+from crosswitness.operators.skew import ROWS_PER_TASK, Load, measure
+from crosswitness.sources.staging import required_root
 from crosswitness.sources.study import Study
 
 # Code lists of the visit-form layout.
@@ -54,11 +55,32 @@ class TrialConfig:
         return sc.subject_id(self.study_id, raw)
 
 
+def _with_loads(raw: dict[str, DataFrame], config: TrialConfig, rows_per_task: int = ROWS_PER_TASK) -> TrialConfig:
+    """The configuration with the measured sizes of the raw tables by subject, in one job.
+
+    A raw row can become several: four answers a response row (and a sum of the lesion rows of its
+    visit), six graded events a toxicity row.  The loads are upper bounds of what gets numbered.
+    """
+    subject = "PT" if "lesles" in raw else "RSUBJ_ID"
+    found = measure({name: (df, (subject,)) for name, df in raw.items()}, rows_per_task)
+    times = lambda name, n: Load(found[name].rows * n, found[name].largest * n, rows_per_task)
+    plus = lambda a, b: Load(a.rows + b.rows, a.largest + b.largest, rows_per_task)
+    loads = {name: found[name] for name in ("ds", "dose", "eosr") if name in found}
+    if "lesles" in raw:
+        loads |= {"lesions": found["lesles"], "responses": plus(times("rsp", 4), found["lesles"])}
+    else:
+        loads |= {"lesions": found["lesions"], "responses": times("responses", 4), "toxy": times("toxy", 6)}
+    return replace(config, loads={**loads, **config.loads})
+
+
 def _sequence(df: DataFrame, out: str, order: list[str], config: TrialConfig, table: str) -> DataFrame:
-    """Position per subject along ``order`` (whose first column is the visit or day)."""
-    bucket = F.col(order[0])
-    numbered = position(df, ["USUBJID"], [F.col(c).asc_nulls_last() for c in order], out, F.coalesce(bucket, F.lit(float("inf"))), config.loads.get(table))
-    return numbered.withColumn(out, F.col(out).cast("double"))
+    """Position per subject along ``order``; a subject of very many rows is cut by rank, so a day or visit may hold them all."""
+    load, by = config.loads.get(table), [F.col(c).asc_nulls_last() for c in order]
+    if load is not None and load.hot:
+        out_rows = numbered(df, ["USUBJID"], by, out, f"{required_root(df.sparkSession)}/sequence")
+    else:
+        out_rows = position(df, ["USUBJID"], by, out, F.col(order[0]))
+    return out_rows.withColumn(out, F.col(out).cast("double"))
 
 
 def _first_appearance(les: DataFrame) -> DataFrame:
@@ -77,7 +99,7 @@ def _tu(les: DataFrame, config: TrialConfig) -> DataFrame:
 
 
 def _tr(les: DataFrame, config: TrialConfig, dated: bool) -> DataFrame:
-    numbered = _sequence(les, "TRSEQ", ["VISITNUM", "lesion", "size", "state"], config, "lesions")
+    rows = _sequence(les, "TRSEQ", ["VISITNUM", "lesion", "size", "state"], config, "lesions")
     size = F.col("size")
     columns = [
         F.lit(config.study_id).alias("STUDYID"), "USUBJID", "VISITNUM", "TRSEQ", F.col("lesion").alias("TRLNKID"),
@@ -87,7 +109,7 @@ def _tr(les: DataFrame, config: TrialConfig, dated: bool) -> DataFrame:
         F.when(F.col("target"), F.coalesce(size.cast("string"), F.lit(""))).otherwise(F.col("state")).alias("TRORRES"),
         F.when(F.col("not_done"), "NOT DONE").otherwise("").alias("TRSTAT"), config.epoch(F.col("VISITNUM")).alias("EPOCH"),
     ]
-    return numbered.select(*columns, *(["TRDTC"] if dated else []))
+    return rows.select(*columns, *(["TRDTC"] if dated else []))
 
 
 def _long_responses(wide: DataFrame, config: TrialConfig, sums: DataFrame | None, dated: bool) -> DataFrame:
@@ -105,20 +127,20 @@ def _long_responses(wide: DataFrame, config: TrialConfig, sums: DataFrame | None
         sums = reported.select(*keep, F.lit(4).alias("n"), F.lit("TARGET RESPONSE").alias("RSCAT"), F.lit("SUMDIAM").alias("RSTESTCD"),
                                F.lit("").alias("RSORRES"), F.col("sum").alias("RSSTRESN"))
     rows = rows.unionByName(sums)
-    numbered = _sequence(rows, "RSSEQ", ["VISITNUM", *(["RSDTC"] if dated else []), "n", "RSORRES", "RSSTRESN"], config, "responses")
-    return numbered.select(
+    rows = _sequence(rows, "RSSEQ", ["VISITNUM", *(["RSDTC"] if dated else []), "n", "RSORRES", "RSSTRESN"], config, "responses")
+    return rows.select(
         F.lit(config.study_id).alias("STUDYID"), "USUBJID", "VISITNUM", "RSSEQ", "RSCAT", "RSTESTCD", "RSORRES",
         F.col("RSORRES").alias("RSSTRESC"), "RSSTRESN", *(["RSDTC"] if dated else []), config.epoch(F.col("VISITNUM")).alias("EPOCH"))
 
 
 def _arms(named: DataFrame, config: TrialConfig) -> DataFrame:
-    """Trial arms from distinct (ARM, ARMCD); arms are few, so their numbering is one small sort."""
-    arms = named.filter(F.col("ARM") != "").select("ARM", "ARMCD").distinct().groupBy().agg(
-        F.array_sort(F.collect_set(F.struct("ARM", "ARMCD"))).alias("a"))
-    return arms.select(F.posexplode("a").alias("i", "x")).select(
-        F.lit(config.study_id).alias("STUDYID"), "x.ARMCD", "x.ARM", F.lit(1.0).alias("TAETORD"),
-        F.concat(F.lit("EL"), F.lpad((F.col("i") + 1).cast("string"), 2, "0")).alias("ETCD"),
-        F.lit("Treatment").alias("ELEMENT"), (F.col("i") + 1).cast("double").alias("TASEQ"))
+    """Trial arms from distinct (ARM, ARMCD), numbered by name."""
+    arms = named.filter(F.col("ARM") != "").select("ARM", "ARMCD").distinct()
+    arms = numbered(arms, [], [F.col("ARM").asc(), F.col("ARMCD").asc()], "i", f"{required_root(named.sparkSession)}/arms")
+    return arms.select(
+        F.lit(config.study_id).alias("STUDYID"), "ARMCD", "ARM", F.lit(1.0).alias("TAETORD"),
+        F.concat(F.lit("EL"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("ETCD"),
+        F.lit("Treatment").alias("ELEMENT"), F.col("i").cast("double").alias("TASEQ"))
 
 
 # -- lesion form ----------------------------------------------------------------------------
@@ -144,8 +166,9 @@ def lesion_form_sums(lesles: DataFrame, config: TrialConfig) -> DataFrame:
             .filter(F.col("RSSTRESN").isNotNull()))
 
 
-def map_lesion_form(raw: dict[str, DataFrame], config: TrialConfig) -> Study:
+def map_lesion_form(raw: dict[str, DataFrame], config: TrialConfig, measured: bool = False) -> Study:
     """Tables ``lesles``, ``rsp``, ``dm`` and ``ds`` to TU, TR, RS, DM, TA and DS."""
+    config = _with_loads(raw, config) if measured else config
     lesles, rsp, dm, ds = (raw[k] for k in ("lesles", "rsp", "dm", "ds"))
     les = lesion_form_lesions(lesles, config)
     wide = rsp.select(config.who(F.col("PT")).alias("USUBJID"), F.col("VISITNUM").cast("double").alias("VISITNUM"),
@@ -158,8 +181,7 @@ def map_lesion_form(raw: dict[str, DataFrame], config: TrialConfig) -> Study:
     arms = dm.select(F.coalesce("TRTP", F.lit("")).alias("ARM")).withColumn("ARMCD", sc.arm_code(F.col("ARM")))
     dispositions = ds.filter(sc.blank(F.col("DSDECOD")) != "").select(
         config.who(F.col("PT")).alias("USUBJID"), "DSDECOD", F.coalesce("DSCAT", F.lit("")).alias("DSCAT"), F.coalesce("EPOCH", F.lit("")).alias("EPOCH"))
-    numbered = position(dispositions, ["USUBJID"], [F.col("EPOCH"), F.col("DSCAT"), F.col("DSDECOD")], "DSSEQ", F.col("EPOCH"), config.loads.get("ds"))
-    out_ds = numbered.select(F.lit(config.study_id).alias("STUDYID"), "USUBJID", F.col("DSSEQ").cast("double").alias("DSSEQ"), "DSDECOD", "DSCAT", "EPOCH")
+    out_ds = _sequence(dispositions, "DSSEQ", ["EPOCH", "DSCAT", "DSDECOD"], config, "ds").select(F.lit(config.study_id).alias("STUDYID"), "USUBJID", F.col("DSSEQ").cast("double").alias("DSSEQ"), "DSDECOD", "DSCAT", "EPOCH")
     return Study(lesles.sparkSession, {
         "TU": _tu(les, config), "TR": _tr(les, config, dated=False),
         "RS": _long_responses(wide, config, lesion_form_sums(lesles, config), dated=False),
@@ -207,8 +229,9 @@ def visit_form_events(toxy: DataFrame, config: TrialConfig) -> DataFrame:
         F.col("grade").alias("AETOXGR"), sc.code_map(F.col("grade"), SEVERITIES).alias("AESEV"), "AESTDTC", F.lit("TREATMENT").alias("EPOCH"))
 
 
-def map_visit_form(raw: dict[str, DataFrame], config: TrialConfig) -> Study:
+def map_visit_form(raw: dict[str, DataFrame], config: TrialConfig, measured: bool = False) -> Study:
     """Tables ``lesions``, ``responses``, ``demo``, ``eosr``, ``toxy`` and ``dose`` to all domains."""
+    config = _with_loads(raw, config) if measured else config
     les = visit_form_lesions(raw["lesions"], config)
     wr = raw["responses"]
     wide = wr.select(config.who(F.col("RSUBJ_ID")).alias("USUBJID"), F.col("VISIT_ID").cast("double").alias("VISITNUM"),

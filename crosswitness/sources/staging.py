@@ -22,6 +22,14 @@ def staging_root(spark: SparkSession) -> str | None:
     return None
 
 
+def required_root(spark: SparkSession) -> str:
+    """A new folder for work that has to be written."""
+    root = staging_root(spark)
+    if root is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return root
+
+
 def written(df: DataFrame, path: str | None) -> DataFrame:
     """The same rows read back from files, which ends the lineage; unchanged without a path."""
     if path is None:

@@ -104,7 +104,7 @@ class Study:
         """Measure every domain by subject, and DM by arm, in one job."""
         wanted = {d: (df, self.keys) for d, df in self.tables.items() if set(self.keys) <= set(df.columns)}
         dm = self.tables.get("DM")
-        if dm is not None and "ARMCD" in dm.columns:
+        if dm is not None and {*self.scope, "ARMCD"} <= set(dm.columns):
             wanted["DM by ARMCD"] = (dm, (*self.scope, "ARMCD"))
         if self.scenarios is not None:
             wanted["scenarios"] = (self.scenarios, ("USUBJID",))
