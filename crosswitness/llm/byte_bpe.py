@@ -32,9 +32,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from crosswitness.llm.common import free_name, table
 
-LONG, REMEMBERED = 400, 100_000  # LONG is under 1024, so a place fits the lower ten bits
+LONG, REMEMBERED = 400, 400_000  # LONG is under 1024, so a place fits the lower ten bits
 #: Bytes of new words per recursive query, bytes of text per slice.
-QUERY_BYTES, SLICE_BYTES = 100_000, 1_000_000
+QUERY_BYTES, SLICE_BYTES = 400_000, 2_000_000
 
 ENCODE = """
 WITH RECURSIVE parts AS (
@@ -102,8 +102,10 @@ class Codec:
         """Encode words that are not remembered yet."""
         got: list[np.ndarray] = [None] * len(words)
         waiting, size = [], 0
-        for i, w in enumerate(words):
-            data = w.encode("utf-8", "surrogatepass")
+        encoded = [w.encode("utf-8", "surrogatepass") for w in words]
+        # Words of like length together: a query takes as many rounds as its longest word needs.
+        for i in sorted(range(len(words)), key=lambda i: len(encoded[i])):
+            data = encoded[i]
             if data in self.ranks:
                 got[i] = np.array([self.ranks[data]], np.int32)
             elif len(data) > LONG:
@@ -111,7 +113,7 @@ class Codec:
             else:
                 waiting.append((i, data))
                 size += len(data)
-            if waiting and (size >= QUERY_BYTES or i == len(words) - 1):
+            if size >= QUERY_BYTES:
                 self._contract(waiting, got)
                 waiting, size = [], 0
         if waiting:
