@@ -28,6 +28,8 @@ def new_lesion_status(study: Study) -> DataFrame:
         hit = F.greatest(*[F.coalesce(F.upper(c).contains("NEW"), F.lit(False)) for c in columns], F.lit(False))
         part = df.filter(hit).select(*study.keys).distinct()
         out = part if out is None else out.unionByName(part)
+    if out is None:  # no text column at all: nobody has a new lesion
+        out = study["RS"].select(*study.keys).limit(0)
     return out.distinct().withColumn("_newlec", F.lit("Y"))
 
 

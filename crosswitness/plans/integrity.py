@@ -117,8 +117,10 @@ def not_applicable(study: Study) -> DataFrame:
                     F.col("RSDTC").rlike(r"^\d{4}-\d{2}-\d{2}"), "dates")
     attributed = any_row(ae if ae is not None and "AEREL" in ae.columns else None,
                          F.upper("AEREL").isin("Y", "PROBABLE", "POSSIBLE"), "attributed")
+    codes = any_row(rs if rs is not None and "RSTESTCD" in rs.columns else None, F.upper("RSTESTCD") == "NTOVRLRESP", "nontarget").join(
+        any_row(rs if rs is not None and "RSTESTCD" in rs.columns else None, F.upper("RSTESTCD") == "NEWLEC", "newlec"), "_k")
     exposed, events = any_row(ex, F.lit(True), "exposed"), any_row(ae, F.lit(True), "events")
-    facts = dated.join(attributed, "_k").join(exposed, "_k").join(events, "_k").withColumn(
+    facts = dated.join(attributed, "_k").join(exposed, "_k").join(events, "_k").join(codes, "_k").withColumn(
         "arms", F.lit(dm is not None and "ACTARMCD" in dm.columns))
 
     def miss(check: str, cond, reason):
@@ -131,6 +133,7 @@ def not_applicable(study: Study) -> DataFrame:
         miss("A20", ~has("dates"), F.lit("responses carry no full dates")),
         miss("A09", ~has("arms"), F.lit("actual arm is not recorded")),
         *[miss(a, ~has("exposed"), F.lit("no exposure records")) for a in ("A10", "A11", "A15")],
+        miss("A19", ~(has("nontarget") & has("newlec")), F.lit("responses carry no non-target response or new-lesion answer")),
         miss("A14", ~(has("exposed") & has("arms")), F.lit("exposure or actual arm is not recorded")),
     ]
     return facts.select(F.explode(F.array(*rows)).alias("x")).filter(F.col("x").isNotNull()).select("x.*")

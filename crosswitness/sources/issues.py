@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosswitness.operators.skew import keyed_join, measure
+
 # Datasets of interest, and report rows that only describe the submission.
 DATASETS = ("dm.xpt", "ex.xpt", "tu.xpt", "tr.xpt", "rs.xpt")
 NOISE_RULES = ("DD0101",)
@@ -52,14 +54,19 @@ def clean_report_rows(raw: DataFrame, noise: tuple[str, ...] = NOISE_RULES) -> D
 
 def issue_key(issues: DataFrame) -> DataFrame:
     """Issues with the comparable head of their message."""
-    return issues.withColumn("message_head", F.left(F.coalesce("message", F.lit("")), F.lit(120)))
+    return issues.withColumn("message_head", F.left("message", F.lit(120)))
 
 
 def new_issues(injected: DataFrame, clean: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """Issues of the injected report whose key the clean report does not have.
 
-    NULLs compare as equal to NULL: keys are matched as one null-safe structure.
+    A NULL equals a NULL and nothing else, an empty text among the rest.  An issue that is reported
+    very often keeps its rows where they are and meets the one key of the clean report there.
     """
     def keyed(df: DataFrame) -> DataFrame:
-        return issue_key(df).withColumn("_key", F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(k), F.lit("")).alias(k) for k in key])), 256))
-    return keyed(injected).join(keyed(clean).select("_key").distinct(), "_key", "left_anti").drop("_key", "message_head")
+        cells = F.to_json(F.struct(*[F.col(k) for k in key]), {"ignoreNullFields": "false"})
+        return issue_key(df).withColumn("_key", F.sha2(cells, 256))
+
+    rows = keyed(injected)
+    known = keyed(clean).select("_key").distinct()
+    return keyed_join(rows, known, ["_key"], "left_anti", measure({"rows": (rows, ("_key",))})["rows"]).drop("_key", "message_head")

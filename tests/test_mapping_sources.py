@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosswitness.functions import scalars as sc
-from crosswitness.plans import integrity, mapping
+from crosswitness.plans import enrich, integrity, mapping
 from crosswitness.sources import inventory, issues, sinks
 from crosswitness.sources.study import Study, load_study
 from conftest import rows
@@ -119,3 +119,15 @@ def test_inventory_and_manifest(spark, tmp_path):
     (tmp_path / "a").write_text("A"), (tmp_path / "b").unlink(), (tmp_path / "d").write_text("d")
     bad = inventory.verify_manifest(spark.createDataFrame(before), inventory.manifest(spark, str(tmp_path)))
     assert rows(bad, "file", "status") == [("a", "changed"), ("b", "missing"), ("d", "unexpected")]
+
+
+def test_a_null_in_an_issue_is_not_an_empty_text(spark):
+    ddl = "core_id string, dataset string, USUBJID string, variables string, `values` string, message string"
+    new = spark.createDataFrame([("C1", "dm.xpt", None, "x", "1", "m")] * 3 + [("C1", "dm.xpt", "", "x", "1", "m"), ("C2", "dm.xpt", "s", "x", None, None)], ddl)
+    old = spark.createDataFrame([("C1", "dm.xpt", "", "x", "1", "m"), ("C2", "dm.xpt", "s", "x", None, None)], ddl)
+    assert [r.USUBJID for r in issues.new_issues(new, old).collect()] == [None] * 3
+
+
+def test_enrichment_without_text_columns(make_study):
+    st = make_study(RS=("USUBJID string, VISITNUM double, RSSEQ double, RSTESTCD string, RSORRES string", [("s", 1.0, 1.0, "OVRLRESP", "SD")]))
+    assert enrich.new_lesion_status(st).count() == 0

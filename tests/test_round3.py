@@ -230,3 +230,14 @@ def test_sketches_merge(spark):
     merged = flagsets.estimated(flagsets.merged_sketches(parts, "rule_id")).first()
     whole = flagsets.estimated(flagsets.subject_sketches(flags, "rule_id")).first()
     assert merged == whole and merged.flags == 60_000 and abs(merged.subjects / 20_000 - 1) < 0.02
+
+
+@pytest.mark.parametrize("name", ["M01", "M03", "M05", "M08"])
+def test_mapping_with_hot_subjects_equals_plain(spark, monkeypatch, name):
+    from crosswitness.catalog import job_queries
+    from crosswitness.plans import mapping
+
+    query, measured = job_queries.queries()[name], mapping._with_loads
+    plain = sorted(map(str, query(spark, SF).collect()))
+    monkeypatch.setattr(mapping, "_with_loads", lambda raw, config: measured(raw, config, 3))
+    assert sorted(map(str, query(spark, SF).collect())) == plain

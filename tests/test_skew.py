@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crosswitness.catalog.testbed import build_study, visits
 from crosswitness.operators import ordered
 from crosswitness.operators.skew import Load, keyed_join, measure
-from crosswitness.plans.checks import run_checks
+from crosswitness.plans.checks import ARCHETYPES, DERIVATIONS, PROBES, check_groups, run_checks
 from conftest import SF, rows
 
 HOT = Load(rows=100, largest=60, rows_per_task=5)
@@ -86,14 +86,14 @@ def test_split_paths_keep_rows_with_nulls(gaps):
 
 
 def test_checks_are_the_same_with_split_keys(spark):
-    ids = ("A07", "A17")
+    ids = (*ARCHETYPES, *DERIVATIONS, *PROBES)
     plain = build_study(spark, SF)
     split = build_study(spark, SF, rows_per_task=4).measured(rows_per_task=20)
     assert split.load("RS").hot and split.load("TR").hot and split.load("DM by ARMCD").hot
     cols = ("rule_id", "record_id", "subject", "visit")
     want = sorted(map(str, run_checks(plain, ids).select(*cols).collect()))
     # one job per group keeps the split plans small
-    got = sorted(str(r) for i in ids for r in run_checks(split, [i]).select(*cols).collect())
+    got = sorted(str(r) for group in check_groups(ids) for r in run_checks(split, group).select(*cols).collect())
     assert want == got
 
 
