@@ -22,7 +22,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from crosswitness.llm.common import free_name, table
 
-LONG, REMEMBERED = 400, 400_000  # LONG is under 1024, so a place fits the lower ten bits
+LONG, REMEMBERED = 400, 800_000  # LONG is under 1024, so a place fits the lower ten bits
 #: Bytes of new words per recursive query, bytes of text per slice.
 QUERY_BYTES, SLICE_BYTES = 400_000, 2_000_000
 
@@ -189,7 +189,7 @@ class Codec:
                 size, to = size + len(texts[to]), to + 1
             if size <= SLICE_BYTES:
                 cut = [self.pattern.findall(t) for t in texts[at:to]]
-                if new := self._unknown(dict.fromkeys(w for c in cut for w in c)):
+                if new := self._unknown(dict.fromkeys(chain.from_iterable(cut))):
                     self.learn(new)
                 out += [self._gather(c) for c in cut]
             else:
