@@ -80,9 +80,9 @@ def _longer(bits: int, pair_bits: int, shard_bits: int):
         for slice_, data in zip(streams["slice"], streams["data"]):
             w = shards.unpack_counts(data).astype(np.uint64)
             some = [(shards.unpack_counts(a), shards.unpack_counts(b)) for a, b in zip(answers["data"], answers["ids"])]
-            if not some:
+            known, id_ = (np.concatenate(c) for c in zip(*some)) if some else ((), ())
+            if not len(known):  # an answer can name no pair at all
                 continue
-            known, id_ = (np.concatenate(c) for c in zip(*some))
             order = np.argsort(known)
             known, id_ = known[order].astype(np.uint64), id_[order].astype(np.uint64)
             packed = w[:-1] << np.uint64(bits) | w[1:]

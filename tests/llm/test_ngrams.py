@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_operators import DDL, LONG, SF, clashing, documents, same
@@ -76,6 +77,13 @@ def brute_phrases(rows, least, top, absorb=80):
     return sorted(out)
 
 
+def test_a_slice_without_a_frequent_pair_has_no_longer_phrases():
+    nothing = shards.pack_counts(np.zeros(0, np.int64))
+    streams = pd.DataFrame({"slice": [0], "data": [shards.pack_counts(np.array([1, 2, 3, 0]))]})
+    answers = pd.DataFrame({"data": [nothing], "ids": [nothing]})
+    assert not len(collocations._longer(2, 1, 0)(streams, answers))
+
+
 def test_collocations_of_odd_rows_and_small_shards(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(collocations, "SHARD_ENTRIES", 400)
     rng = random.Random(2)
