@@ -10,7 +10,7 @@ from crosswitness.catalog import testbed
 from crosswitness.plans import detect
 from crosswitness.plans import differential
 from crosswitness.plans import inject as ij
-from crosswitness.plans.checks import run_checks
+from crosswitness.plans.checks import flag_counts, run_checks
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +48,7 @@ def test_experiment_by_subject_equals_the_plain_one(spark, lying):
 
 def test_co_occurrence_runs_only_the_checks_it_asks_for(spark, lying, monkeypatch):
     seen = []
-    monkeypatch.setattr(detect, "run_checks", lambda s, ids, *a: seen.append(tuple(ids)) or run_checks(s, ids, *a))
+    monkeypatch.setattr(detect, "flag_counts", lambda s, ids, *a: seen.append(tuple(ids)) or flag_counts(s, ids, *a))
     plan = lying["DM"].select("USUBJID").distinct().orderBy("USUBJID").limit(5).withColumn("archetype", F.explode(F.array(F.lit("A08"), F.lit("A13"))))
     got = detect.co_occurrence(lying, plan, plan, ("A08", "A13"))
     assert set(seen) == {("A08", "A13")} and got.count() == 5
