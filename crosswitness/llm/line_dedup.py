@@ -92,21 +92,23 @@ def _owned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct lines of a batch in full."""
+    """The named lines of each text in full."""
     for b in batches:
-        lines: dict[str, int] = {}
-        for text in b["text"]:
-            lines.update(_lines(text))
-        yield pd.DataFrame([(leaf, _name(x), x) for x, leaf in lines.items()], columns=["leaf", "name", "line"], dtype=object).astype({"leaf": "int64"})
+        rows = []
+        for text, names in zip(b["text"], b["names"]):
+            wanted = set(names)
+            lines = dict.fromkeys(" ".join(masked(x)) for x in text.split("\n"))
+            rows += [(name, line) for line in lines if (name := _name(line)) in wanted]
+        yield pd.DataFrame(rows, columns=["name", "line"], dtype=object)
 
 
 def _families(spark: SparkSession, texts: DataFrame, own: DataFrame, root: str) -> DataFrame:
-    """own, kin: the near-duplicate group of each named text."""
+    """own, kin: the near-duplicate group of each named text (own, names); the texts are written with their names."""
     # The names grow with the documents, so they are never broadcast.
-    named = texts.mapInPandas(_owned, "own binary, text string").join(own.hint("merge"), "own", "left_semi").dropDuplicates(["own"])
+    named = texts.mapInPandas(_owned, "own binary, text string").dropDuplicates(["own"]).join(own.hint("merge"), "own")
     number = F.conv(F.substring(F.hex("own"), 1, 15), 16, 10).cast("long")
-    named = write_table(named.select("own", number.alias("id"), "text"), f"{root}/candidates")
-    kin = near_duplicates(spark, named, id="id").select(F.col("doc_id").alias("id"), F.col("class_id").alias("kin"))
+    named = write_table(named.select("own", number.alias("id"), "text", "names"), f"{root}/candidates")
+    kin = near_duplicates(spark, named.select("id", "text"), id="id").select(F.col("doc_id").alias("id"), F.col("class_id").alias("kin"))
     return write_table(named.select("own", "id").join(kin, "id").select("own", "kin").distinct(), f"{root}/families")
 
 
@@ -119,15 +121,18 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, text: str = "text", mi
     leaves = lines.groupBy("leaf").agg(F.sum("texts").alias("n"), F.max("words").alias("words")).where(F.col("n") >= _needed(F.col("words"), min_docs)).select("leaf")
     leaves = write_table(leaves, f"{root}/leaves")
     held = held.join(leaves, "leaf", "left_semi")
-    kin = _families(spark, texts, held.select("own").distinct(), root)
+    # Each line is spelled out by one of its texts, the lowest, where that is read for its family.
+    speaker = held.groupBy("name").agg(F.min("own").alias("own"))
+    owners = held.select("own", F.lit(None).cast("binary").alias("name")).distinct().unionByName(speaker)
+    kin = _families(spark, texts, owners.groupBy("own").agg(F.collect_list("name").alias("names")), root)
     held = write_table(held.join(kin, "own").groupBy("leaf", "name", "kin").agg(F.min("own").alias("own")), f"{root}/kin")
     # Families with one line in a leaf are summed up by line; the others are told apart at each token and template.
     several = held.groupBy("leaf", "kin").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf", "kin", F.lit(True).alias("several"))
     held = write_table(held.join(several, ["leaf", "kin"], "left"), f"{root}/kin-lines")
     several = held.where("several").select("leaf", "name", "kin")
     single = held.groupBy("leaf", "name").agg(F.count_if(F.col("several").isNull()).alias("n"))
-    spelled = texts.mapInPandas(_spelled, "leaf long, name binary, line string").join(leaves, "leaf", "left_semi").dropDuplicates(["name"])
-    busy = write_table(single.join(spelled.select("name", "line"), "name"), f"{root}/busy")
+    spelled = spark.read.parquet(f"{root}/candidates").where(F.size("names") > 0).select("text", "names").mapInPandas(_spelled, "name binary, line string")
+    busy = write_table(single.join(spelled, "name"), f"{root}/busy")
 
     tokens = busy.select("leaf", "name", "n", F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("token") != WILD)
     fixed = _supported(tokens, several, ["leaf", "at", "token"]).where(F.col("n") >= LONG_DOCS)
