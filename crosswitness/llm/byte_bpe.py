@@ -4,8 +4,9 @@ Texts are cut into words by the vocabulary's pattern.  The distinct words of a s
 partition become rows (word, place, token), one per byte.  A recursive query joins neighbouring
 tokens with the merge table, contracts each word's leftmost pair of least rank (rank and place in
 one number, so the least one of a word is a plain minimum), and repeats until no word has a pair
-left; an ordered aggregation lists the ids.  Decoding joins ids with the vocabulary and
-concatenates the bytes in order.  Both directions run in one pass over the texts.
+left; an ordered aggregation lists the ids.  A row is kept as one number, and a round reads the
+rows in the order the last one left them, which it checks.  Decoding joins ids with the vocabulary
+and concatenates the bytes in order.  Both directions run in one pass over the texts.
 
 Every partition is encoded where it lies, without a shuffle.  The merge table and vocabulary
 (about 50,000 tokens, a fixed size) travel with the task.  A worker remembers the ids of about
@@ -32,29 +33,39 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from crosswitness.llm.common import free_name, table
 
-LONG, REMEMBERED = 400, 800_000  # LONG is under 1024, so a place fits the lower ten bits
+LONG, REMEMBERED = 400, 800_000  # LONG is under 1024, so a place fits ten bits
 #: Bytes of new words per recursive query, bytes of text per slice.
-QUERY_BYTES, SLICE_BYTES = 400_000, 2_000_000
+QUERY_BYTES, SLICE_BYTES = 400_000, 1_000_000
 
-ENCODE = """
+#: A row is word, place and token in one number, so it also sorts by word and place.
+PLACE, TOKEN = 10, 21
+WORD = PLACE + TOKEN
+
+ENCODE = f"""
 WITH RECURSIVE parts AS (
-  SELECT word, place, token, false AS ready FROM bytes_of_words
+  SELECT part, false AS ready FROM bytes_of_words
   UNION ALL
-  SELECT word, place, token, ready FROM (
+  SELECT part, ready FROM (
     WITH near AS MATERIALIZED (
-      SELECT word, place, token, lead(word) OVER w AS word_after, lead(token) OVER w AS token_after,
-             lag(word) OVER w AS word_before, lag(place) OVER w AS place_before
-      FROM parts WHERE NOT ready WINDOW w AS (ORDER BY word::BIGINT * 1024 + place)),
+      SELECT part, part >> {WORD} AS word, lead(part) OVER w AS after, CASE WHEN lag(part) OVER w > part THEN error('out of order') ELSE lag(part) OVER w END AS before
+      FROM parts WHERE NOT ready WINDOW w AS ()),
     least AS MATERIALIZED (
-      SELECT word, min(merged * 1024 + place) AS pick FROM near JOIN merges ON a = token AND b = token_after AND word_after = word GROUP BY word)
-    SELECT near.word, place, CASE WHEN place = pick % 1024 THEN (pick // 1024)::INTEGER ELSE token END AS token, pick IS NULL AS ready
+      SELECT word, min((merged << {PLACE}) | ((part >> {TOKEN}) & {2 ** PLACE - 1})) AS pick
+      FROM near JOIN merges ON pair = ((part & {2 ** TOKEN - 1}) << {TOKEN}) | (after & {2 ** TOKEN - 1}) AND after >> {WORD} = word GROUP BY word)
+    SELECT CASE WHEN (part >> {TOKEN}) & {2 ** PLACE - 1} = pick & {2 ** PLACE - 1} THEN ((part >> {TOKEN}) << {TOKEN}) | (pick >> {PLACE}) ELSE part END AS part,
+           pick IS NULL AS ready
     FROM near LEFT JOIN least ON least.word = near.word
-    WHERE pick IS NULL OR word_before IS DISTINCT FROM near.word OR place_before <> pick % 1024))
-SELECT word, list(token ORDER BY place) AS ids FROM parts WHERE ready GROUP BY word ORDER BY word
+    WHERE pick IS NULL OR before IS NULL OR before >> {TOKEN} <> (near.word << {PLACE}) | (pick & {2 ** PLACE - 1})))
+SELECT part >> {WORD} AS word, list((part & {2 ** TOKEN - 1})::INTEGER ORDER BY part) AS ids FROM parts WHERE ready GROUP BY word ORDER BY word
 """
 DECODE = """
-SELECT text, string_agg(latin, '' ORDER BY place) AS latin FROM tokens JOIN vocabulary USING (token) GROUP BY text ORDER BY text
+SELECT text, string_agg(CASE WHEN earlier > place THEN error('out of order') ELSE latin END, '') AS latin FROM (
+  SELECT text, place, latin, lag(place) OVER () AS earlier FROM (SELECT text, place, latin FROM tokens JOIN vocabulary USING (token) ORDER BY place))
+GROUP BY text ORDER BY text
 """
+#: The same for an engine that does not keep rows in order from step to step.
+ENCODE_SORTED = ENCODE.replace("WINDOW w AS ()", "WINDOW w AS (ORDER BY part)")
+DECODE_SORTED = "SELECT text, string_agg(latin, '' ORDER BY place) AS latin FROM tokens JOIN vocabulary USING (token) GROUP BY text ORDER BY text"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,7 +94,8 @@ class Codec:
         """Made on first use: a worker that only decodes does without."""
         ranks = self.ranks
         cuts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        merges = pd.DataFrame(np.array(cuts, np.int32).reshape(-1, 3), columns=["a", "b", "merged"])  # noqa: F841
+        a, b, merged = np.array(cuts, np.int64).reshape(-1, 3).T
+        merges = pd.DataFrame({"pair": (a << TOKEN) | b, "merged": merged})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.mergeable = True
 
@@ -127,16 +139,25 @@ class Codec:
             self._merge_table()
         n = np.array([len(d) for _, d in waiting])
         raw = np.frombuffer(b"".join(d for _, d in waiting), np.uint8)
-        rows = pd.DataFrame({
-            "word": np.repeat(np.arange(len(n), dtype=np.int32), n), "token": self.bytes[raw],
-            "place": (np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)})
-        self.db.register("bytes_of_words", rows)
-        found = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
+        word, place = np.repeat(np.arange(len(n)), n), np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n)
+        self.db.register("bytes_of_words", pd.DataFrame({"part": (word << WORD) | (place << TOKEN) | self.bytes[raw]}))
+        found = self._ordered(ENCODE, ENCODE_SORTED).column("ids").combine_chunks()
         self.db.unregister("bytes_of_words")
         flat, ends = found.flatten().to_numpy(), found.offsets.to_numpy()
         for k, (i, _) in enumerate(waiting):
             got[i] = flat[ends[k] - ends[0] : ends[k + 1] - ends[0]]
 
+    def _ordered(self, query: str, plain: str):
+        """The result of a query that relies on the order of rows and checks it; of the plain one where it does not hold."""
+        import duckdb
+
+        try:
+            return self.db.sql(query).to_arrow_table()
+        except duckdb.Error as e:
+            if "out of order" not in str(e):
+                raise
+            return self.db.sql(plain).to_arrow_table()
+
     def _by_heap(self, data: bytes) -> list[int]:
         parts: list[bytes | None] = [data[i : i + 1] for i in range(len(data))]
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
@@ -207,13 +228,26 @@ class Codec:
             flat = np.concatenate([np.asarray(x, np.int32) for x in lists[at:to]])
             rows = pd.DataFrame({"text": np.repeat(np.arange(at, to), n), "place": np.arange(len(flat)), "token": flat})
             self.db.register("tokens", rows)
-            for text, latin in self.db.execute(DECODE).fetchall():
+            found = self._ordered(DECODE, DECODE_SORTED)
+            for text, latin in zip(found.column("text").to_pylist(), found.column("latin").to_pylist()):
                 out[text] = latin.encode("latin-1")
             self.db.unregister("tokens")
             at = to
         return out
 
 
+def _slices(rows: pd.DataFrame, sizes: list[int]) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of about a slice's size together, or one larger row."""
+    first = size = 0
+    for i, n in enumerate(sizes):
+        if i > first and size + n > SLICE_BYTES:
+            yield rows.iloc[first:i]
+            first, size = i, 0
+        size += n
+    if first < len(rows):
+        yield rows.iloc[first:]
+
+
 _codecs: dict[tuple, Codec] = {}
 
 
@@ -239,8 +273,7 @@ class ByteBpe:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             codec = _codec(name, ranks.value, pattern)
             for b in batches:
-                for i in range(0, len(b), 200):
-                    part = b.iloc[i : i + 200]
+                for part in _slices(b, [len(t or "") for t in b[text]]):
                     yield part.assign(**{into: codec.encode_all([t or "" for t in part[text]])})
 
         return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField(into, ArrayType(IntegerType()))]))
@@ -252,8 +285,7 @@ class ByteBpe:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             codec = _codec(name, ranks.value, pattern)
             for b in batches:
-                for i in range(0, len(b), 200):
-                    part = b.iloc[i : i + 200]
+                for part in _slices(b, [0 if x is None else 4 * len(x) for x in b[ids]]):
                     lists = [np.zeros(0, np.int32) if x is None else x for x in part[ids]]
                     yield part.assign(**{into: codec.decode_all(lists)})
 
@@ -266,8 +298,7 @@ class ByteBpe:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             codec = _codec(name, ranks.value, pattern)
             for b in batches:
-                for i in range(0, len(b), 200):
-                    part = b.iloc[i : i + 200]
+                for part in _slices(b, [len(t or "") for t in b[text]]):
                     lists = codec.encode_all([t or "" for t in part[text]])
                     yield part.assign(**{ids: lists, decoded: codec.decode_all(lists)})
 

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -390,3 +391,25 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, SF).columns == odd.columns, name
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_codec_learns_small_texts_together_and_sorts_where_order_is_lost(monkeypatch):
+    import public_tokenizers as P
+
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    asked = []
+    learn = byte_bpe.Codec.learn
+    monkeypatch.setattr(byte_bpe.Codec, "learn", lambda self, words: (asked.append(len(words)), learn(self, words))[1])
+    rows = pd.DataFrame({"text": [f"zq{i}xv unwort{i}" for i in range(1000)]})
+    for part in byte_bpe._slices(rows, [len(t) for t in rows["text"]]):
+        codec.encode_all(list(part["text"]))
+    assert len(asked) == 1
+    assert [len(x) for x in byte_bpe._slices(rows, [byte_bpe.SLICE_BYTES] * 1000)] == [1] * 1000
+    texts = [*rows["text"], "", "ü" * 300, "unlike " * 5000]
+    ids = codec.encode_all(texts)
+    assert [x.decode() for x in codec.decode_all(ids)] == texts
+    monkeypatch.setattr(byte_bpe, "ENCODE", "SELECT error('out of order')")
+    monkeypatch.setattr(byte_bpe, "DECODE", "SELECT error('out of order')")
+    again = byte_bpe.Codec(codec.ranks, P.PATTERN)
+    assert [x.tolist() for x in again.encode_all(texts)] == [x.tolist() for x in ids]
+    assert [x.decode() for x in again.decode_all(ids)] == texts
