@@ -11,6 +11,8 @@ from crosswitness.plans import detect
 from crosswitness.plans import differential
 from crosswitness.plans import inject as ij
 from crosswitness.plans.checks import flag_counts, run_checks
+from crosswitness.sources.staging import staging_root, written_by_subject
+from crosswitness.sources.study import Deferred, Study
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +61,39 @@ def test_perturbed_tables_keep_their_rows_by_subject(spark, lying):
     plain = ij.drop_fraction(replace(lying, buckets=0), 0.25, 7)
     for d in ("TR", "RS", "TU"):
         assert dropped.raw(d).exceptAll(plain.raw(d)).count() == 0 and plain.raw(d).exceptAll(dropped.raw(d)).count() == 0
+
+
+def test_responses_take_their_sums_from_measurements_that_are_made(spark, lying):
+    lying["TR"]
+    made = {d: lying.tables[d] for d in ("TR", "RS")}
+    v = testbed.visits(spark, SF, buckets=lying.buckets)
+    v = written_by_subject(v, f"{staging_root(spark)}/visits", lying.buckets)
+    lines = testbed.table(spark, SF, "lineitem")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with_tr, without = testbed._rs(v, lines, lying.buckets, made["TR"]), testbed._rs(v, lines, lying.buckets)
+        assert exchanges(with_tr)[1] == 0
+        names = made["RS"].columns
+        assert with_tr.columns == without.columns == names
+        assert rows(with_tr, *names) == rows(without, *names) == rows(made["RS"], *names)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_measurements_are_made_before_responses(spark):
+    asked = []
+    maker = lambda d, df: (lambda: (asked.append(d), df)[1])
+    some = testbed.build_study(spark, SF)
+    some = Study(spark, Deferred({d: maker(d, some.tables[d]) for d in some.tables})).measured_on_demand()
+    run_checks(some, ["A01"])
+    assert asked[0] == "TR"
+
+
+def test_tables_by_subject_are_read_in_order(spark, lying):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lying["RS"].select("USUBJID", "RSSEQ").join(lying["EX"].select("USUBJID", "EXSEQ"), "USUBJID")
+        plan = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Sort [" not in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
