@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosswitness.sources.study import Study
 
 
-def write_study(study: Study, path: str, fmt: str = "parquet") -> None:
-    """One folder per domain."""
-    for domain, df in study.tables.items():
-        writer = df.write.mode("overwrite")
+def write_study(study: Study, path: str, fmt: str = "parquet", concurrent: int = 4) -> None:
+    """One folder per domain; several are made and written at a time, so small ones fill gaps that large ones leave."""
+    def write(domain: str) -> None:
+        writer = study.tables[domain].write.mode("overwrite")
         (writer.option("header", True).csv(f"{path}/{domain}.csv") if fmt == "csv" else writer.format(fmt).save(f"{path}/{domain}"))
 
+    # the measurements are the largest, and the responses' sums can be taken from them
+    order = sorted(study.tables, key=lambda d: d != "TR")
+    with ThreadPoolExecutor(concurrent) as pool:
+        list(pool.map(write, order))
+
 
 def write_sorted(df: DataFrame, domain: str, path: str, partitions: int = 8) -> None:
     """Range-partitioned, sorted domain: files are in order and so are the rows in them."""

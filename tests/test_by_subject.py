@@ -1,6 +1,8 @@
 """Domains that lie by subject: experiments shuffle none of them and give the rows of the plain way."""
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
+from threading import Barrier
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +99,14 @@ def test_tables_by_subject_are_read_in_order(spark, lying):
         assert "SortMergeJoin" in plan and "Sort [" not in plan and "Exchange" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_values_on_demand_are_made_side_by_side_and_once():
+    meet, made = Barrier(2, timeout=20), []
+    both = Deferred({d: lambda d=d: (meet.wait(), made.append(d), d)[2] for d in "ab"})
+    assert not both.begun("a")
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(both.__getitem__, "abab")) == list("abab")
+    assert sorted(made) == ["a", "b"] and both.begun("a")
+    with pytest.raises(KeyError):
+        both["c"]
